@@ -1,0 +1 @@
+"""No streaming work exists in the reference; nothing to rebuild."""
