@@ -11,8 +11,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from ordermart.operators import analytics as A
+from ordermart.operators import clean as C
+from ordermart.operators import profile as P
+from ordermart.operators import quality as Q
+from ordermart.operators import repair as R
+from ordermart.operators.profile import _union
 from ordermart.plans.mart import Mart
+from ordermart.sources import io
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -47,17 +55,132 @@ ANALYTICS: dict[str, Callable[[Mart], DataFrame]] = {
 }
 
 
+# ------------------------------------------------------------- profiling
+NUMERIC_COLUMNS = {
+    "orders": ("delivery_delay_days", "estimated_delivery_days"),
+    "order_items": ("price", "freight_value"),
+    "order_payments": ("payment_installments", "payment_value"),
+    "order_reviews": ("review_score",),
+}
+TEXT_COLUMNS = {
+    "orders": ("order_status",),
+    "order_payments": ("payment_type",),
+    "customers": ("customer_state",),
+    "sellers": ("seller_state",),
+    "products": ("product_category_name",),
+}
+# Key probes of the nine notebooks: every primary key plus the second
+# customer id and the raw geolocation zip prefix.
+KEY_PROBES = tuple((pk.table, pk.columns) for pk in Q.PRIMARY_KEYS) + (
+    ("customers", ("customer_unique_id",)),
+    ("geolocation_raw", ("geolocation_zip_code_prefix",)),
+)
+
+
+def _probe_tables(m: Mart) -> dict:
+    t = m.tables()
+    t["geolocation_raw"] = m.raw.geolocation.drop("src_order")
+    return t
+
+
+def _dq_tables(m: Mart) -> dict:
+    """Tables as loaded for the quality checks: orders without canceled ones."""
+    t = m.tables()
+    t["orders"] = m.parent_orders
+    return t
+
+
+PROFILING: dict[str, Callable[[Mart], DataFrame]] = {
+    "prf_shape": lambda m: _union([P.shape(df, n) for n, df in m.tables().items()]),
+    "prf_null_counts": lambda m: _union([P.null_counts(df, n) for n, df in m.tables().items()]),
+    "prf_numeric_summary": lambda m: _union(
+        [P.numeric_summary(m.tables()[t], cols, name=t) for t, cols in NUMERIC_COLUMNS.items()]
+    ),
+    "prf_text_summary": lambda m: _union(
+        [P.text_summary(m.tables()[t], cols, name=t) for t, cols in TEXT_COLUMNS.items()]
+    ),
+    "prf_value_counts": lambda m: P.value_counts(m.raw.orders, "order_status"),
+    "prf_value_pct": lambda m: P.value_counts(m.raw.order_payments, "payment_type", normalize=True),
+    "prf_conditional_counts": lambda m: P.conditional_counts(
+        m.raw.orders, {c: F.col(c).isNull() for c in C.DELIVERED_REQUIRED}, "order_status"
+    ),
+    "prf_key_uniqueness": lambda m: _union(
+        [P.key_uniqueness(_probe_tables(m)[t], keys, name=t) for t, keys in KEY_PROBES]
+    ),
+    "prf_dup_rows": lambda m: P.duplicate_rows(m.raw.order_reviews.drop("src_order"), ["review_id"]),
+}
+
+# --------------------------------------------------------------- quality
+QUALITY: dict[str, Callable[[Mart], DataFrame]] = {
+    "dq_orphan_counts": lambda m: Q.orphan_report(_dq_tables(m)),
+    "dq_orphan_repair_null_aware": lambda m: _union(
+        [
+            Q.repair_report(
+                m.tables()[t], Q.delete_not_in(m.tables()[t], "order_id", m.parent_orders, "order_id"), t
+            )
+            for t in R.REPAIRED_CHILDREN
+        ]
+    ),
+    "dq_lookup_missing": lambda m: Q.missing_codes(
+        m.products, "product_category_name", m.category_translation, "product_category_name"
+    ),
+    "dq_lookup_repair": lambda m: R.repair_tables(_dq_tables(m), persist=False)["category_translation"],
+    "dq_duplicate_keys": lambda m: Q.duplicate_report(m.tables()).drop("duplicate_rows"),
+    "dq_duplicate_rows": lambda m: Q.duplicate_report(m.tables()).drop("duplicate_keys"),
+    "dq_reconcile_totals": lambda m: Q.reconcile_count(m.order_payments, m.order_items, tol=1.0),
+    "dq_summary": lambda m: Q.dq_summary(_dq_tables(m)),
+    "dq_pk_report": lambda m: Q.pk_report(_dq_tables(m)),
+    "dq_fk_report": lambda m: Q.fk_report(_dq_tables(m)),
+    "dq_constraint_list": lambda m: Q.constraint_list(_dq_tables(m)),
+    "dq_conflicting_parent": lambda m: Q.conflicting_parents(m.raw.order_reviews, "review_id", "order_id"),
+    "dq_extremes": lambda m: Q.extremes(m.orders, "delivery_delay_days", -30, 30),
+    "dq_null_delay_by_status": lambda m: Q.null_metric_by_status(m.orders),
+    "dq_inconsistent_delivered": lambda m: Q.flagged_count(m.raw.orders, C.inconsistent_delivered_masks()),
+    "dq_invalid_payments": lambda m: Q.flagged_count(m.raw.order_payments, C.invalid_payment_masks()),
+}
+
+# ------------------------------------------------------------ cleaning
+CLEANING: dict[str, Callable[[Mart], DataFrame]] = {
+    "etl_orders": lambda m: m.orders,
+    "etl_order_items": lambda m: m.order_items,
+    "etl_order_payments": lambda m: m.order_payments,
+    "etl_order_reviews": lambda m: m.order_reviews,
+    "etl_customers": lambda m: m.customers,
+    "etl_sellers": lambda m: m.sellers,
+    "etl_products": lambda m: m.products,
+    "etl_category_translation": lambda m: m.category_translation,
+    "etl_geolocation": lambda m: m.geolocation,
+    "etl_cross_repair": lambda m: R.cross_repair(_dq_tables(m), persist=True),
+}
+
+
+def _csv_round_trip(m: Mart) -> DataFrame:
+    df = m.order_reviews
+    return io.materialize(df, fmt="csv")
+
+
+def _load_report(m: Mart) -> DataFrame:
+    return io.load_report(m.spark, io.load_tables(m.tables()))
+
+
+SOURCES_SINKS: dict[str, Callable[[Mart], DataFrame]] = {
+    "io_csv_round_trip": _csv_round_trip,
+    "io_load_report": _load_report,
+}
+
+
 def queries() -> dict[str, QueryFn]:
     out: dict[str, QueryFn] = {}
-    for group in (ANALYTICS,):
+    for group in (ANALYTICS, PROFILING, QUALITY, CLEANING, SOURCES_SINKS):
         for name, fn in group.items():
             out[name] = _on_mart(fn)
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    from ordermart.plans.oracle import ANALYTICS_SQL
+    from ordermart.plans import oracle
 
     out: dict[str, str] = {}
-    out.update(ANALYTICS_SQL)
+    for group in (oracle.ANALYTICS_SQL, oracle.PROFILING_SQL, oracle.QUALITY_SQL, oracle.CLEANING_SQL, oracle.IO_SQL):
+        out.update(group)
     return out
