@@ -54,90 +54,111 @@ QUARTILES = (0.25, 0.5, 0.75)
 
 
 def exact_quantiles(
-    df: DataFrame, col: str, qs: Sequence[float] = QUARTILES, buckets: int | None = None
+    long: DataFrame, by: Sequence[str], value: str = "value", qs: Sequence[float] = QUARTILES,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles (pandas ``describe``), distributed.
+    """Exact linearly interpolated quantiles per group (pandas ``describe``).
 
-    ``percentile`` keeps every distinct value in the final task, which does
-    not survive a continuous column at terabyte scale. Instead:
+    ``percentile`` keeps every distinct value of a group in one final task,
+    which does not survive a continuous column at terabyte scale. Instead:
 
-    1. collapse equal values to (v, c) with a combining aggregate, so a hot
-       value is one row;
-    2. range-partition the distinct values (Spark samples the bounds) and
-       checkpoint to the shared folder so partition ids are stable;
-    3. per-partition totals (one row per partition) give each partition's
-       rank offset; a window inside each partition gives running counts;
-    4. the value at a 0-based rank k is the one whose running range covers
-       k; one final aggregate picks it for every requested rank.
+    1. collapse equal values to (group, v, c) with a combining aggregate, so
+       a hot value is a single row;
+    2. range-partition those rows by (group, v) (Spark samples the bounds)
+       and checkpoint to the shared folder so partition ids are stable;
+    3. totals per (group, partition) give each partition's rank offset
+       inside its group; a window inside each partition gives running counts;
+    4. the value at a 0-based rank k is the one whose rank range covers k;
+       one grouped aggregate picks both neighbours of every requested rank.
 
-    Returns one row with columns ``q<pct>`` (e.g. q25, q50, q75).
+    Returns one row per group with columns ``q<pct>`` (q25, q50, q75).
     """
-    spark = df.sparkSession
     from ordermart.session import shared_dir
 
-    shared_dir(spark)  # make sure a checkpoint folder is configured
-    n_parts = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    v = F.col(col)
-    vc = df.where(v.isNotNull()).groupBy(v.cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    vc = vc.repartitionByRange(n_parts, "v").withColumn("pid", F.spark_partition_id()).checkpoint()
-    per_part = vc.groupBy("pid").agg(F.sum("c").alias("pc"))
-    offsets = per_part.withColumn(
-        "off", F.coalesce(F.sum("pc").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).select("pid", "off")
-    # one row per partition: bounded by the partition count, so broadcast.
-    ranked = vc.join(F.broadcast(offsets), "pid").withColumn(
-        "end", F.col("off") + F.sum("c").over(Window.partitionBy("pid").orderBy("v"))
+    spark = long.sparkSession
+    shared_dir(spark)  # make sure a reliable checkpoint folder is configured
+    by = list(by)
+    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    vc = (
+        long.where(F.col(value).isNotNull())
+        .groupBy(*by, F.col(value).cast("double").alias("v"))
+        .agg(F.count(F.lit(1)).alias("c"))
+    )
+    vc = vc.repartitionByRange(n_parts, *by, "v").withColumn("pid", F.spark_partition_id()).checkpoint()
+    # (group, partition) totals: at most groups x partitions rows.
+    per = vc.groupBy(*by, "pid").agg(F.sum("c").alias("pc"))
+    before = Window.partitionBy(*by).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(
+        *by, "pid",
+        F.coalesce(F.sum("pc").over(before), F.lit(0)).alias("off"),
+        F.sum("pc").over(Window.partitionBy(*by)).alias("n"),
+    )
+    ranked = vc.join(F.broadcast(per), [*by, "pid"]).withColumn(
+        "end", F.col("off") + F.sum("c").over(Window.partitionBy(*by, "pid").orderBy("v"))
     )
     ranked = ranked.withColumn("start", F.col("end") - F.col("c"))  # ranks [start, end)
-    n = vc.agg(F.sum("c")).scalar()
     aggs = []
     for q in qs:
-        pos = (n - 1) * F.lit(float(q))
+        pos = (F.col("n") - 1) * F.lit(float(q))
         lo, hi = F.floor(pos), F.ceil(pos)
 
         def at(k):
             return F.max(F.when((F.col("start") <= k) & (k < F.col("end")), F.col("v")))
 
         v_lo, v_hi = at(lo), at(hi)
-        frac = F.max(pos - lo)
-        aggs.append((v_lo + (v_hi - v_lo) * frac).alias(f"q{int(round(q * 100))}"))
-    return ranked.agg(*aggs)
+        aggs.append((v_lo + (v_hi - v_lo) * F.max(pos - lo)).alias(f"q{int(round(q * 100))}"))
+    return ranked.groupBy(*by).agg(*aggs)
 
 
-def numeric_summary(
-    df: DataFrame, cols: Sequence[str], name: str | None = None, exact: bool = True, nd: int = 6,
-    accuracy: int = 10000,
-) -> DataFrame:
-    """PRF-5: count, mean, std (sample), min, 25%, 50%, 75%, max per column.
+def to_long(df: DataFrame, cols: Sequence[str], name: str | None = None) -> DataFrame:
+    """Numeric columns unpivoted to (table_name?, column_name, value double)."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
+        [], list(cols), "column_name", "value"
+    )
+    if name is not None:
+        long = long.select(F.lit(name).alias("table_name"), "*")
+    return long
+
 
-    Values are rounded to ``nd`` decimals. ``exact=False`` uses
-    ``percentile_approx`` (one pass, bounded memory, rank error 1/accuracy).
+def numeric_summary_long(long: DataFrame, by: Sequence[str], exact: bool = True, nd: int = 6,
+                         accuracy: int = 10000) -> DataFrame:
+    """PRF-5 over a long (group..., value) frame: one row per group.
+
+    count, mean, std (sample), min, 25%, 50%, 75%, max; rounded to ``nd``.
+    ``exact=False`` uses ``percentile_approx`` (one pass, bounded memory,
+    rank error 1/accuracy) instead of the exact distributed quantiles.
     """
-    frames = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        base = df.agg(
+    by = list(by)
+    x = F.col("value")
+    if exact:
+        stats = long.groupBy(*by).agg(
             F.count(x).alias("count"),
             dp(F.avg(x), nd).alias("mean"),
             dp(F.stddev_samp(x), nd).alias("std"),
             F.min(x).alias("min"),
             F.max(x).alias("max"),
         )
-        # Quantiles are single-row frames; attach them as scalar subqueries.
-        if exact:
-            qdf = exact_quantiles(df, c)
-            quart = [dp(qdf.select(f"q{p}").scalar(), nd).alias(f"p{p}") for p in (25, 50, 75)]
-        else:
-            qa = df.agg(F.percentile_approx(x, list(QUARTILES), accuracy).alias("qa"))
-            quart = [dp(qa.select(F.col("qa")[i]).scalar(), nd).alias(f"p{p}") for i, p in enumerate((25, 50, 75))]
-        stats = base.select("*", *quart)
-        head = [F.lit(c).alias("column_name")]
-        if name is not None:
-            head = [F.lit(name).alias("table_name")] + head
-        frames.append(
-            stats.select(*head, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+        qs = exact_quantiles(long, by)
+        stats = stats.join(qs, by, "left")
+        quart = [dp(F.col(f"q{p}"), nd).alias(f"p{p}") for p in (25, 50, 75)]
+    else:
+        stats = long.groupBy(*by).agg(
+            F.count(x).alias("count"),
+            dp(F.avg(x), nd).alias("mean"),
+            dp(F.stddev_samp(x), nd).alias("std"),
+            F.min(x).alias("min"),
+            F.max(x).alias("max"),
+            F.percentile_approx(x, list(QUARTILES), accuracy).alias("_qa"),
         )
-    return _union(frames)
+        quart = [dp(F.col("_qa")[i], nd).alias(f"p{p}") for i, p in enumerate((25, 50, 75))]
+    return stats.select(*by, "count", "mean", "std", "min", *quart, "max")
+
+
+def numeric_summary(df: DataFrame, cols: Sequence[str], name: str | None = None, exact: bool = True,
+                    nd: int = 6) -> DataFrame:
+    """PRF-5 for the listed columns of one table (one row per column)."""
+    by = (["table_name"] if name is not None else []) + ["column_name"]
+    return numeric_summary_long(to_long(df, cols, name), by, exact=exact, nd=nd)
 
 
 # ---------------------------------------------------------------- PRF-6

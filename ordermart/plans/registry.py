@@ -93,8 +93,9 @@ def _dq_tables(m: Mart) -> dict:
 PROFILING: dict[str, Callable[[Mart], DataFrame]] = {
     "prf_shape": lambda m: _union([P.shape(df, n) for n, df in m.tables().items()]),
     "prf_null_counts": lambda m: _union([P.null_counts(df, n) for n, df in m.tables().items()]),
-    "prf_numeric_summary": lambda m: _union(
-        [P.numeric_summary(m.tables()[t], cols, name=t) for t, cols in NUMERIC_COLUMNS.items()]
+    "prf_numeric_summary": lambda m: P.numeric_summary_long(
+        _union([P.to_long(m.tables()[t], cols, name=t) for t, cols in NUMERIC_COLUMNS.items()]),
+        ["table_name", "column_name"],
     ),
     "prf_text_summary": lambda m: _union(
         [P.text_summary(m.tables()[t], cols, name=t) for t, cols in TEXT_COLUMNS.items()]
