@@ -65,7 +65,8 @@ def exact_quantiles(
     1. collapse equal values to (group, v, c) with a combining aggregate, so
        a hot value is a single row;
     2. range-partition those rows by (group, v) (Spark samples the bounds)
-       and checkpoint to the shared folder so partition ids are stable;
+       and write them, partition id included, to the shared folder: the ids
+       must not change between the uses below, and the copy cuts lineage;
     3. totals per (group, partition) give each partition's rank offset
        inside its group; a window inside each partition gives running counts;
     4. the value at a 0-based rank k is the one whose rank range covers k;
@@ -73,10 +74,9 @@ def exact_quantiles(
 
     Returns one row per group with columns ``q<pct>`` (q25, q50, q75).
     """
-    from ordermart.session import shared_dir
+    from ordermart.sources.io import materialize
 
     spark = long.sparkSession
-    shared_dir(spark)  # make sure a reliable checkpoint folder is configured
     by = list(by)
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     vc = (
@@ -84,7 +84,7 @@ def exact_quantiles(
         .groupBy(*by, F.col(value).cast("double").alias("v"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    vc = vc.repartitionByRange(n_parts, *by, "v").withColumn("pid", F.spark_partition_id()).checkpoint()
+    vc = materialize(vc.repartitionByRange(n_parts, *by, "v").withColumn("pid", F.spark_partition_id()))
     # (group, partition) totals: at most groups x partitions rows.
     per = vc.groupBy(*by, "pid").agg(F.sum("c").alias("pc"))
     before = Window.partitionBy(*by).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)

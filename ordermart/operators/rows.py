@@ -1,10 +1,10 @@
 """Row-level building blocks: mask removal, keep-first dedupe, first non-null.
 
 All of them are single DataFrame expressions. Keep-first dedupe is written
-as a ``min_by`` aggregate rather than a ``row_number`` window: the hash
-aggregate combines map-side, so a key that owns a third of all rows is
-collapsed inside each map task before anything is shuffled, and no sort of
-the whole table is needed.
+as a ``min_by`` aggregate rather than a ``row_number`` window: the aggregate
+combines map-side, so a key that owns a third of all rows is collapsed
+inside each map task before anything is shuffled, and no window partition
+ever holds a whole key group.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ def keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Colu
     Equivalent to pandas ``drop_duplicates(subset=keys, keep='first')`` when
     ``order_by`` is the file order. Null keys form one group, as in pandas.
     The ordering must be unique within a key for a deterministic result.
+    The whole row travels as one struct, so the partial aggregate keeps a
+    single (row, ordering) pair per key and map task.
     """
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]

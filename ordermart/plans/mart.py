@@ -7,13 +7,20 @@ DataFrame built once per ``Mart``.
 
 from __future__ import annotations
 
+import hashlib
+import os
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ordermart.operators import clean
+from ordermart.session import shared_dir
+from ordermart.sources import io
 from ordermart.sources.conformed import Conformed
-from ordermart.sources.driver import DriverTables
+from ordermart.sources.driver import DriverTables, table_path
+
+# Driver tables the mapping reads (their fingerprint keys the loaded mart).
+MAPPED_SOURCES = ("nation", "customer", "supplier", "part", "orders", "lineitem")
 
 # Coordinates of the cleaned geolocation table are reported to 6 decimals
 # (about 0.1 m), which also makes the mean identical across engines.
@@ -80,3 +87,58 @@ class Mart:
             "category_translation": self.category_translation,
             "geolocation": self.geolocation,
         }
+
+    # ---------------------------------------------------------- loading
+    @classmethod
+    def shared(cls, spark: SparkSession, sf_dir: str) -> "Mart":
+        """The cleaned mart written once per session and input, then reused.
+
+        This is the reference's own flow: clean once, load, then run every
+        check and question against the loaded tables. The nine cleaned tables
+        (plus raw orders, whose mapping needs a lineitem aggregation) are
+        written under the shared checkpoint folder; later queries scan those
+        Parquet files instead of re-deriving them from the raw tables. The key
+        includes the input files' sizes and times, so changed inputs reload.
+        """
+        key = (spark.sparkContext.applicationId, _fingerprint(sf_dir))
+        loaded = _LOADED.get(key)
+        if loaded is None:
+            loaded = LoadedMart.build(cls(spark, sf_dir))
+            _LOADED[key] = loaded
+        return loaded
+
+
+_LOADED: dict[tuple[str, str], "LoadedMart"] = {}
+
+
+def _fingerprint(sf_dir: str) -> str:
+    parts = [os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir]
+    for name in MAPPED_SOURCES:
+        path = table_path(sf_dir, name)
+        try:
+            st = os.stat(path)
+            parts.append(f"{name}:{st.st_size}:{st.st_mtime_ns}")
+        except OSError:
+            parts.append(name)
+    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
+
+
+class LoadedMart(Mart):
+    """A ``Mart`` whose cleaned tables are Parquet copies in the shared folder."""
+
+    def __init__(self, source: Mart, paths: dict[str, str]):
+        super().__init__(source.spark, source.sf_dir)
+        self.paths = paths
+        for name in paths:
+            # cached_property stores into the instance dict; prime it.
+            self.__dict__[name] = io.read_table(self.spark, paths[name])
+
+    @classmethod
+    def build(cls, source: Mart) -> "LoadedMart":
+        root = shared_dir(source.spark, f"mart-{_fingerprint(source.sf_dir)}-{os.getpid()}")
+        tables = source.tables()
+        tables["raw_orders"] = source.raw.orders
+        paths = io.load_tables(tables, root)
+        mart = cls(source, paths)
+        mart.raw.__dict__["orders"] = mart.__dict__.pop("raw_orders")
+        return mart
