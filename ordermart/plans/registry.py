@@ -112,6 +112,24 @@ PROFILING: dict[str, Callable[[Mart], DataFrame]] = {
         [P.key_uniqueness(_probe_tables(m)[t], keys, name=t) for t, keys in KEY_PROBES]
     ),
     "prf_dup_rows": lambda m: P.duplicate_rows(m.raw.order_reviews.drop("src_order"), ["review_id"]),
+    # PRF-14 / SRT-5: the first duplicated reviews by id, then file order.
+    "prf_dup_preview": lambda m: P.preview(
+        P.duplicate_rows(m.raw.order_reviews, ["review_id"]), ["review_id", "src_order"], 10
+    ).drop("src_order"),
+    # PRF-11: describe() of voucher payment values only.
+    "prf_filtered_summary": lambda m: P.numeric_summary(
+        m.raw.order_payments.where(F.col("payment_type") == "voucher"), ["payment_value"], name="voucher"
+    ),
+    # PRF-13: show the rows matching a predicate in full.
+    "prf_matching_rows": lambda m: m.raw.order_payments.where(F.col("payment_type") == "not_defined"),
+    # FLT-7 / JN-6: every payment row of orders that carry a zero-value voucher.
+    "prf_semi_join": lambda m: m.raw.order_payments.join(
+        m.raw.order_payments.where((F.col("payment_type") == "voucher") & (F.col("payment_value") == 0)).select(
+            "order_id"
+        ),
+        "order_id",
+        "left_semi",
+    ),
 }
 
 # --------------------------------------------------------------- quality
