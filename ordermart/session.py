@@ -28,17 +28,40 @@ BASE_CONF = {
 }
 
 
+# Settings for a large cluster (~1000 executors, ~100 TB of input). AQE
+# starts every shuffle wide and coalesces to the advisory size at runtime,
+# so partitions fit executor memory at any scale without hand-tuning; joins
+# are converted to broadcast only when the *measured* side is under the AQE
+# threshold; skewed partitions are split even when that costs an extra
+# shuffle (a key may own a third of all rows).
+SCALE_CONF = {
+    "spark.sql.shuffle.partitions": "32768",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "32768",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.parquet.aggregatePushdown": "true",
+}
+
+
 def get_spark(
     master: str | None = None,
     app: str = "ordermart",
     shuffle_partitions: int | None = None,
     extra: dict[str, str] | None = None,
+    scale: bool = False,
 ) -> SparkSession:
-    """Build (or reuse) a session with the library's baseline settings."""
+    """Build (or reuse) a session with the library's baseline settings.
+
+    ``scale=True`` adds ``SCALE_CONF`` for cluster runs.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in BASE_CONF.items():
+    for key, value in {**BASE_CONF, **(SCALE_CONF if scale else {})}.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
