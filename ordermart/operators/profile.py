@@ -76,15 +76,16 @@ def exact_quantiles(
     """
     from ordermart.sources.io import materialize
 
-    spark = long.sparkSession
     by = list(by)
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     vc = (
         long.where(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).cast("double").alias("v"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    vc = materialize(vc.repartitionByRange(n_parts, *by, "v").withColumn("pid", F.spark_partition_id()))
+    # Without an explicit count AQE may merge adjacent ranges; merged
+    # partitions are still ordered ranges, so their ids stay rank-ordered.
+    ranged = vc.repartitionByRange(partitions, *by, "v") if partitions else vc.repartitionByRange(*by, "v")
+    vc = materialize(ranged.withColumn("pid", F.spark_partition_id()))
     # (group, partition) totals: at most groups x partitions rows.
     per = vc.groupBy(*by, "pid").agg(F.sum("c").alias("pc"))
     before = Window.partitionBy(*by).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)

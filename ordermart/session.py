@@ -74,17 +74,26 @@ def get_spark(
     return spark
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, name: str | None = None) -> str:
-    """A fresh sub-folder of the cluster's shared checkpoint folder.
+    """A sub-folder of the cluster's shared checkpoint folder.
 
-    Reads ``spark.checkpoint.dir`` from the session. If it is unset (tests on
-    one machine), one is created under the system temp folder and recorded in
-    the session so later calls and ``DataFrame.checkpoint`` agree.
+    Reads ``spark.checkpoint.dir`` from the session (a static setting: it is
+    never modified here), then the context's checkpoint folder. Only when
+    neither exists (tests or a bare local session) is a folder created under
+    the system temp directory and registered with ``setCheckpointDir``.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="ordermart-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
+        root = spark.sparkContext.getCheckpointDir()
+    if not root:
+        app = spark.sparkContext.applicationId
+        root = _LOCAL_ROOTS.get(app)
+        if root is None:
+            root = tempfile.mkdtemp(prefix="ordermart-ckpt-")
+            spark.sparkContext.setCheckpointDir(root)
+            _LOCAL_ROOTS[app] = root
     leaf = name or uuid.uuid4().hex
     return os.path.join(root, leaf) if "://" not in root else f"{root.rstrip('/')}/{leaf}"
