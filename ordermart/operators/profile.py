@@ -32,7 +32,7 @@ def schema_report(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, position int, column_name string, data_type string")
 
 
-def _union(frames: Sequence[DataFrame]) -> DataFrame:
+def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
@@ -184,7 +184,7 @@ def text_summary(df: DataFrame, cols: Sequence[str], name: str | None = None) ->
                 F.max("n").alias("freq"),
             )
         )
-    return _union(frames)
+    return union_all(frames)
 
 
 # ------------------------------------------------------------ PRF-7/8

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordermart.operators.profile import _union
+from ordermart.operators.profile import union_all
 
 
 # ------------------------------------------------------------- registry
@@ -99,7 +99,7 @@ def orphan_report(tables: Mapping[str, DataFrame], checks=ORPHAN_CHECKS) -> Data
                 "issues",
             )
         )
-    return _union(frames)
+    return union_all(frames)
 
 
 # -------------------------------------------------------------- DQ-3
@@ -174,7 +174,7 @@ def duplicate_report(tables: Mapping[str, DataFrame], pks=PRIMARY_KEYS) -> DataF
         )
         for pk in pks
     ]
-    return _union(frames)
+    return union_all(frames)
 
 
 # -------------------------------------------------------------- DQ-8
@@ -226,7 +226,7 @@ def dq_summary(tables: Mapping[str, DataFrame], tol: float = 1.0) -> DataFrame:
         F.lit("order_items").alias("parent_table"),
         F.col("mismatched_orders").alias("issues"),
     )
-    checks = _union([orphans, missing, dups, rec])
+    checks = union_all([orphans, missing, dups, rec])
     checks = checks.withColumn("status", F.when(F.col("issues") == 0, F.lit("ok")).otherwise(F.lit("warn")))
     total = checks.agg(
         F.lit("summary").alias("check_name"),
@@ -259,7 +259,7 @@ def pk_report(tables: Mapping[str, DataFrame], pks=PRIMARY_KEYS) -> DataFrame:
                 dup.select("duplicate_keys").scalar().alias("duplicate_keys"),
             )
         )
-    out = _union(frames).withColumn("violations", F.col("null_keys") + F.col("duplicate_keys"))
+    out = union_all(frames).withColumn("violations", F.col("null_keys") + F.col("duplicate_keys"))
     return out.withColumn("status", F.when(F.col("violations") == 0, F.lit("ok")).otherwise(F.lit("violated")))
 
 
@@ -280,7 +280,7 @@ def fk_report(tables: Mapping[str, DataFrame], fks=FOREIGN_KEYS) -> DataFrame:
         )
         for fk in fks
     ]
-    out = _union(frames)
+    out = union_all(frames)
     return out.withColumn("status", F.when(F.col("violations") == 0, F.lit("ok")).otherwise(F.lit("violated")))
 
 

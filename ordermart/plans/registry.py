@@ -18,7 +18,7 @@ from ordermart.operators import clean as C
 from ordermart.operators import profile as P
 from ordermart.operators import quality as Q
 from ordermart.operators import repair as R
-from ordermart.operators.profile import _union
+from ordermart.operators.profile import union_all
 from ordermart.plans.mart import Mart
 from ordermart.sources import io
 
@@ -94,13 +94,13 @@ def _dq_tables(m: Mart) -> dict:
 
 
 PROFILING: dict[str, Callable[[Mart], DataFrame]] = {
-    "prf_shape": lambda m: _union([P.shape(df, n) for n, df in m.tables().items()]),
-    "prf_null_counts": lambda m: _union([P.null_counts(df, n) for n, df in m.tables().items()]),
+    "prf_shape": lambda m: union_all([P.shape(df, n) for n, df in m.tables().items()]),
+    "prf_null_counts": lambda m: union_all([P.null_counts(df, n) for n, df in m.tables().items()]),
     "prf_numeric_summary": lambda m: P.numeric_summary_long(
-        _union([P.to_long(m.tables()[t], cols, name=t) for t, cols in NUMERIC_COLUMNS.items()]),
+        union_all([P.to_long(m.tables()[t], cols, name=t) for t, cols in NUMERIC_COLUMNS.items()]),
         ["table_name", "column_name"],
     ),
-    "prf_text_summary": lambda m: _union(
+    "prf_text_summary": lambda m: union_all(
         [P.text_summary(m.tables()[t], cols, name=t) for t, cols in TEXT_COLUMNS.items()]
     ),
     "prf_value_counts": lambda m: P.value_counts(m.raw.orders, "order_status"),
@@ -108,7 +108,7 @@ PROFILING: dict[str, Callable[[Mart], DataFrame]] = {
     "prf_conditional_counts": lambda m: P.conditional_counts(
         m.raw.orders, {c: F.col(c).isNull() for c in C.DELIVERED_REQUIRED}, "order_status"
     ),
-    "prf_key_uniqueness": lambda m: _union(
+    "prf_key_uniqueness": lambda m: union_all(
         [P.key_uniqueness(_probe_tables(m)[t], keys, name=t) for t, keys in KEY_PROBES]
     ),
     "prf_dup_rows": lambda m: P.duplicate_rows(m.raw.order_reviews.drop("src_order"), ["review_id"]),
@@ -135,7 +135,7 @@ PROFILING: dict[str, Callable[[Mart], DataFrame]] = {
 # --------------------------------------------------------------- quality
 QUALITY: dict[str, Callable[[Mart], DataFrame]] = {
     "dq_orphan_counts": lambda m: Q.orphan_report(_dq_tables(m)),
-    "dq_orphan_repair_null_aware": lambda m: _union(
+    "dq_orphan_repair_null_aware": lambda m: union_all(
         [
             Q.repair_report(
                 m.tables()[t], Q.delete_not_in(m.tables()[t], "order_id", m.parent_orders, "order_id"), t
