@@ -39,9 +39,27 @@ def _col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def wall_micros(ts: ColumnOrName) -> Column:
+    """Microseconds since 1970-01-01 00:00 of a zone-less wall-clock timestamp.
+
+    Built from date and time-of-day parts, which are zone-free for
+    ``timestamp_ntz``; ``timestamp_diff`` / ``unix_micros`` would first cast
+    to a zoned timestamp in the session zone, so a DST change could move a
+    difference by an hour.
+    """
+    t = _col(ts)
+    days = F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")).cast("bigint")
+    seconds = F.date_part(F.lit("SECOND"), t)  # decimal(8,6): seconds with fraction
+    return (
+        days * F.lit(MICROS_PER_DAY)
+        + (F.hour(t) * 3600 + F.minute(t) * 60).cast("bigint") * F.lit(1_000_000)
+        + (seconds * 1_000_000).cast("bigint")
+    )
+
+
 def whole_days(end: ColumnOrName, start: ColumnOrName) -> Column:
     """floor((end - start) / 1 day) as bigint; null if either side is null."""
-    micros = F.timestamp_diff("MICROSECOND", _col(start), _col(end))
+    micros = wall_micros(end) - wall_micros(start)
     return F.floor(micros / F.lit(float(MICROS_PER_DAY))).cast("bigint")
 
 
@@ -108,10 +126,19 @@ def day_of_week(ts: ColumnOrName) -> Column:
     return (F.dayofweek(_col(ts)) - 1).cast("bigint")
 
 
+DATE_UNITS = ("year", "quarter", "month", "week")
+
+
 def trunc_ts(unit: str, ts: ColumnOrName) -> Column:
-    """``date_trunc`` that keeps the zone-less timestamp type.
+    """``date_trunc`` for zone-less timestamps, returning ``timestamp_ntz``.
 
-    Weeks start on Monday. Spark's ``date_trunc`` returns a zoned timestamp,
-    so the result is cast back; with the session in UTC this is exact.
+    Weeks start on Monday. Day and coarser units truncate the date part
+    (zone-free); finer units fall back to ``date_trunc``, which goes through
+    the session zone (keep the session in UTC for those).
     """
+    u = unit.lower()
+    if u == "day":
+        return F.to_date(_col(ts)).cast("timestamp_ntz")
+    if u in DATE_UNITS:
+        return F.trunc(F.to_date(_col(ts)), u).cast("timestamp_ntz")
     return F.date_trunc(unit, _col(ts)).cast("timestamp_ntz")

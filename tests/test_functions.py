@@ -87,3 +87,22 @@ def test_no_python_udfs_in_plans(spark):
     df = spark.createDataFrame([(1.0,)], "x double")
     plan = df.select(dp("x"), pct("x", F.lit(2))).select("*")._jdf.queryExecution().executedPlan().toString()
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
+
+
+def test_whole_days_and_trunc_ignore_session_zone(spark):
+    # Sao Paulo started DST at midnight on 1996-10-06, so that wall-clock
+    # midnight does not exist there: a zoned difference to 1996-11-03 00:00
+    # gives 27 days instead of 28. The zone-less result must not move.
+    df = spark.createDataFrame(
+        [(ts("1996-11-03 00:00:00"), ts("1996-10-06 00:00:00"))], "d timestamp_ntz, e timestamp_ntz"
+    )
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/Sao_Paulo", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            r = df.select(
+                whole_days("d", "e").alias("n"), trunc_ts("day", "e").alias("day"), trunc_ts("month", "d").alias("m")
+            ).first()
+            assert (r.n, r.day, r.m) == (28, ts("1996-10-06 00:00:00"), ts("1996-11-01 00:00:00")), zone
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)
