@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -101,14 +102,16 @@ class Mart:
         includes the input files' sizes and times, so changed inputs reload.
         """
         key = (spark.sparkContext.applicationId, _fingerprint(sf_dir))
-        loaded = _LOADED.get(key)
-        if loaded is None:
-            loaded = LoadedMart.build(cls(spark, sf_dir))
-            _LOADED[key] = loaded
+        with _LOAD_LOCK:
+            loaded = _LOADED.get(key)
+            if loaded is None:
+                loaded = LoadedMart.build(cls(spark, sf_dir))
+                _LOADED[key] = loaded
         return loaded
 
 
 _LOADED: dict[tuple[str, str], "LoadedMart"] = {}
+_LOAD_LOCK = threading.Lock()
 
 
 def _fingerprint(sf_dir: str) -> str:
