@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -61,6 +61,17 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     return path
 
 
+def write_counted(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> int:
+    """SNK-1 + SNK-4 in one pass: write and return the rows written.
+
+    The count is an ``Observation`` metric collected by the write job
+    itself, so the data is not scanned a second time to report it.
+    """
+    obs = Observation("rows_written")
+    write_table(df.observe(obs, F.count(F.lit(1)).alias("rows")), path, fmt, mode)
+    return int(obs.get["rows"])
+
+
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | None = None) -> DataFrame:
     """SRC-2: read a cleaned table back."""
     if fmt == "csv":
@@ -95,6 +106,19 @@ def load_tables(tables: Mapping[str, DataFrame], root: str | None = None, fmt: s
     return paths
 
 
+def load_tables_counted(
+    tables: Mapping[str, DataFrame], root: str | None = None, fmt: str = "parquet"
+) -> dict[str, tuple[str, int]]:
+    """ETL-10 with the reference's per-table report: name -> (path, rows written)."""
+    out = {}
+    base = None
+    for name, df in tables.items():
+        base = base or root or shared_dir(df.sparkSession)
+        path = f"{base.rstrip('/')}/{name}"
+        out[name] = (path, write_counted(df, path, fmt))
+    return out
+
+
 def load_report(spark: SparkSession, paths: Mapping[str, str], fmt: str = "parquet") -> DataFrame:
     """SNK-4: (table_name, n_rows) for written tables, from the files themselves."""
     frames = [
