@@ -53,39 +53,48 @@ def null_counts(df: DataFrame, name: str | None = None) -> DataFrame:
 QUARTILES = (0.25, 0.5, 0.75)
 
 
+def value_counts_ranked(long: DataFrame, by: Sequence[str], value: str = "value",
+                        partitions: int | None = None) -> DataFrame:
+    """(group..., v, c, pid): equal values collapsed, range-partitioned, written.
+
+    Equal values collapse with a combining aggregate (a hot value is one
+    row); the rows are range-partitioned by (group, v) and written, with the
+    partition id, to the shared folder so the ids stay stable between the
+    uses that follow and lineage is cut. Without an explicit count AQE may
+    merge adjacent ranges, which keeps the ids in rank order.
+    """
+    from ordermart.sources.io import materialize
+
+    by = list(by)
+    vc = (
+        long.where(F.col(value).isNotNull())
+        .groupBy(*by, F.col(value).cast("double").alias("v"))
+        .agg(F.count(F.lit(1)).alias("c"))
+    )
+    ranged = vc.repartitionByRange(partitions, *by, "v") if partitions else vc.repartitionByRange(*by, "v")
+    return materialize(ranged.withColumn("pid", F.spark_partition_id()))
+
+
 def exact_quantiles(
-    long: DataFrame, by: Sequence[str], value: str = "value", qs: Sequence[float] = QUARTILES,
-    partitions: int | None = None,
+    long: DataFrame | None, by: Sequence[str], value: str = "value", qs: Sequence[float] = QUARTILES,
+    partitions: int | None = None, ranked_values: DataFrame | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group (pandas ``describe``).
 
     ``percentile`` keeps every distinct value of a group in one final task,
     which does not survive a continuous column at terabyte scale. Instead:
 
-    1. collapse equal values to (group, v, c) with a combining aggregate, so
-       a hot value is a single row;
-    2. range-partition those rows by (group, v) (Spark samples the bounds)
-       and write them, partition id included, to the shared folder: the ids
-       must not change between the uses below, and the copy cuts lineage;
-    3. totals per (group, partition) give each partition's rank offset
+    1. ``value_counts_ranked``: collapse equal values, range-partition them,
+       write them with their partition id;
+    2. totals per (group, partition) give each partition's rank offset
        inside its group; a window inside each partition gives running counts;
-    4. the value at a 0-based rank k is the one whose rank range covers k;
+    3. the value at a 0-based rank k is the one whose rank range covers k;
        one grouped aggregate picks both neighbours of every requested rank.
 
     Returns one row per group with columns ``q<pct>`` (q25, q50, q75).
     """
-    from ordermart.sources.io import materialize
-
     by = list(by)
-    vc = (
-        long.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("v"))
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    # Without an explicit count AQE may merge adjacent ranges; merged
-    # partitions are still ordered ranges, so their ids stay rank-ordered.
-    ranged = vc.repartitionByRange(partitions, *by, "v") if partitions else vc.repartitionByRange(*by, "v")
-    vc = materialize(ranged.withColumn("pid", F.spark_partition_id()))
+    vc = ranked_values if ranked_values is not None else value_counts_ranked(long, by, value, partitions)
     # (group, partition) totals: at most groups x partitions rows.
     per = vc.groupBy(*by, "pid").agg(F.sum("c").alias("pc"))
     before = Window.partitionBy(*by).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -111,6 +120,30 @@ def exact_quantiles(
     return ranked.groupBy(*by).agg(*aggs)
 
 
+def moments_from_counts(vc: DataFrame, by: Sequence[str]) -> DataFrame:
+    """count, mean, std (sample), min, max per group from (group, v, c) rows.
+
+    Two passes over the collapsed values: the mean first, then the squared
+    deviations from it, which is the numerically stable form of the sample
+    variance. Both passes read distinct values only, not the raw rows.
+    """
+    by = list(by)
+    first = vc.groupBy(*by).agg(
+        F.sum("c").alias("count"),
+        (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"),
+        F.min("v").alias("min"),
+        F.max("v").alias("max"),
+    )
+    # one row per group (the profiled columns): a bounded broadcast.
+    dev = vc.join(F.broadcast(first.select(*by, "mean", "count")), by).groupBy(*by).agg(
+        F.sqrt(
+            F.sum(F.col("c") * (F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean")))
+            / F.nullif(F.first("count") - 1, F.lit(0))
+        ).alias("std")
+    )
+    return first.join(dev, by)
+
+
 def to_long(df: DataFrame, cols: Sequence[str], name: str | None = None) -> DataFrame:
     """Numeric columns unpivoted to (table_name?, column_name, value double)."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
@@ -132,15 +165,12 @@ def numeric_summary_long(long: DataFrame, by: Sequence[str], exact: bool = True,
     by = list(by)
     x = F.col("value")
     if exact:
-        stats = long.groupBy(*by).agg(
-            F.count(x).alias("count"),
-            dp(F.avg(x), nd).alias("mean"),
-            dp(F.stddev_samp(x), nd).alias("std"),
-            F.min(x).alias("min"),
-            F.max(x).alias("max"),
+        # One full pass: everything below reads the collapsed, written values.
+        vc = value_counts_ranked(long, by)
+        stats = moments_from_counts(vc, by).join(exact_quantiles(None, by, ranked_values=vc), by)
+        stats = stats.select(
+            *by, "count", dp("mean", nd).alias("mean"), dp("std", nd).alias("std"), "min", "max", "q25", "q50", "q75"
         )
-        qs = exact_quantiles(long, by)
-        stats = stats.join(qs, by, "left")
         quart = [dp(F.col(f"q{p}"), nd).alias(f"p{p}") for p in (25, 50, 75)]
     else:
         stats = long.groupBy(*by).agg(
