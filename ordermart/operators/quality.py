@@ -110,11 +110,13 @@ def delete_not_in(child: DataFrame, child_col: str, parent: DataFrame, parent_co
     nothing, an empty parent deletes everything (null child keys too), and
     otherwise a null child key survives. Spark plans NOT IN as a broadcast
     null-aware anti join whatever the parent's size, so this is the scale
-    form: two scalar facts about the parent plus a left join against its
-    distinct keys, all regular shuffle-or-broadcast plans.
+    form: two facts about the parent (one scalar subquery) plus a left join
+    against its distinct keys, all regular shuffle-or-broadcast plans.
     """
-    n_parent = parent.agg(F.count(F.lit(1))).scalar()
-    n_null = parent.agg(F.count_if(F.col(parent_col).isNull())).scalar()
+    facts = parent.agg(
+        F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.col(parent_col).isNull()).alias("nulls"))
+    ).scalar()
+    n_parent, n_null = facts["n"], facts["nulls"]
     keys = _keys(parent, parent_col).where(F.col("_pk").isNotNull()).withColumn("_hit", F.lit(True))
     j = child.join(keys, child[child_col] == F.col("_pk"), "left")
     matched = F.col("_hit").isNotNull()
@@ -241,22 +243,24 @@ def dq_summary(tables: Mapping[str, DataFrame], tol: float = 1.0) -> DataFrame:
 
 # ------------------------------------------------------------ DQ-10..12
 def pk_report(tables: Mapping[str, DataFrame], pks=PRIMARY_KEYS) -> DataFrame:
-    """DQ-10: a primary key holds when no key column is null and keys are unique."""
+    """DQ-10: a primary key holds when no key column is null and keys are unique.
+
+    One grouped pass per table: rows with a null key column fall into their
+    own groups, so null keys and duplicate keys both come from the counts.
+    """
     frames = []
     for pk in pks:
-        df = tables[pk.table]
         any_null = F.lit(False)
         for c in pk.columns:
             any_null = any_null | F.col(c).isNull()
-        nulls = df.agg(F.count_if(any_null).alias("null_keys"))
-        dup = duplicate_key_stats(df, pk.columns)
+        g = key_groups(tables[pk.table], pk.columns).withColumn("_null", any_null)
         frames.append(
-            nulls.select(
+            g.agg(
                 F.lit(pk.table).alias("table_name"),
                 F.lit(pk.name).alias("constraint_name"),
                 F.lit(",".join(pk.columns)).alias("key_columns"),
-                "null_keys",
-                dup.select("duplicate_keys").scalar().alias("duplicate_keys"),
+                F.coalesce(F.sum(F.when(F.col("_null"), F.col("_n"))), F.lit(0)).alias("null_keys"),
+                F.count_if(F.col("_n") > 1).alias("duplicate_keys"),
             )
         )
     out = union_all(frames).withColumn("violations", F.col("null_keys") + F.col("duplicate_keys"))

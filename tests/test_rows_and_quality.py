@@ -98,3 +98,11 @@ def test_append_missing_is_idempotent(spark):
     once = Q.append_missing(lookup, rows, "k")
     twice = Q.append_missing(once, rows, "k")
     assert sorted(tuple(r) for r in twice.collect()) == [("a", "A"), ("b", "B")]
+
+
+def test_pk_report_counts_null_and_duplicate_keys(spark):
+    # Null keys group together (GROUP BY semantics), so the null group of two
+    # rows is also a duplicate key group.
+    t = spark.createDataFrame([(None,), (None,), ("a",), ("a",), ("b",)], "customer_id string")
+    r = Q.pk_report({"customers": t}, pks=(Q.PrimaryKey("customers", ("customer_id",)),)).first()
+    assert (r.null_keys, r.duplicate_keys, r.violations, r.status) == (2, 2, 4, "violated")
