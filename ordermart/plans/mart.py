@@ -129,12 +129,14 @@ def _fingerprint(sf_dir: str) -> str:
 class LoadedMart(Mart):
     """A ``Mart`` whose cleaned tables are Parquet copies in the shared folder."""
 
-    def __init__(self, source: Mart, paths: dict[str, str]):
+    def __init__(self, source: Mart, paths: dict[str, str], schemas: dict | None = None):
         super().__init__(source.spark, source.sf_dir)
         self.paths = paths
         for name in paths:
-            # cached_property stores into the instance dict; prime it.
-            self.__dict__[name] = io.read_table(self.spark, paths[name])
+            # cached_property stores into the instance dict; prime it. A known
+            # schema skips the footer-inference job on read.
+            schema = (schemas or {}).get(name)
+            self.__dict__[name] = io.read_table(self.spark, paths[name], schema=schema)
 
     @classmethod
     def build(cls, source: Mart) -> "LoadedMart":
@@ -143,7 +145,7 @@ class LoadedMart(Mart):
         # Raw orders first: the cleaned orders are derived from that copy, so
         # the lineitem aggregation of the mapping runs once.
         raw_path = io.load_tables({"raw_orders": source.raw.orders}, root)["raw_orders"]
-        raw_orders = io.read_table(spark, raw_path)
+        raw_orders = io.read_table(spark, raw_path, schema=source.raw.orders.schema)
         tables = source.tables()
         # Rows sorted by status inside each file: row-group min/max stats then
         # let the pushed ``order_status = 'delivered'`` filter skip the rest.
@@ -152,6 +154,8 @@ class LoadedMart(Mart):
         )
         paths = io.load_tables(tables, root)
         paths["raw_orders"] = raw_path
-        mart = cls(source, paths)
+        schemas = {name: df.schema for name, df in tables.items()}
+        schemas["raw_orders"] = raw_orders.schema
+        mart = cls(source, paths, schemas)
         mart.raw.__dict__["orders"] = mart.__dict__.pop("raw_orders")
         return mart
