@@ -196,25 +196,32 @@ def numeric_summary(df: DataFrame, cols: Sequence[str], name: str | None = None,
 def text_summary(df: DataFrame, cols: Sequence[str], name: str | None = None) -> DataFrame:
     """PRF-6: count, unique, top, freq per text column (nulls ignored).
 
-    A tie for the most frequent value goes to the smallest value.
+    All columns in one pass: unpivot to (column, value), count each value
+    with a combining aggregate, then one small aggregate per column. A tie
+    for the most frequent value goes to the smallest value.
     """
-    frames = []
-    for c in cols:
-        vc = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        order = F.struct((-F.col("n")).alias("neg_n"), F.col("v"))
-        head = [F.lit(c).alias("column_name")]
-        if name is not None:
-            head = [F.lit(name).alias("table_name")] + head
-        frames.append(
-            vc.agg(
-                *head,
-                F.coalesce(F.sum("n"), F.lit(0)).alias("count"),
-                F.count(F.lit(1)).alias("unique"),
-                F.min_by("v", order).cast("string").alias("top"),
-                F.max("n").alias("freq"),
-            )
-        )
-    return union_all(frames)
+    cols = list(cols)
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column_name", "v")
+    vc = long.where(F.col("v").isNotNull()).groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct((-F.col("n")).alias("neg_n"), F.col("v"))
+    out = vc.groupBy("column_name").agg(
+        F.sum("n").alias("count"),
+        F.count(F.lit(1)).alias("unique"),
+        F.min_by("v", order).alias("top"),
+        F.max("n").alias("freq"),
+    )
+    # a column with only nulls still gets its row (count 0, no top)
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
+    out = names.join(out, "column_name", "left").select(
+        "column_name",
+        F.coalesce("count", F.lit(0)).alias("count"),
+        F.coalesce("unique", F.lit(0)).alias("unique"),
+        "top",
+        "freq",
+    )
+    if name is not None:
+        out = out.select(F.lit(name).alias("table_name"), "*")
+    return out
 
 
 # ------------------------------------------------------------ PRF-7/8

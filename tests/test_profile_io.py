@@ -90,3 +90,9 @@ def test_write_counted_matches_rows(spark, tmp_path):
     report = load_tables_counted({"x": df, "y": df.limit(5)}, str(tmp_path / "load"))
     assert {k: v[1] for k, v in report.items()} == {"x": 1234, "y": 5}
     assert read_table(spark, report["x"][0]).count() == 1234
+
+
+def test_text_summary_all_null_column(spark):
+    df = spark.createDataFrame([("x", None), ("y", None), ("x", None)], "a string, b string")
+    got = {r.column_name: (r["count"], r.unique, r.top, r.freq) for r in P.text_summary(df, ["a", "b"]).collect()}
+    assert got == {"a": (3, 2, "x", 2), "b": (0, 0, None, None)}
