@@ -28,11 +28,31 @@ MAPPED_SOURCES = ("nation", "customer", "supplier", "part", "orders", "lineitem"
 GEO_DECIMALS = 6
 
 
+class RawTables:
+    """User-supplied raw tables with the same attributes as ``Conformed``.
+
+    Real data has no fixture trick: the parent set of orphan checks is the
+    cleaned orders table itself.
+    """
+
+    def __init__(self, tables: dict[str, DataFrame]):
+        for name, df in tables.items():
+            setattr(self, name, df)
+
+    def parent_orders(self, cleaned_orders: DataFrame) -> DataFrame:
+        return cleaned_orders
+
+
 class Mart:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, raw=None):
         self.spark = spark
         self.sf_dir = sf_dir
-        self.raw = Conformed(DriverTables(spark, sf_dir))
+        self.raw = raw if raw is not None else Conformed(DriverTables(spark, sf_dir))
+
+    @classmethod
+    def from_raw(cls, spark: SparkSession, tables: dict[str, DataFrame]) -> "Mart":
+        """Run the pipeline on the nine raw tables (e.g. from ``read_raw_dir``)."""
+        return cls(spark, "", raw=RawTables(tables))
 
     @cached_property
     def orders(self) -> DataFrame:

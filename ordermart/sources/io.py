@@ -12,7 +12,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from ordermart.session import shared_dir
 
@@ -33,22 +33,39 @@ PANDAS_NA_STRINGS = (
 )
 
 
-def read_raw_csv(spark: SparkSession, path: str, schema: StructType, na_strings=PANDAS_NA_STRINGS) -> DataFrame:
+def read_raw_csv(
+    spark: SparkSession,
+    path: str,
+    schema: StructType,
+    na_strings=PANDAS_NA_STRINGS,
+    order_column: str | None = None,
+) -> DataFrame:
     """SRC-1: read a headered CSV with pandas' missing-value rules, then type it.
 
-    Every column is read as a string, the NA tokens become null, and the
-    declared types are applied with ANSI casts (a malformed value raises,
-    as ``pd.to_datetime`` does). Leading zeros of string keys survive.
+    Columns are matched by header name (never by position): every column is
+    read as a string, the NA tokens become null, the declared columns get
+    their types with ANSI casts (a malformed value raises, as
+    ``pd.to_datetime`` does) and undeclared columns pass through as strings.
+    String keys keep their leading zeros. ``order_column`` adds the row's
+    position in the file (a multi-line CSV file is read by one task, so
+    ``monotonically_increasing_id`` follows the file order); it is what the
+    keep-first cleaning steps order by.
     """
-    as_text = StructType([StructField(f.name, StringType(), True) for f in schema.fields])
-    df = spark.read.options(**CSV_READ_OPTIONS).schema(as_text).csv(path)
+    df = spark.read.options(**CSV_READ_OPTIONS).option("inferSchema", "false").csv(path)
+    missing = [f.name for f in schema.fields if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"{path}: missing columns {missing}")
+    declared = {f.name: f.dataType for f in schema.fields}
     na = list(na_strings)
     cols = []
-    for f in schema.fields:
-        c = F.col(f.name)
+    for name in df.columns:
+        c = F.col(f"`{name}`")
         c = F.when(c.isin(na), F.lit(None)).otherwise(c)
-        cols.append(c.cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+        cols.append(c.cast(declared[name]).alias(name) if name in declared else c.alias(name))
+    out = df.select(*cols)
+    if order_column:
+        out = out.withColumn(order_column, F.monotonically_increasing_id())
+    return out
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
@@ -132,6 +149,22 @@ def load_tables_counted(
     return out
 
 
+def read_raw_dir(spark: SparkSession, files: Mapping[str, str]) -> dict[str, DataFrame]:
+    """SRC-1 x 9: read each raw table (name -> CSV path) with its declared schema.
+
+    Tables whose cleaning keeps the first row in file order get the
+    ``src_order`` position column.
+    """
+    from ordermart.sources.schemas import FILE_ORDER_COLUMN, FILE_ORDER_TABLES, RAW_SCHEMAS
+
+    return {
+        name: read_raw_csv(
+            spark, path, RAW_SCHEMAS[name], order_column=FILE_ORDER_COLUMN if name in FILE_ORDER_TABLES else None
+        )
+        for name, path in files.items()
+    }
+
+
 def load_report(spark: SparkSession, paths: Mapping[str, str], fmt: str = "parquet") -> DataFrame:
     """SNK-4: (table_name, n_rows) for written tables, from the files themselves."""
     frames = [
