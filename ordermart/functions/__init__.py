@@ -2,7 +2,6 @@
 
 from ordermart.functions.columns import (
     BUCKET_LABELS,
-    LATE,
     ON_TIME,
     DELAYED,
     day_of_week,
@@ -11,7 +10,6 @@ from ordermart.functions.columns import (
     pct,
     safe_corr,
     severity_bucket,
-    severity_rank,
     status_label,
     trunc_ts,
     whole_days,
@@ -19,7 +17,6 @@ from ordermart.functions.columns import (
 
 __all__ = [
     "BUCKET_LABELS",
-    "LATE",
     "ON_TIME",
     "DELAYED",
     "day_of_week",
@@ -28,7 +25,6 @@ __all__ = [
     "pct",
     "safe_corr",
     "severity_bucket",
-    "severity_rank",
     "status_label",
     "trunc_ts",
     "whole_days",

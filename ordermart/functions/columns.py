@@ -25,7 +25,6 @@ MICROS_PER_DAY = 86_400_000_000
 # Fixed values (labels of the reference's delay classification).
 DELAYED = "Delayed"
 ON_TIME = "On Time"
-LATE = "late"
 BUCKET_LABELS = (
     "On Time",
     "1-3 Days Late",
@@ -112,15 +111,6 @@ def severity_bucket(delay: ColumnOrName) -> Column:
     )
 
 
-def severity_rank(bucket: ColumnOrName) -> Column:
-    """Position of a bucket label in ``BUCKET_LABELS`` (0-based)."""
-    b = _col(bucket)
-    expr = F.lit(None).cast("int")
-    for i, label in reversed(list(enumerate(BUCKET_LABELS))):
-        expr = F.when(b == label, F.lit(i)).otherwise(expr)
-    return expr
-
-
 def day_of_week(ts: ColumnOrName) -> Column:
     """0 = Sunday .. 6 = Saturday, as bigint (PostgreSQL ``EXTRACT(DOW)``)."""
     return (F.dayofweek(_col(ts)) - 1).cast("bigint")

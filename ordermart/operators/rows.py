@@ -33,11 +33,6 @@ def drop_if_any(df: DataFrame, *masks: Column) -> DataFrame:
     return df.where(~any_mask(*masks))
 
 
-def flag_masks(df: DataFrame, *masks: Column, name: str = "_drop") -> DataFrame:
-    """Add a boolean column marking rows that ``drop_if_any`` would remove."""
-    return df.withColumn(name, any_mask(*masks))
-
-
 def keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column]) -> DataFrame:
     """One row per key: the row that comes first by ``order_by``.
 

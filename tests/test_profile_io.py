@@ -96,3 +96,14 @@ def test_text_summary_all_null_column(spark):
     df = spark.createDataFrame([("x", None), ("y", None), ("x", None)], "a string, b string")
     got = {r.column_name: (r["count"], r.unique, r.top, r.freq) for r in P.text_summary(df, ["a", "b"]).collect()}
     assert got == {"a": (3, 2, "x", 2), "b": (0, 0, None, None)}
+
+
+def test_conditional_count_and_schema_report(spark):
+    # PRF-10: rows matching a predicate (a null comparison counts as False).
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1.0,), (-40.0,), (None,), (35.0,)], "d double")
+    assert P.conditional_count(df, F.col("d") < -30, "early").first().early == 1
+    # PRF-2/3: column names and types, in order.
+    rows = [(r.position, r.column_name, r.data_type) for r in P.schema_report(spark, df, "t").collect()]
+    assert rows == [(0, "d", "double")]
