@@ -197,27 +197,20 @@ def text_summary(df: DataFrame, cols: Sequence[str], name: str | None = None) ->
     """PRF-6: count, unique, top, freq per text column (nulls ignored).
 
     All columns in one pass: unpivot to (column, value), count each value
-    with a combining aggregate, then one small aggregate per column. A tie
-    for the most frequent value goes to the smallest value.
+    with a combining aggregate, then one small aggregate per column. Null
+    values keep their own group so an all-null column still gets a row. A
+    tie for the most frequent value goes to the smallest value.
     """
     cols = list(cols)
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column_name", "v")
-    vc = long.where(F.col("v").isNotNull()).groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+    vc = long.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+    seen = F.col("v").isNotNull()
     order = F.struct((-F.col("n")).alias("neg_n"), F.col("v"))
     out = vc.groupBy("column_name").agg(
-        F.sum("n").alias("count"),
-        F.count(F.lit(1)).alias("unique"),
-        F.min_by("v", order).alias("top"),
-        F.max("n").alias("freq"),
-    )
-    # a column with only nulls still gets its row (count 0, no top)
-    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
-    out = names.join(out, "column_name", "left").select(
-        "column_name",
-        F.coalesce("count", F.lit(0)).alias("count"),
-        F.coalesce("unique", F.lit(0)).alias("unique"),
-        "top",
-        "freq",
+        F.coalesce(F.sum(F.when(seen, F.col("n"))), F.lit(0)).alias("count"),
+        F.count_if(seen).alias("unique"),
+        F.min_by(F.col("v"), F.when(seen, order)).alias("top"),
+        F.max(F.when(seen, F.col("n"))).alias("freq"),
     )
     if name is not None:
         out = out.select(F.lit(name).alias("table_name"), "*")
