@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordermart.operators import quality as Q
-from ordermart.sources.io import materialize
+from ordermart.sources import io
 
 REPAIRED_CHILDREN = ("order_items", "order_reviews", "order_payments")
 
@@ -45,8 +45,11 @@ def repair_tables(
     )
     out["category_translation"] = Q.append_missing(lookup, rows, "product_category_name")
     if persist:
-        for name in (*REPAIRED_CHILDREN, "category_translation"):
-            out[name] = materialize(out[name])
+        # independent writes: submitted together, then read back (lineage cut)
+        changed = {name: out[name] for name in (*REPAIRED_CHILDREN, "category_translation")}
+        paths = io.load_tables(changed)
+        for name, path in paths.items():
+            out[name] = io.read_table(out[name].sparkSession, path, schema=changed[name].schema)
     return out
 
 
