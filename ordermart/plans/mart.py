@@ -1,8 +1,13 @@
-"""The cleaned mart: raw conformed tables run through the cleaning jobs.
-
-``Mart(spark, sf_dir)`` wires sources -> cleaning -> tables that analytic
-and quality operators consume. Everything stays lazy; each property is one
-DataFrame built once per ``Mart``.
+"""The cleaned mart: raw tables run through the cleaning jobs.
+
+* ``Mart(spark, sf_dir)`` wires the driver tables -> conformed raw tables ->
+  cleaning jobs. Everything stays lazy; each property is one DataFrame built
+  once per ``Mart``.
+* ``Mart.from_raw(spark, tables)`` does the same for raw tables a user read
+  (e.g. the nine CSV files through ``sources.io.read_raw_dir``).
+* ``Mart.shared(spark, sf_dir)`` is the loaded mart: the cleaned tables
+  written once per session and input to the shared folder, then read by
+  every check and question.
 """
 
 from __future__ import annotations
