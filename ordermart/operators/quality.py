@@ -103,8 +103,11 @@ def orphan_report(tables: Mapping[str, DataFrame], checks=ORPHAN_CHECKS) -> Data
 
 
 # -------------------------------------------------------------- DQ-3
-def delete_not_in(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str) -> DataFrame:
-    """Rows that survive ``DELETE FROM child WHERE k NOT IN (SELECT pk FROM parent)``.
+def flag_not_in(
+    child: DataFrame, child_col: str, parent: DataFrame, parent_col: str, flag: str = "_keep"
+) -> DataFrame:
+    """``child`` plus a boolean ``flag``: does the row survive
+    ``DELETE FROM child WHERE k NOT IN (SELECT pk FROM parent)``?
 
     SQL's NOT IN is null-aware: a null anywhere in the parent keys deletes
     nothing, an empty parent deletes everything (null child keys too), and
@@ -123,7 +126,22 @@ def delete_not_in(child: DataFrame, child_col: str, parent: DataFrame, parent_co
     keep = F.when(n_parent == 0, F.lit(False)).when(n_null > 0, F.lit(True)).otherwise(
         matched | F.col(child_col).isNull()
     )
-    return j.where(keep).select(*[child[c] for c in child.columns])
+    return j.select(*[child[c] for c in child.columns], keep.alias(flag))
+
+
+def delete_not_in(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str) -> DataFrame:
+    """DQ-3 / SNK-6: the rows that survive the null-aware NOT IN delete."""
+    return flag_not_in(child, child_col, parent, parent_col, "_keep").where("_keep").drop("_keep")
+
+
+def repair_counts(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str, name: str) -> DataFrame:
+    """SNK-5 for the NOT IN repair: rows before / after / removed in one pass."""
+    flagged = flag_not_in(child, child_col, parent, parent_col, "_keep")
+    return flagged.agg(
+        F.lit(name).alias("table_name"),
+        F.count(F.lit(1)).alias("rows_before"),
+        F.count_if(F.col("_keep")).alias("rows_after"),
+    ).withColumn("rows_removed", F.col("rows_before") - F.col("rows_after"))
 
 
 def repair_report(before: DataFrame, after: DataFrame, name: str) -> DataFrame:

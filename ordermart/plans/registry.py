@@ -136,12 +136,7 @@ PROFILING: dict[str, Callable[[Mart], DataFrame]] = {
 QUALITY: dict[str, Callable[[Mart], DataFrame]] = {
     "dq_orphan_counts": lambda m: Q.orphan_report(_dq_tables(m)),
     "dq_orphan_repair_null_aware": lambda m: union_all(
-        [
-            Q.repair_report(
-                m.tables()[t], Q.delete_not_in(m.tables()[t], "order_id", m.parent_orders, "order_id"), t
-            )
-            for t in R.REPAIRED_CHILDREN
-        ]
+        [Q.repair_counts(m.tables()[t], "order_id", m.parent_orders, "order_id", t) for t in R.REPAIRED_CHILDREN]
     ),
     "dq_lookup_missing": lambda m: Q.missing_codes(
         m.products, "product_category_name", m.category_translation, "product_category_name"

@@ -106,3 +106,17 @@ def test_pk_report_counts_null_and_duplicate_keys(spark):
     t = spark.createDataFrame([(None,), (None,), ("a",), ("a",), ("b",)], "customer_id string")
     r = Q.pk_report({"customers": t}, pks=(Q.PrimaryKey("customers", ("customer_id",)),)).first()
     assert (r.null_keys, r.duplicate_keys, r.violations, r.status) == (2, 2, 4, "violated")
+
+
+def test_repair_counts_one_pass(spark):
+    # SNK-5 for the S8 cases: before / after / removed from one aggregate.
+    child = spark.createDataFrame([(1,), (2,), (None,)], "c int")
+    cases = {
+        "plain": ([(1,), (9,)], (3, 2, 1)),
+        "null_parent": ([(1,), (None,)], (3, 3, 0)),
+        "empty_parent": ([], (3, 0, 3)),
+    }
+    for name, (rows, want) in cases.items():
+        parent = spark.createDataFrame(rows, "p int")
+        r = Q.repair_counts(child, "c", parent, "p", name).first()
+        assert (r.rows_before, r.rows_after, r.rows_removed) == want, name
