@@ -48,3 +48,17 @@ def export_csv(spark: SparkSession, sf_dir: str, out_dir: str, exports: dict[str
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
+
+
+if __name__ == "__main__":
+    # python -m ordermart.plans.export <sf_dir> <out_dir>
+    import sys
+
+    from ordermart.session import get_spark
+
+    if len(sys.argv) != 3:
+        raise SystemExit("usage: python -m ordermart.plans.export <sf_dir> <out_dir>")
+    spark = get_spark()
+    for row in export_csv(spark, sys.argv[1], sys.argv[2]).collect():
+        print(f"Exported: {sys.argv[2].rstrip('/')}/{row.file_name}.csv ({row.rows} rows)")
+    spark.stop()
