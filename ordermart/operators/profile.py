@@ -237,13 +237,16 @@ def value_counts(df: DataFrame, col: str, normalize: bool = False) -> DataFrame:
 def conditional_counts(df: DataFrame, masks: Mapping[str, Column], by: str) -> DataFrame:
     """PRF-9: for each named mask, row counts by ``by`` among matching rows.
 
-    One scan: the masks become columns, then a stack-style unpivot and a
-    single group-by. Null ``by`` values are dropped as ``value_counts`` does.
+    One pass with one ``count_if`` per mask, grouped by ``by``; only the
+    small grouped result is unpivoted, so no row of the input is duplicated.
+    Null ``by`` values and zero counts are dropped, as ``value_counts`` does.
     """
     names = list(masks)
-    flagged = df.select(F.col(by), *[F.coalesce(m, F.lit(False)).alias(n) for n, m in masks.items()])
-    long = flagged.unpivot([by], names, "mask", "hit").where(F.col("hit") & F.col(by).isNotNull())
-    return long.groupBy("mask", by).agg(F.count(F.lit(1)).alias("n")).orderBy("mask", F.desc("n"))
+    wide = df.where(F.col(by).isNotNull()).groupBy(by).agg(
+        *[F.count_if(F.coalesce(m, F.lit(False))).alias(n) for n, m in masks.items()]
+    )
+    long = wide.unpivot([by], names, "mask", "n").where(F.col("n") > 0)
+    return long.select("mask", by, "n").orderBy("mask", F.desc("n"))
 
 
 def conditional_count(df: DataFrame, mask: Column, name: str = "n") -> DataFrame:

@@ -107,3 +107,14 @@ def test_conditional_count_and_schema_report(spark):
     # PRF-2/3: column names and types, in order.
     rows = [(r.position, r.column_name, r.data_type) for r in P.schema_report(spark, df, "t").collect()]
     assert rows == [(0, "d", "double")]
+
+
+def test_conditional_counts_semantics(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(
+        [("a", None, 1), ("a", 1, None), ("b", None, None), (None, None, None), ("c", 1, 1)],
+        "s string, x int, y int",
+    )
+    got = sorted(tuple(r) for r in P.conditional_counts(df, {"x": F.col("x").isNull(), "y": F.col("y").isNull()}, "s").collect())
+    assert got == [("x", "a", 1), ("x", "b", 1), ("y", "a", 1), ("y", "b", 1)]
