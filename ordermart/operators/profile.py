@@ -145,13 +145,15 @@ def moments_from_counts(vc: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def to_long(df: DataFrame, cols: Sequence[str], name: str | None = None) -> DataFrame:
-    """Numeric columns unpivoted to (table_name?, column_name, value double)."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], list(cols), "column_name", "value"
+    """Numeric columns as (table_name?, column_name, value double) rows.
+
+    A union of one-column projections rather than an unpivot: no input row
+    is copied once per column, and each branch scans only its own column.
+    """
+    head = [F.lit(name).alias("table_name")] if name is not None else []
+    return union_all(
+        [df.select(*head, F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in cols]
     )
-    if name is not None:
-        long = long.select(F.lit(name).alias("table_name"), "*")
-    return long
 
 
 def numeric_summary_long(long: DataFrame, by: Sequence[str], exact: bool = True, nd: int = 6,
