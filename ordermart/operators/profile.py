@@ -198,13 +198,14 @@ def numeric_summary(df: DataFrame, cols: Sequence[str], name: str | None = None,
 def text_summary(df: DataFrame, cols: Sequence[str], name: str | None = None) -> DataFrame:
     """PRF-6: count, unique, top, freq per text column (nulls ignored).
 
-    All columns in one pass: unpivot to (column, value), count each value
-    with a combining aggregate, then one small aggregate per column. Null
-    values keep their own group so an all-null column still gets a row. A
-    tie for the most frequent value goes to the smallest value.
+    All columns together: a union of one-column projections (no row is
+    copied per column), each value counted with a combining aggregate, then
+    one small aggregate per column. Null values keep their own group so an
+    all-null column still gets a row. A tie for the most frequent value goes
+    to the smallest value.
     """
     cols = list(cols)
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column_name", "v")
+    long = union_all([df.select(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in cols])
     vc = long.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
     seen = F.col("v").isNotNull()
     order = F.struct((-F.col("n")).alias("neg_n"), F.col("v"))
