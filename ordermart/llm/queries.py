@@ -6,17 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ordermart.llm import bpe
+from ordermart.llm import bpe, mixing, pii, quality
 from ordermart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.plan(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op7_bpe": op7_bpe}
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {"op1_mix": op1_mix, "op7_bpe": op7_bpe, "op8_pii": op8_pii, "op10_quality": op10_quality}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
