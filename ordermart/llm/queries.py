@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ordermart.llm import bpe, mixing, pii, quality
+from ordermart.llm import bpe, line_dedup, metric_join, mixing, pii, quality, simhash
 from ordermart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,18 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op4_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -29,7 +41,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_mix": op1_mix, "op7_bpe": op7_bpe, "op8_pii": op8_pii, "op10_quality": op10_quality}
+QUERIES: dict[str, Query] = {"op1_mix": op1_mix, "op3_line_dedup": op3_line_dedup, "op4_metric_join": op4_metric_join, "op5_simhash": op5_simhash, "op7_bpe": op7_bpe, "op8_pii": op8_pii, "op10_quality": op10_quality}
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.oracle()}
