@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ordermart.llm import bpe, line_dedup, metric_join, mixing, pii, quality, simhash
+from ordermart.llm import bpe, licences, line_dedup, metric_join, mixing, pii, quality, simhash
 from ordermart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,11 +37,15 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_mix": op1_mix, "op3_line_dedup": op3_line_dedup, "op4_metric_join": op4_metric_join, "op5_simhash": op5_simhash, "op7_bpe": op7_bpe, "op8_pii": op8_pii, "op10_quality": op10_quality}
+QUERIES: dict[str, Query] = {"op1_mix": op1_mix, "op3_line_dedup": op3_line_dedup, "op4_metric_join": op4_metric_join, "op5_simhash": op5_simhash, "op7_bpe": op7_bpe, "op8_pii": op8_pii, "op9_licences": op9_licences, "op10_quality": op10_quality}
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.oracle()}
+ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.oracle(), "op9_licences": licences.oracle()}
