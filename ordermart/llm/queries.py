@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ordermart.llm import bpe, licences, line_dedup, metric_join, mixing, pii, quality, simhash
+from ordermart.llm import bpe, licences, line_dedup, metric_join, mixing, pii, quality, simhash, toxicity
 from ordermart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,12 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    one = F.transform("spans", lambda x: F.concat(x["start"].cast("string"), F.lit(":"), x["end"].cast("string")))
+    return found.select("doc_id", "held_out", "score", "predicted", F.array_join(one, ",").alias("spans"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
@@ -45,7 +52,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_mix": op1_mix, "op3_line_dedup": op3_line_dedup, "op4_metric_join": op4_metric_join, "op5_simhash": op5_simhash, "op7_bpe": op7_bpe, "op8_pii": op8_pii, "op9_licences": op9_licences, "op10_quality": op10_quality}
+QUERIES: dict[str, Query] = {"op1_mix": op1_mix, "op2_toxicity": op2_toxicity, "op3_line_dedup": op3_line_dedup, "op4_metric_join": op4_metric_join, "op5_simhash": op5_simhash, "op7_bpe": op7_bpe, "op8_pii": op8_pii, "op9_licences": op9_licences, "op10_quality": op10_quality}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.oracle(), "op9_licences": licences.oracle()}
