@@ -68,6 +68,7 @@ def line_dedup(
     sites: int = SITES,
     most: float = MOST,
     near: float = NEAR,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """``doc_id, text, n_lines, n_removed, removed_chars, mostly_shared`` of every row.
 
@@ -76,10 +77,11 @@ def line_dedup(
     lines always stay. If more than ``most`` of the characters of such lines
     are boilerplate, nothing is removed and ``mostly_shared`` is true. A null
     text counts as empty: no lines. A null site is a site. Repeated rows are
-    treated alike, and count as one site.
+    treated alike, and count as one site. The columns ``carry`` come last.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.col(site_col).cast("string").alias("site"))
+    more = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None)
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.col(site_col).cast("string").alias("site"), more.alias("more"))
     # Equal rows are interchangeable, so a row is known by its id and text.
     docs = docs.withColumn("row", F.struct(F.coalesce("doc_id", F.lit(-1).cast("long")).alias("id"), F.xxhash64("text").alias("of"), F.col("doc_id").isNull().alias("unnamed")))
     lines = _lines(docs)
@@ -106,6 +108,7 @@ def line_dedup(
         F.when(cut, F.size("at")).otherwise(0).cast("long").alias("n_removed"),
         F.when(cut, F.col("shared")).otherwise(0).cast("long").alias("removed_chars"),
         much.alias("mostly_shared"),
+        *(F.col("more")[c].alias(c) for c in carry),
     )
 
 

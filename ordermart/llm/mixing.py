@@ -3,8 +3,10 @@
 The words of a source lie in shards, in a seeded order of its documents, and
 are cut into blocks of equally many words. Blocks are seats: sources get theirs
 by highest quotients ``target / (2 k + 1)``, a source's shards get theirs by
-highest quotients of their sizes, and in a shard a seeded systematic choice
-takes exactly its quota. A document's share of the mix is what its blocks have.
+highest quotients of their sizes, and in a shard a seeded choice takes exactly
+its quota: a stretch of blocks from a seeded place on. As the documents lie in
+seeded order, that is a random choice of documents, all but its ends whole. A
+document's share of the mix is what its blocks have.
 
 Nothing is listed block by block. Of the quotients only those are made that
 may decide: with W the sum of the weights and n of them, the divisors
@@ -17,10 +19,14 @@ bounded number of words, so a source with a third of all rows is many shards.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordermart.llm.common import WORD, written
+from ordermart.llm.common import WORD, slices, written
 
 #: Words a block has, and words a shard should have.
 BLOCK, SHARD = 64, 1 << 21
@@ -97,6 +103,7 @@ def plan(
     block: int = BLOCK,
     shard: int = SHARD,
     seed: int = 42,
+    keep: str | None = None,
 ) -> DataFrame:
     """The mix of all documents: ``doc_id, source, size, source_size, target,
     taken, first, shard_quota, shard_blocks, shift`` (one row a row of ``df``).
@@ -107,10 +114,10 @@ def plan(
     and ``passes`` gives the times a block is taken. A null text has no words;
     a null source is a source; repeated rows each take part. The same input
     gives the same mix in any partitioning (rows alike in id, source and size
-    are interchangeable).
+    are interchangeable). The column ``keep`` comes last.
     """
     text = F.col(text_col)
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col).cast("long")).alias("mixed"))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col).cast("long")).alias("mixed"), *([F.col(keep)] if keep else []))
     rows = written(rows)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = targets(sizes, weights, total_share, most).withColumns({"all": F.lit(0), "shards": F.ceil(F.col("source_size") / shard).cast("long")})
@@ -130,19 +137,19 @@ def plan(
     shards = shards.withColumns({"shard_blocks": blocks, "shard_quota": F.least(F.col("quota"), F.lit(int(most)) * blocks)})
     shards = shards.withColumn("shift", F.pmod(F.xxhash64(F.lit(seed + 2), F.coalesce(F.col("source"), F.lit("")), "shard"), F.greatest(F.col("shard_blocks"), F.lit(1))))
     shards = written(shards.select(F.col("source").alias("s_source"), F.col("shard").alias("s_shard"), "source_size", "target", "shard_blocks", "shard_quota", "shift"))
-    laid = Window.partitionBy("source", "shard").orderBy("mixed", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    laid = Window.partitionBy("source", "shard").orderBy("mixed", "doc_id", "size", *([keep] if keep else [])).rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("first", F.coalesce(F.sum("size").over(laid), F.lit(0)))
     placed = placed.join(shards, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("shard") == F.col("s_shard")), "left")
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken(block).alias("taken"), "first", "shard_quota", "shard_blocks", "shift")
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken(block).alias("taken"), "first", "shard_quota", "shard_blocks", "shift", *([keep] if keep else []))
 
 
 def passes(b: Column) -> Column:
     """Times block ``b`` of its shard is taken: the quota's whole multiple of
-    the blocks, and once more where the seeded step crosses a whole number,
-    which happens for exactly the rest of the quota."""
+    the blocks, and once more in the seeded stretch, which has exactly the rest
+    of the quota."""
     n = F.col("shard_blocks")
     rest = F.col("shard_quota") % n
-    return F.floor(F.col("shard_quota") / n).cast("long") + ((b * rest + F.col("shift")) % n < rest).cast("long")
+    return F.floor(F.col("shard_quota") / n).cast("long") + ((b + F.col("shift")) % n < rest).cast("long")
 
 
 def taken(block: int) -> Column:
@@ -151,3 +158,61 @@ def taken(block: int) -> Column:
     part = lambda b: (F.least(end, (b + 1) * block) - F.greatest(first, b * block)) * passes(b)
     whole = F.aggregate(mine, F.lit(0).cast("long"), lambda a, b: a + part(b))
     return F.when((F.col("size") > 0) & (F.col("shard_quota") > 0), whole).otherwise(F.lit(0).cast("long"))
+
+
+def _parts(text: str, first: int, quota: int, blocks: int, shift: int, block: int) -> list[str]:
+    """What each pass over the mix takes of a text: all of it as it is, or the
+    stretches of its words that are taken, a line each."""
+    words = [m.span() for m in re.finditer(WORD, text)]
+    if not words or not quota:
+        return []
+    base, rest = divmod(quota, blocks)
+    times = [base + ((b + shift) % blocks < rest) for b in range(first // block, (first + len(words) - 1) // block + 1)]
+    out = []
+    for turn in range(1, max(times) + 1):
+        if min(times) >= turn:
+            out.append(text)
+            continue
+        lines, open_at = [], None
+        for k, (start, end) in enumerate(words):
+            if times[(first + k) // block - first // block] >= turn:
+                open_at = start if open_at is None else open_at
+                last = end
+            elif open_at is not None:
+                lines.append(text[open_at:last])
+                open_at = None
+        out.append("\n".join(lines + ([text[open_at:last]] if open_at is not None else [])))
+    return out
+
+
+def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, **options) -> DataFrame:
+    """The mix itself, in the columns of ``df``: a row for each time a document
+    is taken, with the words taken. All but the ends of a shard's stretch are
+    whole texts. Documents of which nothing is taken go; so do those without a
+    word. Rows equal in id and text are one row here, with their shares added.
+    A column ``n_chars`` follows the text."""
+    shares = plan(df.withColumn("_of", F.xxhash64(text_col)), id_col, text_col, source_col, block=block, keep="_of", **options)
+    shares = shares.filter("taken > 0").groupBy("doc_id", "_of").agg(F.collect_list(F.struct("first", "shard_quota", "shard_blocks", "shift")).alias("_shares"))
+    shares = shares.select(F.col("doc_id").alias("_id"), F.col("_of").alias("_key"), "_shares")
+    own = df.withColumn("_of", F.xxhash64(text_col))
+    own = own.join(shares, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_key"))).dropDuplicates(["_id", "_key"])
+    own = own.select(*df.columns, "_shares")
+    at, n = df.columns.index(text_col), len(df.columns)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at):
+                rows, texts = [], []
+                for k in range(part.num_rows):
+                    for s in part.column(n)[k].as_py():
+                        some = _parts(part.column(at)[k].as_py(), s["first"], s["shard_quota"], s["shard_blocks"], s["shift"], block)
+                        texts += some
+                        rows += [k] * len(some)
+                taken_rows = part.take(pa.array(rows, pa.int64()))
+                columns = [taken_rows.column(k) for k in range(n)]
+                columns[at] = pa.array(texts, pa.string())
+                if "n_chars" in df.columns:
+                    columns[df.columns.index("n_chars")] = pa.array([len(t) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays(columns, names=df.columns)
+
+    return own.mapInArrow(work, df.withColumn("n_chars", F.col("n_chars").cast("long")).schema if "n_chars" in df.columns else df.schema)

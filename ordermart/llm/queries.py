@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordermart.llm import bpe, licences, line_dedup, metric_join, mixing, pii, quality, simhash, toxicity
+from ordermart.llm import bpe, licences, line_dedup, metric_join, mixing, pii, quality, simhash, suffix_dedup, toxicity
 from ordermart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_mix": op1_mix, "op2_toxicity": op2_toxicity, "op3_line_dedup": op3_line_dedup, "op4_metric_join": op4_metric_join, "op5_simhash": op5_simhash, "op7_bpe": op7_bpe, "op8_pii": op8_pii, "op9_licences": op9_licences, "op10_quality": op10_quality}
+QUERIES: dict[str, Query] = {
+    "op1_mix": op1_mix,
+    "op2_toxicity": op2_toxicity,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_metric_join": op4_metric_join,
+    "op5_simhash": op5_simhash,
+    "op6_substrings": op6_substrings,
+    "op7_bpe": op7_bpe,
+    "op8_pii": op8_pii,
+    "op9_licences": op9_licences,
+    "op10_quality": op10_quality,
+}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.oracle(), "op9_licences": licences.oracle()}

@@ -173,3 +173,13 @@ def near_duplicates(
     firsts = named.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = named.join(firsts, "component").select("bits", "component_id")
     return marked.join(ids, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` whose id names their group: one document of each.
+    Of rows that share an id one stays. Rows without id aren't compared and stay."""
+    named = df.filter(F.col(id_col).isNotNull())
+    found = near_duplicates(named, id_col, text_col, **options)
+    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    kept = named.join(first, named[id_col] == first["_first"]).drop("_first").dropDuplicates([id_col])
+    return kept.unionByName(df.filter(F.col(id_col).isNull()))

@@ -301,3 +301,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample:
     a labelled document of either class nothing is learned and scores are near 0."""
     chain = learn(documents(docs), labels, sample)
     return score(docs, chain, threshold=threshold).select("doc_id", held_out().alias("held_out"), "score", "predicted", "spans")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: tuple[int, int] = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, with all their columns."""
+    chain = learn(documents(docs), labels, sample)
+    at = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at):
+                clean = [chain.tag(t.as_py() or "")[0] < threshold for t in part.column(at)]
+                yield part.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
