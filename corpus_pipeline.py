@@ -1,23 +1,60 @@
-"""The corpus pipeline: stages of the text operators over ``documents``."""
+"""The corpus pipeline: stages of the text operators over ``documents``.
+
+Each stage works on all that its predecessor kept and returns the columns of
+``documents`` (the last one its own result): toxic documents go, boilerplate
+lines go, one document of each group of near duplicates stays, the rest is
+mixed by source, and what the mix has is encoded.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ordermart.llm import bpe
+from ordermart.llm import bpe, line_dedup, mixing, simhash, toxicity
 from ordermart.llm.common import table, written
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; all others stay as they are."""
+    return toxicity.without_toxic(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines on many sites go from documents of which they are the lesser part."""
+    found = line_dedup.line_dedup(docs, carry=("lang", "source"))
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return simhash.representatives(docs.select(*COLUMNS))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them (so an id may occur twice)."""
+    return mixing.mixed(docs.select(*COLUMNS))
+
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE encoding and decoding of all that is kept."""
+    """Ids and decoded text of all that is kept, as digests."""
     return bpe.digests(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("bpe", bpe_stage)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity_stage),
+    ("line_dedup", line_stage),
+    ("simhash", simhash_stage),
+    ("mixing", mixing_stage),
+    ("bpe", bpe_stage),
+]
 
-#: SQL has no suffix matching by ranked merges; tests hold the stages against brute force.
+#: SQL can't express the first stage's model or the last one's merges; a
+#: brute-force version in tests/llm holds the stages.
 ORACLE_SQL = None
 
 
