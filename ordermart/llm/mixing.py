@@ -197,7 +197,9 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     own = df.withColumn("_of", F.xxhash64(text_col))
     own = own.join(shares, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_key"))).dropDuplicates(["_id", "_key"])
     own = own.select(*df.columns, "_shares")
-    at, n = df.columns.index(text_col), len(df.columns)
+    names = df.columns
+    at, n = names.index(text_col), len(names)
+    chars = names.index("n_chars") if "n_chars" in names else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,8 +213,8 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                 taken_rows = part.take(pa.array(rows, pa.int64()))
                 columns = [taken_rows.column(k) for k in range(n)]
                 columns[at] = pa.array(texts, pa.string())
-                if "n_chars" in df.columns:
-                    columns[df.columns.index("n_chars")] = pa.array([len(t) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays(columns, names=df.columns)
+                if chars is not None:
+                    columns[chars] = pa.array([len(t) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return own.mapInArrow(work, df.withColumn("n_chars", F.col("n_chars").cast("long")).schema if "n_chars" in df.columns else df.schema)
+    return own.mapInArrow(work, df.withColumn("n_chars", F.col("n_chars").cast("long")).schema if chars is not None else df.schema)
