@@ -7,8 +7,8 @@ Semantics that are easy to get wrong (see SURVEY §1.4):
 
 * whole days between two timestamps **floor** (−12 h is −1 day), unlike
   ``datediff`` (calendar days) or ``timestampdiff(DAY)`` (truncation);
-* percentages and averages are rounded half away from zero on a
-  ``decimal(18,6)`` intermediate and returned as ``double``;
+* averages are rounded half away from zero, percentages once, from exact
+  counts; both come as ``double``;
 * Pearson correlation is null, not an error, on constant input;
 * day of week is 0 = Sunday .. 6 = Saturday.
 """
@@ -63,14 +63,21 @@ def whole_days(end: ColumnOrName, start: ColumnOrName) -> Column:
 
 
 def dp(x: ColumnOrName, nd: int = 2) -> Column:
-    """Round half away from zero to ``nd`` places, via decimal(18,6)."""
-    return F.round(_col(x).cast("decimal(18,6)"), nd).cast("double")
+    """Round half away from zero to ``nd`` places, on the decimal that the
+    number is printed as. Beyond 1e25 a double has no such places: unchanged."""
+    x = _col(x).cast("double")
+    near = F.abs(x) < F.lit(1e25)
+    return F.when(near, F.round(F.when(near, x).cast("decimal(38,12)"), nd).cast("double")).otherwise(x)
 
 
 def pct(num: ColumnOrName, den: ColumnOrName, nd: int = 2) -> Column:
-    """``round(num * 100 / den, nd)``; null instead of an error when den = 0."""
-    ratio = _col(num).cast("double") * F.lit(100.0) / F.nullif(_col(den).cast("double"), F.lit(0.0))
-    return dp(ratio, nd)
+    """``round(num * 100 / den, nd)`` of two counts; null when den = 0. One
+    rounding, in whole numbers: floor((2 num 100 10^nd + den) / (2 den))."""
+    n, d = _col(num).cast("decimal(19,0)"), F.nullif(_col(den).cast("decimal(19,0)"), F.lit(0).cast("decimal(19,0)"))
+    scale = 10**nd
+    twice = F.abs(n) * F.lit(200 * scale).cast("decimal(9,0)") + d
+    shares = twice - twice % (2 * d)  # a whole multiple of the divisor: no digits are lost below
+    return (F.signum(n.cast("double")) * (shares / (2 * d)).cast("double")) / F.lit(float(scale))
 
 
 def safe_corr(x: ColumnOrName, y: ColumnOrName) -> Column:

@@ -60,14 +60,10 @@ FOREIGN_KEYS = (
         "fk_products_category", "products", "product_category_name", "category_translation", "product_category_name"
     ),
 )
-# (child, column, parent, column) pairs of the orphan scan (DQ-1).
-ORPHAN_CHECKS = (
-    ("order_items", "order_id", "orders", "order_id"),
-    ("order_reviews", "order_id", "orders", "order_id"),
-    ("order_payments", "order_id", "orders", "order_id"),
-    ("orders", "customer_id", "customers", "customer_id"),
-    ("order_items", "seller_id", "sellers", "seller_id"),
-    ("order_items", "product_id", "products", "product_id"),
+# (child, column, parent, column) pairs of the orphan scan (DQ-1): every
+# foreign key but the category's, whose missing codes are listed by DQ-4.
+ORPHAN_CHECKS = tuple(
+    (fk.table, fk.column, fk.parent, fk.parent_column) for fk in FOREIGN_KEYS if fk.parent != "category_translation"
 )
 
 
@@ -82,8 +78,19 @@ def orphan_rows(child: DataFrame, child_col: str, parent: DataFrame, parent_col:
     return child.join(_keys(parent, parent_col), child[child_col] == F.col("_pk"), "left_anti")
 
 
-def orphan_count(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str) -> DataFrame:
-    return orphan_rows(child, child_col, parent, parent_col).agg(F.count(F.lit(1)).alias("issues"))
+def orphan_count(
+    child: DataFrame, child_col: str, parent: DataFrame, parent_col: str, null_keys: bool = True
+) -> DataFrame:
+    """Number of child rows without a parent, null keys counted or not.
+
+    Rows are reduced to one per key before they meet the parent, so a key (or
+    the null key) with a third of all rows is combined map-side.
+    """
+    keys = child.groupBy(F.col(child_col).alias("_ck")).agg(F.count(F.lit(1)).alias("_n"))
+    if not null_keys:
+        keys = keys.where("_ck IS NOT NULL")
+    lost = keys.join(_keys(parent, parent_col), F.col("_ck") == F.col("_pk"), "left_anti")
+    return lost.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("issues"))
 
 
 def orphan_report(tables: Mapping[str, DataFrame], checks=ORPHAN_CHECKS) -> DataFrame:
@@ -121,12 +128,11 @@ def flag_not_in(
     ).scalar()
     n_parent, n_null = facts["n"], facts["nulls"]
     keys = _keys(parent, parent_col).where(F.col("_pk").isNotNull()).withColumn("_hit", F.lit(True))
-    j = child.join(keys, child[child_col] == F.col("_pk"), "left")
-    matched = F.col("_hit").isNotNull()
-    keep = F.when(n_parent == 0, F.lit(False)).when(n_null > 0, F.lit(True)).otherwise(
-        matched | F.col(child_col).isNull()
-    )
-    return j.select(*[child[c] for c in child.columns], keep.alias(flag))
+    decided = F.when(n_parent == 0, F.lit(False)).when(n_null > 0, F.lit(True))
+    # Null keys never meet the parent: the two facts decide them where they are.
+    named = child.where(F.col(child_col).isNotNull()).join(keys, F.col(child_col) == F.col("_pk"), "left")
+    named = named.select(*child.columns, decided.otherwise(F.col("_hit").isNotNull()).alias(flag))
+    return named.unionAll(child.where(F.col(child_col).isNull()).select("*", decided.otherwise(F.lit(True)).alias(flag)))
 
 
 def delete_not_in(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str) -> DataFrame:
@@ -135,12 +141,14 @@ def delete_not_in(child: DataFrame, child_col: str, parent: DataFrame, parent_co
 
 
 def repair_counts(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str, name: str) -> DataFrame:
-    """SNK-5 for the NOT IN repair: rows before / after / removed in one pass."""
-    flagged = flag_not_in(child, child_col, parent, parent_col, "_keep")
+    """SNK-5 for the NOT IN repair: rows before / after / removed in one pass
+    over the child's keys (one row per key before the join)."""
+    keys = child.groupBy(child_col).agg(F.count(F.lit(1)).alias("_n"))
+    flagged = flag_not_in(keys, child_col, parent, parent_col, "_keep")
     return flagged.agg(
         F.lit(name).alias("table_name"),
-        F.count(F.lit(1)).alias("rows_before"),
-        F.count_if(F.col("_keep")).alias("rows_after"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows_before"),
+        F.coalesce(F.sum(F.when(F.col("_keep"), F.col("_n"))), F.lit(0)).alias("rows_after"),
     ).withColumn("rows_removed", F.col("rows_before") - F.col("rows_after"))
 
 
@@ -292,13 +300,13 @@ def fk_violations(child: DataFrame, col: str, parent: DataFrame, parent_col: str
 
 def fk_report(tables: Mapping[str, DataFrame], fks=FOREIGN_KEYS) -> DataFrame:
     frames = [
-        fk_violations(tables[fk.table], fk.column, tables[fk.parent], fk.parent_column).agg(
+        orphan_count(tables[fk.table], fk.column, tables[fk.parent], fk.parent_column, null_keys=False).select(
             F.lit(fk.table).alias("table_name"),
             F.lit(fk.name).alias("constraint_name"),
             F.lit(fk.column).alias("column_name"),
             F.lit(fk.parent).alias("parent_table"),
             F.lit(fk.parent_column).alias("parent_column"),
-            F.count(F.lit(1)).alias("violations"),
+            F.col("issues").alias("violations"),
         )
         for fk in fks
     ]
@@ -357,9 +365,9 @@ def extremes(df: DataFrame, col: str, low: float = -30, high: float = 30) -> Dat
 def conflicting_parents(df: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     """DQ-17: ids that occur more than once, and those mapped to >1 parent."""
     per_id = df.groupBy(id_col).agg(
-        F.count(F.lit(1)).alias("_n"), F.count_distinct(parent_col).alias("_parents")
+        F.count(F.lit(1)).alias("_n"), F.min(parent_col).alias("_low"), F.max(parent_col).alias("_high")
     )
     return per_id.agg(
         F.count_if(F.col("_n") > 1).alias("duplicated_ids"),
-        F.count_if(F.col("_parents") > 1).alias("conflicting_ids"),
+        F.count_if(F.col("_low") < F.col("_high")).alias("conflicting_ids"),
     )

@@ -34,19 +34,12 @@ GEO_DECIMALS = 6
 
 
 class RawTables:
-    """User-supplied raw tables with the same attributes as ``Conformed``.
-
-    Real data has no fixture trick: the parent set of orphan checks is the
-    cleaned orders table itself.
-    """
+    """User-supplied raw tables with the same attributes as ``Conformed``."""
 
     def __init__(self, tables: dict[str, DataFrame]):
         for name, df in tables.items():
             setattr(self, name, df)
 
-    def parent_orders(self, cleaned_orders: DataFrame) -> DataFrame:
-        return cleaned_orders
-
 
 class Mart:
     def __init__(self, spark: SparkSession, sf_dir: str, raw=None):
@@ -95,11 +88,6 @@ class Mart:
     def geolocation(self) -> DataFrame:
         return clean.clean_geolocation(self.raw.geolocation, decimals=GEO_DECIMALS)
 
-    @cached_property
-    def parent_orders(self) -> DataFrame:
-        """Orders as the parent side of orphan checks (canceled removed)."""
-        return self.raw.parent_orders(self.orders)
-
     def tables(self) -> dict[str, DataFrame]:
         """The nine cleaned tables by their reference names."""
         return {

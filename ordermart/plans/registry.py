@@ -1,8 +1,9 @@
 """Named-query registry: ``name -> (spark, sf_dir) -> DataFrame``.
 
 One entry per operator of SURVEY §2 that produces a result. Each callable
-builds a ``Mart`` over the driver tables in ``sf_dir`` (lazy), applies the
-operator and returns the DataFrame without any action.
+builds a ``Mart`` over the driver tables in ``sf_dir``, applies the operator
+and returns the DataFrame. Checks and questions read the loaded mart, which the
+first of them writes; a few I/O queries write tables while they are built.
 """
 
 from __future__ import annotations
@@ -86,13 +87,6 @@ def _probe_tables(m: Mart) -> dict:
     return t
 
 
-def _dq_tables(m: Mart) -> dict:
-    """Tables as loaded for the quality checks: orders without canceled ones."""
-    t = m.tables()
-    t["orders"] = m.parent_orders
-    return t
-
-
 PROFILING: dict[str, Callable[[Mart], DataFrame]] = {
     "prf_shape": lambda m: union_all([P.shape(df, n) for n, df in m.tables().items()]),
     "prf_null_counts": lambda m: union_all([P.null_counts(df, n) for n, df in m.tables().items()]),
@@ -126,7 +120,7 @@ PROFILING: dict[str, Callable[[Mart], DataFrame]] = {
     "prf_semi_join": lambda m: m.raw.order_payments.join(
         m.raw.order_payments.where((F.col("payment_type") == "voucher") & (F.col("payment_value") == 0)).select(
             "order_id"
-        ),
+        ).distinct(),
         "order_id",
         "left_semi",
     ),
@@ -134,21 +128,21 @@ PROFILING: dict[str, Callable[[Mart], DataFrame]] = {
 
 # --------------------------------------------------------------- quality
 QUALITY: dict[str, Callable[[Mart], DataFrame]] = {
-    "dq_orphan_counts": lambda m: Q.orphan_report(_dq_tables(m)),
+    "dq_orphan_counts": lambda m: Q.orphan_report(m.tables()),
     "dq_orphan_repair_null_aware": lambda m: union_all(
-        [Q.repair_counts(m.tables()[t], "order_id", m.parent_orders, "order_id", t) for t in R.REPAIRED_CHILDREN]
+        [Q.repair_counts(m.tables()[t], "order_id", m.orders, "order_id", t) for t in R.REPAIRED_CHILDREN]
     ),
     "dq_lookup_missing": lambda m: Q.missing_codes(
         m.products, "product_category_name", m.category_translation, "product_category_name"
     ),
-    "dq_lookup_repair": lambda m: R.repair_tables(_dq_tables(m), persist=False)["category_translation"],
+    "dq_lookup_repair": lambda m: R.repair_tables(m.tables(), persist=False)["category_translation"],
     "dq_duplicate_keys": lambda m: Q.duplicate_report(m.tables()).drop("duplicate_rows"),
     "dq_duplicate_rows": lambda m: Q.duplicate_report(m.tables()).drop("duplicate_keys"),
     "dq_reconcile_totals": lambda m: Q.reconcile_count(m.order_payments, m.order_items, tol=1.0),
-    "dq_summary": lambda m: Q.dq_summary(_dq_tables(m)),
-    "dq_pk_report": lambda m: Q.pk_report(_dq_tables(m)),
-    "dq_fk_report": lambda m: Q.fk_report(_dq_tables(m)),
-    "dq_constraint_list": lambda m: Q.constraint_list(_dq_tables(m)),
+    "dq_summary": lambda m: Q.dq_summary(m.tables()),
+    "dq_pk_report": lambda m: Q.pk_report(m.tables()),
+    "dq_fk_report": lambda m: Q.fk_report(m.tables()),
+    "dq_constraint_list": lambda m: Q.constraint_list(m.tables()),
     "dq_conflicting_parent": lambda m: Q.conflicting_parents(m.raw.order_reviews, "review_id", "order_id"),
     "dq_extremes": lambda m: Q.extremes(m.orders, "delivery_delay_days", -30, 30),
     "dq_null_delay_by_status": lambda m: Q.null_metric_by_status(m.orders),
@@ -169,7 +163,7 @@ CLEANING: dict[str, Callable[[Mart], DataFrame]] = {
     "etl_geolocation": lambda m: m.geolocation,
 }
 # ETL-11 runs on the loaded tables, like the reference's constraint script.
-QUALITY["etl_cross_repair"] = lambda m: R.cross_repair(_dq_tables(m), persist=True)
+QUALITY["etl_cross_repair"] = lambda m: R.cross_repair(m.tables(), persist=True)
 
 
 def _csv_round_trip(m: Mart) -> DataFrame:

@@ -8,6 +8,10 @@ deterministic integer arithmetic (FIXTURES.md §3). Every table is a lazy
 DataFrame; nothing is collected, and Catalyst prunes what a query does not
 use (A-11 never touches lineitem, for example).
 
+The driver's tables have no defects, so the mapping makes some, as shares of
+the rows: child keys without a parent, null keys, states, scores and statuses,
+review ids over several orders, and delays beyond 30 days either way.
+
 The same mapping is written independently in DuckDB SQL in
 ``ordermart.plans.oracle`` so the two engines can be compared.
 """
@@ -19,7 +23,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordermart.functions.columns import dp
 from ordermart.sources.driver import DriverTables
 
 # Status codes and labels of the mapping.
@@ -40,6 +43,11 @@ def _days(c):
     return F.make_dt_interval(days=c.cast("int"))
 
 
+def _unless(orphan, key: str):
+    """The key, or one that no parent has."""
+    return F.when(orphan, -1 - F.col(key)).otherwise(F.col(key))
+
+
 class Conformed:
     """The nine raw tables of the reference's model, derived lazily."""
 
@@ -57,8 +65,8 @@ class Conformed:
         c = self.t.customer
         return c.join(self._nation_names, c.c_nationkey == F.col("n_nationkey"), "left").select(
             F.col("c_custkey").alias("customer_id"),
-            (F.col("c_custkey") % 1000).alias("customer_unique_id"),
-            F.col("n_name").alias("customer_state"),
+            (F.col("c_custkey") - F.col("c_custkey") % 3).alias("customer_unique_id"),
+            F.when(F.col("c_custkey") % 53 != 7, F.col("n_name")).alias("customer_state"),
         )
 
     @cached_property
@@ -66,7 +74,7 @@ class Conformed:
         s = self.t.supplier
         return s.join(self._nation_names, s.s_nationkey == F.col("n_nationkey"), "left").select(
             F.col("s_suppkey").alias("seller_id"),
-            F.col("n_name").alias("seller_state"),
+            F.when(F.col("s_suppkey") % 29 != 5, F.col("n_name")).alias("seller_state"),
         )
 
     @cached_property
@@ -115,16 +123,18 @@ class Conformed:
         order_status = F.lit(CANCELED)
         for code, label in reversed(list(STATUS_MAP.items())):
             order_status = F.when(status == code, F.lit(label)).otherwise(order_status)
+        order_status = F.when(F.col("o_orderkey") % 101 != 3, order_status)
         purchase = F.col("o_orderdate") + _hours(F.col("o_orderkey") % 24)
         estimated = F.col("o_orderdate") + _days(F.lit(10) + F.col("o_custkey") % 20)
         delay_hours = (
             F.pmod(F.datediff("max_ship", "o_orderdate") * 24 + F.col("o_orderkey") % 24, F.lit(1440))
             - 960
+            + F.when(F.col("o_orderkey") % 89 == 3, F.lit(960)).otherwise(F.lit(0))
         )
         has_lines = F.col("max_ship").isNotNull()
         return j.select(
             F.col("o_orderkey").alias("order_id"),
-            F.col("o_custkey").alias("customer_id"),
+            _unless(F.col("o_custkey") % 97 == 11, "o_custkey").alias("customer_id"),
             order_status.alias("order_status"),
             purchase.alias("order_purchase_timestamp"),
             F.when(has_lines, purchase + _hours(F.lit(1))).alias("order_approved_at"),
@@ -136,11 +146,12 @@ class Conformed:
     @cached_property
     def order_items(self) -> DataFrame:
         li = self.t.lineitem
+        order_id = F.when(F.col("l_partkey") % 127 != 9, _unless(F.col("l_partkey") % 113 == 5, "l_orderkey"))
         return li.select(
-            F.col("l_orderkey").alias("order_id"),
+            order_id.alias("order_id"),
             F.col("l_linenumber").cast("bigint").alias("order_item_id"),
-            F.col("l_partkey").alias("product_id"),
-            F.col("l_suppkey").alias("seller_id"),
+            _unless(F.col("l_orderkey") % 137 == 17, "l_partkey").alias("product_id"),
+            _unless(F.col("l_partkey") % 131 == 7, "l_suppkey").alias("seller_id"),
             F.col("l_shipdate").alias("shipping_limit_date"),
             F.col("l_extendedprice").alias("price"),
             (F.col("l_extendedprice") * F.col("l_tax")).alias("freight_value"),
@@ -155,10 +166,10 @@ class Conformed:
             ptype = F.when(flag == code, F.lit(label)).otherwise(ptype)
         ptype = F.when(F.col("l_linenumber") == PAYMENT_NOT_DEFINED_LINE, F.lit("not_defined")).otherwise(ptype)
         value = F.when(F.col("l_discount") == 0, F.lit(0.0)).otherwise(
-            dp(F.col("l_extendedprice") * (F.lit(1.0) + F.col("l_tax")), 1)
+            F.col("l_extendedprice") * (F.lit(1.0) + F.col("l_tax"))
         )
         return li.select(
-            F.col("l_orderkey").alias("order_id"),
+            _unless(F.col("l_partkey") % 109 == 6, "l_orderkey").alias("order_id"),
             F.col("l_linenumber").cast("bigint").alias("payment_sequential"),
             ptype.alias("payment_type"),
             (F.col("l_quantity").cast("int") % 6).cast("bigint").alias("payment_installments"),
@@ -169,22 +180,16 @@ class Conformed:
     def order_reviews(self) -> DataFrame:
         """Raw reviews, duplicates included; ``src_order`` is the file order."""
         li = self.t.lineitem
-        score = (F.lit(1) + F.col("l_quantity").cast("int") % 5).cast("bigint")
+        score = F.when(F.col("l_partkey") % 103 != 8, (F.lit(1) + F.col("l_quantity").cast("int") % 5).cast("bigint"))
+        # Every 61st part's reviews carry an id of the first order of their block of 32.
+        order = F.col("l_orderkey") - F.when(F.col("l_partkey") % 61 == 2, F.col("l_orderkey") % 32).otherwise(F.lit(0))
         return li.select(
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("review_id"),
-            F.col("l_orderkey").alias("order_id"),
+            (order * 10 + F.col("l_linenumber")).alias("review_id"),
+            _unless(F.col("l_partkey") % 107 == 4, "l_orderkey").alias("order_id"),
             score.alias("review_score"),
-            F.lit(None).cast("string").alias("review_comment_title"),
+            F.when((F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 1), F.lit("first")).alias("review_comment_title"),
             F.when(F.col("l_returnflag") == "R", F.lit("returned")).alias("review_comment_message"),
             F.col("l_shipdate").alias("review_creation_date"),
             (F.col("l_shipdate") + _days(F.lit(1))).alias("review_answer_timestamp"),
             F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_quantity").alias("src_order"),
         )
-
-    def parent_orders(self, cleaned_orders: DataFrame) -> DataFrame:
-        """Parent set for orphan checks: cleaned orders minus canceled ones.
-
-        The driver's tables have no orphans, so the fixture removes canceled
-        orders from the parent side, as if an upstream cleaning had.
-        """
-        return cleaned_orders.where(F.col("order_status") != CANCELED)

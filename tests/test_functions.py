@@ -49,6 +49,13 @@ def test_pct_guards_zero_denominator(spark):
     assert got == [33.33, None, 12.5]
 
 
+def test_rounds_once_at_large_counts(spark):
+    df = spark.createDataFrame([(1_234_499_999, 10_000_000_000), (1_234_500_000, 10_000_000_000), (10**17 // 3, 10**17)], "n long, d long")
+    assert [r[0] for r in df.select(pct("n", "d")).collect()] == [12.34, 12.35, 33.33]
+    big = spark.createDataFrame([(1.5e13 + 0.125,), (3e24,), (4e30,), (None,)], "x double")
+    assert [r[0] for r in big.select(dp("x")).collect()] == [1.5e13 + 0.13, 3e24, 4e30, None]
+
+
 def test_safe_corr(spark):
     # Constant input -> null; single row -> null; three points -> -0.5.
     const = spark.createDataFrame([(1.0, 1.0), (1.0, 2.0), (1.0, 3.0)], "x double, y double")
