@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
 from ordermart.functions.columns import dp
 
@@ -103,7 +104,7 @@ def exact_quantiles(
         F.coalesce(F.sum("pc").over(before), F.lit(0)).alias("off"),
         F.sum("pc").over(Window.partitionBy(*by)).alias("n"),
     )
-    ranked = vc.join(F.broadcast(per), [*by, "pid"]).withColumn(
+    ranked = vc.join(per, [*by, "pid"]).withColumn(
         "end", F.col("off") + F.sum("c").over(Window.partitionBy(*by, "pid").orderBy("v"))
     )
     ranked = ranked.withColumn("start", F.col("end") - F.col("c"))  # ranks [start, end)
@@ -134,8 +135,7 @@ def moments_from_counts(vc: DataFrame, by: Sequence[str]) -> DataFrame:
         F.min("v").alias("min"),
         F.max("v").alias("max"),
     )
-    # one row per group (the profiled columns): a bounded broadcast.
-    dev = vc.join(F.broadcast(first.select(*by, "mean", "count")), by).groupBy(*by).agg(
+    dev = vc.join(first.select(*by, "mean", "count"), by).groupBy(*by).agg(
         F.sqrt(
             F.sum(F.col("c") * (F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean")))
             / F.nullif(F.first("count") - 1, F.lit(0))
@@ -187,16 +187,89 @@ def numeric_summary_long(long: DataFrame, by: Sequence[str], exact: bool = True,
     return stats.select(*by, "count", "mean", "std", "min", *quart, "max")
 
 
-def numeric_summary(df: DataFrame, cols: Sequence[str], name: str | None = None, exact: bool = True,
+#: Values that one aggregate may hold for a quantile; more are bracketed again.
+BRACKET = 50_000
+
+
+def _quantiles_at(df: DataFrame, cols: Sequence[str], qs: Sequence[float], most: int = BRACKET) -> dict[tuple[str, float], Column]:
+    """An aggregate for each column and quantile that gives it exactly.
+
+    The count of a column gives the ranks of a quantile's neighbours. Two
+    mergeable approximate quantiles bracket them; one pass counts what is below
+    and inside, and that repeats inside the bracket until it holds few values,
+    or one value only. No pass sorts, shuffles or writes rows: each is one
+    aggregate of the wide table, and the driver sees a few numbers a column.
+    """
+    x = {c: F.col(c).cast("double") for c in cols}
+    n = df.agg(*[F.count(x[c]).alias(c) for c in cols]).first().asDict()
+    found: dict[tuple[str, float], Column] = {}
+    todo = {(c, q): (None, None, 0, n[c]) for c in cols for q in qs}
+    while todo:
+        wide = {}
+        for (c, q), (low, high, below, size) in todo.items():
+            inside = x[c] if low is None else F.when(x[c].between(low, high), x[c])
+            at = (n[c] - 1) * q
+            first, last = int(at) - below, int(at) + (at > int(at)) - below
+            if size == 0 or low is not None and low == high:
+                found[c, q] = F.lit(low).cast("double")
+            elif size <= most:
+                ranked = F.sort_array(F.collect_list(inside))
+                a, b = F.get(ranked, F.lit(first)), F.get(ranked, F.lit(last))
+                found[c, q] = a + (b - a) * F.lit(at - int(at))
+            else:
+                room = 2 * size / 10_000 + 2
+                ends = [max(0.0, (first - room) / size), min(1.0, (last + room) / size)]
+                wide[c, q] = F.percentile_approx(inside, ends, 10_000)
+        if not wide:
+            return found
+        ends = df.agg(*[e.alias(f"b{k}") for k, e in enumerate(wide.values())]).first()
+        counts = [(F.count_if(x[c] < lo), F.count_if(x[c].between(lo, hi))) for (c, _), (lo, hi) in zip(wide, ends, strict=True)]
+        sizes = df.agg(*[e.alias(f"n{k}") for k, e in enumerate(e for pair in counts for e in pair)]).first()
+        todo = {key: (lo, hi, sizes[2 * k], sizes[2 * k + 1]) for k, (key, (lo, hi)) in enumerate(zip(wide, ends, strict=True))}
+    return found
+
+
+def numeric_columns(df: DataFrame) -> list[str]:
+    """Columns that ``describe`` takes, by type."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
+
+
+def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, name: str | None = None, exact: bool = True,
                     nd: int = 6) -> DataFrame:
-    """PRF-5 for the listed columns of one table (one row per column)."""
-    by = (["table_name"] if name is not None else []) + ["column_name"]
-    return numeric_summary_long(to_long(df, cols, name), by, exact=exact, nd=nd)
+    """PRF-5: a row for each of the columns (default: every numeric one).
+
+    count, mean, std (sample), min, quartiles, max, rounded to ``nd``: one
+    aggregate over the wide table, after the few that bracket the quartiles.
+    """
+    cols = numeric_columns(df) if cols is None else list(cols)
+    x = {c: F.col(c).cast("double") for c in cols}
+    if exact:
+        quart = _quantiles_at(df, cols, QUARTILES)
+    else:
+        quart = {(c, q): F.percentile_approx(x[c], q, 10_000) for c in cols for q in QUARTILES}
+    rows = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.count(x[c]).alias("count"),
+            dp(F.avg(x[c]), nd).alias("mean"),
+            dp(F.stddev_samp(x[c]), nd).alias("std"),
+            F.min(x[c]).alias("min"),
+            *[dp(quart[c, q], nd).alias(f"p{int(100 * q)}") for q in QUARTILES],
+            F.max(x[c]).alias("max"),
+        )
+        for c in cols
+    ]
+    out = df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+    return out if name is None else out.select(F.lit(name).alias("table_name"), "*")
 
 
 # ---------------------------------------------------------------- PRF-6
-def text_summary(df: DataFrame, cols: Sequence[str], name: str | None = None) -> DataFrame:
-    """PRF-6: count, unique, top, freq per text column (nulls ignored).
+def text_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+
+
+def text_summary(df: DataFrame, cols: Sequence[str] | None = None, name: str | None = None) -> DataFrame:
+    """PRF-6: count, unique, top, freq per text column (default: every one; nulls ignored).
 
     All columns together: a union of one-column projections (no row is
     copied per column), each value counted with a combining aggregate, then
@@ -204,7 +277,7 @@ def text_summary(df: DataFrame, cols: Sequence[str], name: str | None = None) ->
     all-null column still gets a row. A tie for the most frequent value goes
     to the smallest value.
     """
-    cols = list(cols)
+    cols = text_columns(df) if cols is None else list(cols)
     long = union_all([df.select(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in cols])
     vc = long.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
     seen = F.col("v").isNotNull()

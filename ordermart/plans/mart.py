@@ -28,11 +28,6 @@ from ordermart.sources.driver import DriverTables, table_path
 # Driver tables the mapping reads (their fingerprint keys the loaded mart).
 MAPPED_SOURCES = ("nation", "customer", "supplier", "part", "orders", "lineitem")
 
-# Coordinates of the cleaned geolocation table are reported to 6 decimals
-# (about 0.1 m), which also makes the mean identical across engines.
-GEO_DECIMALS = 6
-
-
 class RawTables:
     """User-supplied raw tables with the same attributes as ``Conformed``."""
 
@@ -86,7 +81,7 @@ class Mart:
 
     @cached_property
     def geolocation(self) -> DataFrame:
-        return clean.clean_geolocation(self.raw.geolocation, decimals=GEO_DECIMALS)
+        return clean.clean_geolocation(self.raw.geolocation)
 
     def tables(self) -> dict[str, DataFrame]:
         """The nine cleaned tables by their reference names."""

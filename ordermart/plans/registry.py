@@ -9,11 +9,13 @@ first of them writes; a few I/O queries write tables while they are built.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from ordermart.functions.columns import dp
 from ordermart.operators import analytics as A
 from ordermart.operators import clean as C
 from ordermart.operators import profile as P
@@ -60,19 +62,6 @@ ANALYTICS: dict[str, Callable[[Mart], DataFrame]] = {
 
 
 # ------------------------------------------------------------- profiling
-NUMERIC_COLUMNS = {
-    "orders": ("delivery_delay_days", "estimated_delivery_days"),
-    "order_items": ("price", "freight_value"),
-    "order_payments": ("payment_installments", "payment_value"),
-    "order_reviews": ("review_score",),
-}
-TEXT_COLUMNS = {
-    "orders": ("order_status",),
-    "order_payments": ("payment_type",),
-    "customers": ("customer_state",),
-    "sellers": ("seller_state",),
-    "products": ("product_category_name",),
-}
 # Key probes of the nine notebooks: every primary key plus the second
 # customer id and the raw geolocation zip prefix.
 KEY_PROBES = tuple((pk.table, pk.columns) for pk in Q.PRIMARY_KEYS) + (
@@ -87,16 +76,27 @@ def _probe_tables(m: Mart) -> dict:
     return t
 
 
+def _stages(m: Mart) -> list[tuple[str, str, DataFrame]]:
+    """Every raw table, then every cleaned one: (stage, name, table)."""
+    raw = {n: getattr(m.raw, n) for n in m.tables()}
+    raw = {n: df.drop("src_order") for n, df in raw.items()}
+    return [(stage, n, df) for stage, some in (("raw", raw), ("clean", m.tables())) for n, df in some.items()]
+
+
+def _profile(m: Mart, one: Callable[[DataFrame, str], DataFrame], wanted: Callable[[DataFrame], list] = lambda df: [1]) -> DataFrame:
+    """One report over all tables of both stages. Some build with a few jobs of
+    their own, so several tables are worked on at once."""
+    tables = [x for x in _stages(m) if wanted(x[2])]
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        parts = list(pool.map(lambda x: one(x[2], x[1]).select(F.lit(x[0]).alias("stage"), "*"), tables))
+    return union_all(parts)
+
+
 PROFILING: dict[str, Callable[[Mart], DataFrame]] = {
-    "prf_shape": lambda m: union_all([P.shape(df, n) for n, df in m.tables().items()]),
-    "prf_null_counts": lambda m: union_all([P.null_counts(df, n) for n, df in m.tables().items()]),
-    "prf_numeric_summary": lambda m: P.numeric_summary_long(
-        union_all([P.to_long(m.tables()[t], cols, name=t) for t, cols in NUMERIC_COLUMNS.items()]),
-        ["table_name", "column_name"],
-    ),
-    "prf_text_summary": lambda m: union_all(
-        [P.text_summary(m.tables()[t], cols, name=t) for t, cols in TEXT_COLUMNS.items()]
-    ),
+    "prf_shape": lambda m: _profile(m, P.shape),
+    "prf_null_counts": lambda m: _profile(m, P.null_counts),
+    "prf_numeric_summary": lambda m: _profile(m, lambda df, n: P.numeric_summary(df, name=n), P.numeric_columns),
+    "prf_text_summary": lambda m: _profile(m, lambda df, n: P.text_summary(df, name=n), P.text_columns),
     "prf_value_counts": lambda m: P.value_counts(m.raw.orders, "order_status"),
     "prf_value_pct": lambda m: P.value_counts(m.raw.order_payments, "payment_type", normalize=True),
     "prf_conditional_counts": lambda m: P.conditional_counts(
@@ -160,7 +160,8 @@ CLEANING: dict[str, Callable[[Mart], DataFrame]] = {
     "etl_sellers": lambda m: m.sellers,
     "etl_products": lambda m: m.products,
     "etl_category_translation": lambda m: m.category_translation,
-    "etl_geolocation": lambda m: m.geolocation,
+    # The table keeps its means; two engines' sums agree to so many places only.
+    "etl_geolocation": lambda m: m.geolocation.withColumns({c: dp(c, 6) for c in ("geolocation_lat", "geolocation_lng")}),
 }
 # ETL-11 runs on the loaded tables, like the reference's constraint script.
 QUALITY["etl_cross_repair"] = lambda m: R.cross_repair(m.tables(), persist=True)
