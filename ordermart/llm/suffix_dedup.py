@@ -2,7 +2,7 @@
 
 The corpus is cut by content, so that equal strings meet without a global
 suffix array. Each 100-byte window has an anchor, the leftmost least hash among
-its 16-byte grams; equal windows have equal anchors. Neighbouring windows with
+its 32-byte grams; equal windows have equal anchors. Neighbouring windows with
 one anchor form a segment. A segment whose anchor occurs once can hold no
 repeat. Equal segments are one class: its first one stands for all, and the
 others' windows repeat it. What is left, different segments with an equal
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ordermart.llm.common import slices, written
 
-GRAM = 16
+GRAM = 32
 #: Bytes that a task hashes at once, and bytes of segments in a bucket.
 PIECE, BUCKET = 1 << 20, 1 << 21
 #: Different segments of one anchor that a bucket takes.
@@ -43,9 +43,9 @@ _MIX = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A mixed hash of the 16 bytes from each position (the last 15: of what wraps)."""
+    """A mixed hash of the 32 bytes from each position (the last 31: of what wraps)."""
     h = _MIX[data]
-    for k in (1, 2, 4, 8):
+    for k in (1, 2, 4, 8, 16):
         h = h * np.uint64(0x9E3779B97F4A7C15 + 2 * k) + np.roll(h, -k)
         h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -154,20 +154,37 @@ def _scan(size: int):
 
 
 def suffix_order(codes: np.ndarray) -> np.ndarray:
-    """Suffix array by doubling; every stretch must end in a code of its own,
-    so that the suffixes differ within a stretch's length."""
-    rank, n, k = np.unique(codes, return_inverse=True)[1].astype(np.int64), len(codes), 1
+    """Suffix array of stretches of bytes, each ended by a code of its own over
+    255. Starts with seven codes packed into one key; then doubles, sorting only
+    suffixes that are still tied, until none is: within a stretch's length."""
+    n = len(codes)
+    symbols = np.append(np.where(codes < 256, codes + 1, 0), np.zeros(7, np.int64))
+    key, inside = np.zeros(n, np.int64), np.ones(n, bool)
+    for k in range(7):
+        here = np.where(inside, symbols[k : k + n], 0)
+        key = key << 9 | here
+        inside &= here > 0
+    order = np.argsort(key, kind="stable")  # of equal ends the first comes first, at every distance
+    # Equal keys that reach an end are different strings: the ends are codes of their own.
+    new = np.append(True, (np.diff(key[order]) != 0) | ~inside[order[1:]])
+    slots, k = np.arange(n), 7
+    rank = np.empty(n + 1, np.int64)
+    rank[n] = -1
+    rank[order] = np.maximum.accumulate(np.where(new, slots, 0))
     while True:
-        after = np.zeros(n, np.int64)
-        after[:-k or None] = rank[k:] + 1
-        pair = rank * (n + 1) + after
-        order = np.argsort(pair)
-        step = np.concatenate([[0], (np.diff(pair[order]) != 0).astype(np.int64)])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(step)
-        k *= 2
-        if rank[order[-1]] == n - 1 or k >= n:
+        last = np.append(new[1:], True)
+        tied = ~(new & last)
+        slots = slots[tied]
+        if not len(slots):
             return order
+        some = order[slots]
+        pair = rank[some] * (n + 1) + rank[np.minimum(some + k, n)] + 1
+        by = np.argsort(pair)
+        order[slots] = some[by]
+        pair = pair[by]
+        new = np.append(True, np.diff(pair) != 0)
+        rank[order[slots]] = np.maximum.accumulate(np.where(new, slots, 0))
+        k *= 2
 
 
 def interval_classes(codes: np.ndarray, size: int) -> np.ndarray:
@@ -272,8 +289,10 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = [(d, p + a, k) for d, p, x in zip(pdf["doc"], pdf["place"], found, strict=True) for a, k in _runs(x)]
         return pd.DataFrame(rows, columns=["doc", "place", "n"]).astype("int64")
 
-    buckets = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-total // bucket))))
-    edge = small.withColumn("bucket", buckets).groupBy("bucket").applyInPandas(compare, "doc long, place long, n long")
+    n_buckets = max(1, -(-total // bucket))
+    # A partition for each bucket or so: they are equal work, not to be merged by size.
+    dealt = small.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(n_buckets))).repartition(min(n_buckets, 1 << 15), "bucket")
+    edge = dealt.groupBy("bucket").applyInPandas(compare, "doc long, place long, n long")
     return here.unionAll(other).unionAll(edge).unionAll(_crowded(cut.filter(F.col("variants") > crowd), size))
 
 
