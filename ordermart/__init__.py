@@ -10,7 +10,6 @@ Layers:
                    quality, cleaning jobs, cross-table repair, analytics.
 * ``plans``     — the named-query registry (Spark side and DuckDB oracle)
                    and the batch CSV exporter.
-* ``streaming`` — intentionally empty: the reference has no streaming work.
 """
 
 from ordermart.session import get_spark, shared_dir

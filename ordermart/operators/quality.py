@@ -333,6 +333,18 @@ def constraint_list(tables: Mapping[str, DataFrame], pks=PRIMARY_KEYS, fks=FOREI
     return pk.unionByName(fk).orderBy("table_name", "constraint_type", "constraint_name", "column_name")
 
 
+class KeyViolation(ValueError):
+    """A declared key does not hold."""
+
+
+def assert_keys(tables: Mapping[str, DataFrame], pks=PRIMARY_KEYS, fks=FOREIGN_KEYS) -> None:
+    """DQ-10/11 as a gate: raises at the first violated keys, as a database
+    does when a constraint is added to data that breaks it."""
+    bad = constraint_list(tables, pks, fks).where("violations > 0").collect()  # a row a declared key column
+    if bad:
+        raise KeyViolation("; ".join(f"{r.constraint_name}({r.column_name}): {r.violations}" for r in bad))
+
+
 # ------------------------------------------------------------ DQ-13..17
 def flagged_count(df: DataFrame, masks: Sequence[Column]) -> DataFrame:
     """DQ-13/14 report: rows, rows matching any mask, rows kept."""

@@ -13,9 +13,9 @@ recomputes from the written copy.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordermart.operators import quality as Q
@@ -24,25 +24,24 @@ from ordermart.sources import io
 REPAIRED_CHILDREN = ("order_items", "order_reviews", "order_payments")
 
 
-def default_translation(code: Column) -> Column:
-    """English name for an appended category code (same rule as the lookup)."""
-    return F.lower(code)
-
-
 def repair_tables(
     tables: Mapping[str, DataFrame],
-    translate: Callable[[Column], Column] = default_translation,
+    translations: Mapping[str, str] | None = None,
     persist: bool = True,
 ) -> dict[str, DataFrame]:
+    """``translations``: names for codes that the lookup lacks. A missing code
+    without one is appended with a null name; none is made up."""
     out = dict(tables)
     orders = tables["orders"]
     for child in REPAIRED_CHILDREN:
         out[child] = Q.delete_not_in(tables[child], "order_id", orders, "order_id")
     lookup = tables["category_translation"]
     missing = Q.missing_codes(tables["products"], "product_category_name", lookup, "product_category_name")
-    rows = missing.select(
-        "product_category_name", translate(F.col("product_category_name")).alias("product_category_name_english")
-    )
+    code = F.col("product_category_name")
+    name = F.lit(None).cast("string")
+    for given, english in (translations or {}).items():
+        name = F.when(code == given, F.lit(english)).otherwise(name)
+    rows = missing.select(code, name.alias("product_category_name_english"))
     out["category_translation"] = Q.append_missing(lookup, rows, "product_category_name")
     if persist:
         # independent writes: submitted together, then read back (lineage cut)
@@ -53,6 +52,8 @@ def repair_tables(
     return out
 
 
-def cross_repair(tables: Mapping[str, DataFrame], persist: bool = True) -> DataFrame:
+def cross_repair(
+    tables: Mapping[str, DataFrame], translations: Mapping[str, str] | None = None, persist: bool = True
+) -> DataFrame:
     """Repair, then the constraint listing with violations after repair."""
-    return Q.constraint_list(repair_tables(tables, persist=persist))
+    return Q.constraint_list(repair_tables(tables, translations, persist))

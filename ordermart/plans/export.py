@@ -8,11 +8,11 @@ coalesced to a single CSV part; the queries themselves run distributed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ordermart.plans import registry
-from ordermart.sources.io import read_table, write_table
+from ordermart.plans.mart import Mart
+from ordermart.sources.io import write_counted
 
 # Exported file names and the question behind each.
 EXPORTS = {
@@ -28,26 +28,14 @@ EXPORTS = {
 }
 
 
-def export_csv(spark: SparkSession, sf_dir: str, out_dir: str, exports: dict[str, str] = EXPORTS) -> DataFrame:
-    """Write each export to ``<out_dir>/<name>.csv/`` and report rows per file.
-
-    The report is read back from the written files, so it proves what landed.
-    """
-    qs = registry.queries()
-    written = {}
-    for name, query in exports.items():
-        path = f"{out_dir.rstrip('/')}/{name}.csv"
-        df = qs[query](spark, sf_dir)
-        write_table(df.coalesce(1), path, "csv")
-        written[name] = (path, df.schema)
-    frames = [
-        read_table(spark, p, "csv", schema=schema).agg(F.lit(n).alias("file_name"), F.count(F.lit(1)).alias("rows"))
-        for n, (p, schema) in written.items()
+def export_csv(mart: Mart, out_dir: str, exports: dict[str, str] = EXPORTS) -> DataFrame:
+    """Write each export of a mart to ``<out_dir>/<name>.csv/``; report
+    (file_name, rows), as the write jobs counted them."""
+    counts = [
+        (name, write_counted(registry.ANALYTICS[query](mart).coalesce(1), f"{out_dir.rstrip('/')}/{name}.csv", "csv"))
+        for name, query in exports.items()
     ]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    return mart.spark.createDataFrame(counts, "file_name string, rows long")
 
 
 if __name__ == "__main__":
@@ -58,7 +46,7 @@ if __name__ == "__main__":
 
     if len(sys.argv) != 3:
         raise SystemExit("usage: python -m ordermart.plans.export <sf_dir> <out_dir>")
-    spark = get_spark()
-    for row in export_csv(spark, sys.argv[1], sys.argv[2]).collect():
+    spark = get_spark(scale=True)
+    for row in export_csv(Mart.shared(spark, sys.argv[1]), sys.argv[2]).collect():
         print(f"Exported: {sys.argv[2].rstrip('/')}/{row.file_name}.csv ({row.rows} rows)")
     spark.stop()

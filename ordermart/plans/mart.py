@@ -12,15 +12,16 @@
 
 from __future__ import annotations
 
+import copy
 import hashlib
-import os
 import threading
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ordermart.operators import clean
-from ordermart.session import shared_dir
+from ordermart.session import discard, file_state, shared_dir
 from ordermart.sources import io
 from ordermart.sources.conformed import Conformed
 from ordermart.sources.driver import DriverTables, table_path
@@ -109,7 +110,7 @@ class Mart:
         Parquet files instead of re-deriving them from the raw tables. The key
         includes the input files' sizes and times, so changed inputs reload.
         """
-        key = (spark.sparkContext.applicationId, _fingerprint(sf_dir))
+        key = (spark.sparkContext.applicationId, _fingerprint(spark, sf_dir))
         with _LOAD_LOCK:
             loaded = _LOADED.get(key)
             if loaded is None:
@@ -122,23 +123,18 @@ _LOADED: dict[tuple[str, str], "LoadedMart"] = {}
 _LOAD_LOCK = threading.Lock()
 
 
-def _fingerprint(sf_dir: str) -> str:
-    parts = [os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir]
-    for name in MAPPED_SOURCES:
-        path = table_path(sf_dir, name)
-        try:
-            st = os.stat(path)
-            parts.append(f"{name}:{st.st_size}:{st.st_mtime_ns}")
-        except OSError:
-            parts.append(name)
-    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Changes with the mapped tables' sizes and times, on any storage."""
+    state = [(name, file_state(spark, table_path(sf_dir, name))) for name in MAPPED_SOURCES]
+    return hashlib.sha1(repr((sf_dir, state)).encode()).hexdigest()[:16]
 
 
 class LoadedMart(Mart):
     """A ``Mart`` whose cleaned tables are Parquet copies in the shared folder."""
 
     def __init__(self, source: Mart, paths: dict[str, str], schemas: dict | None = None):
-        super().__init__(source.spark, source.sf_dir)
+        # The raw tables it was built from, with attributes of its own.
+        super().__init__(source.spark, source.sf_dir, raw=copy.copy(source.raw))
         self.paths = paths
         for name in paths:
             # cached_property stores into the instance dict; prime it. A known
@@ -149,7 +145,7 @@ class LoadedMart(Mart):
     @classmethod
     def build(cls, source: Mart) -> "LoadedMart":
         spark = source.spark
-        root = shared_dir(spark, f"mart-{_fingerprint(source.sf_dir)}-{os.getpid()}")
+        root = shared_dir(spark, f"mart-{uuid.uuid4().hex}")
         # Raw orders first: the cleaned orders are derived from that copy, so
         # the lineitem aggregation of the mapping runs once.
         raw_path = io.load_tables({"raw_orders": source.raw.orders}, root)["raw_orders"]
@@ -167,3 +163,7 @@ class LoadedMart(Mart):
         mart = cls(source, paths, schemas)
         mart.raw.__dict__["orders"] = mart.__dict__.pop("raw_orders")
         return mart
+
+    def unload(self) -> None:
+        """Remove the copies; the mart can't be read after that."""
+        discard(self.spark, self.paths["orders"].rsplit("/", 1)[0])

@@ -14,6 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ordermart.functions.columns import dp
 from ordermart.operators import analytics as A
@@ -23,7 +24,9 @@ from ordermart.operators import quality as Q
 from ordermart.operators import repair as R
 from ordermart.operators.profile import union_all
 from ordermart.plans.mart import Mart
+from ordermart.session import shared_dir
 from ordermart.sources import io
+from ordermart.sources.views import run_sql
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -127,6 +130,9 @@ PROFILING: dict[str, Callable[[Mart], DataFrame]] = {
 }
 
 # --------------------------------------------------------------- quality
+#: The literal row that the lookup lacks, as a repair script would insert it.
+TRANSLATIONS = {"ECONOMY": "economy"}
+
 QUALITY: dict[str, Callable[[Mart], DataFrame]] = {
     "dq_orphan_counts": lambda m: Q.orphan_report(m.tables()),
     "dq_orphan_repair_null_aware": lambda m: union_all(
@@ -135,7 +141,7 @@ QUALITY: dict[str, Callable[[Mart], DataFrame]] = {
     "dq_lookup_missing": lambda m: Q.missing_codes(
         m.products, "product_category_name", m.category_translation, "product_category_name"
     ),
-    "dq_lookup_repair": lambda m: R.repair_tables(m.tables(), persist=False)["category_translation"],
+    "dq_lookup_repair": lambda m: R.repair_tables(m.tables(), TRANSLATIONS, persist=False)["category_translation"],
     "dq_duplicate_keys": lambda m: Q.duplicate_report(m.tables()).drop("duplicate_rows"),
     "dq_duplicate_rows": lambda m: Q.duplicate_report(m.tables()).drop("duplicate_keys"),
     "dq_reconcile_totals": lambda m: Q.reconcile_count(m.order_payments, m.order_items, tol=1.0),
@@ -164,7 +170,7 @@ CLEANING: dict[str, Callable[[Mart], DataFrame]] = {
     "etl_geolocation": lambda m: m.geolocation.withColumns({c: dp(c, 6) for c in ("geolocation_lat", "geolocation_lng")}),
 }
 # ETL-11 runs on the loaded tables, like the reference's constraint script.
-QUALITY["etl_cross_repair"] = lambda m: R.cross_repair(m.tables(), persist=True)
+QUALITY["etl_cross_repair"] = lambda m: R.cross_repair(m.tables(), TRANSLATIONS)
 
 
 def _csv_round_trip(m: Mart) -> DataFrame:
@@ -173,12 +179,46 @@ def _csv_round_trip(m: Mart) -> DataFrame:
 
 
 def _load_report(m: Mart) -> DataFrame:
-    return io.load_report(m.spark, io.load_tables(m.tables()))
+    return io.load_report(m.spark, m.tables())
+
+
+def _raw_csv(df: DataFrame, multi_line: bool, order_by: str | None = None, text: tuple[str, ...] = ()) -> DataFrame:
+    """A raw table written as several CSV files in file order and read back the
+    way a user's files are: by header, with NA strings, file order kept."""
+    path = shared_dir(df.sparkSession)
+    plain = df.drop(order_by) if order_by else df
+    laid = df.repartitionByRange(5, order_by).sortWithinPartitions(order_by) if order_by else df.repartition(5)
+    io.write_table(laid.select(*plain.columns), path, "csv")
+    schema = StructType([StructField(f.name, StringType() if f.name in text else f.dataType) for f in plain.schema])
+    return io.read_raw_csv(df.sparkSession, path, schema, order_column=order_by, multi_line=multi_line)
+
+
+def _export_report(m: Mart) -> DataFrame:
+    from ordermart.plans.export import export_csv
 
+    return export_csv(m, shared_dir(m.spark))
+
+
+# SRC-3: a user's own SQL over the loaded tables, by their names.
+SQL_TEXT = """
+SELECT c.customer_state, count(*) FILTER (WHERE o.order_status = 'delivered') AS delivered,
+       count(DISTINCT o.customer_id) AS customers, max(o.order_purchase_timestamp)::date AS last_day
+FROM orders o LEFT JOIN customers c ON c.customer_id = o.customer_id
+GROUP BY c.customer_state
+"""
 
 SOURCES_SINKS: dict[str, Callable[[Mart], DataFrame]] = {
     "io_csv_round_trip": _csv_round_trip,
     "io_load_report": _load_report,
+    # SRC-1 then ETL-4 and ETL-9: the first row by file order, over several files.
+    "io_raw_reviews": lambda m: C.clean_order_reviews(_raw_csv(m.raw.order_reviews, True, "src_order")),
+    "io_raw_geolocation": lambda m: C.clean_geolocation(_raw_csv(m.raw.geolocation, False, "src_order"), decimals=6),
+    # PRJ-7 / SCL-9: dates come as strings and the cleaning types them.
+    "io_raw_orders": lambda m: C.clean_orders(_raw_csv(m.raw.orders, False, text=C.ORDER_DATE_COLUMNS)),
+}
+ON_LOADED: dict[str, Callable[[Mart], DataFrame]] = {
+    "io_export_report": _export_report,
+    "io_sql_text": lambda m: run_sql(m.spark, m.tables(), SQL_TEXT),
 }
 
 
@@ -190,6 +230,7 @@ def queries() -> dict[str, QueryFn]:
         (QUALITY, True),
         (CLEANING, False),
         (SOURCES_SINKS, False),
+        (ON_LOADED, True),
     ):
         for name, fn in group.items():
             out[name] = _on_mart(fn, loaded)

@@ -89,6 +89,8 @@ def shared_dir(spark: SparkSession, name: str | None = None) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to storage that all executors share")
         app = spark.sparkContext.applicationId
         root = _LOCAL_ROOTS.get(app)
         if root is None:
@@ -97,3 +99,24 @@ def shared_dir(spark: SparkSession, name: str | None = None) -> str:
             _LOCAL_ROOTS[app] = root
     leaf = name or uuid.uuid4().hex
     return os.path.join(root, leaf) if "://" not in root else f"{root.rstrip('/')}/{leaf}"
+
+
+def _path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def file_state(spark: SparkSession, path: str) -> tuple[int, int] | None:
+    """Length and time of a file or folder, on any storage Spark reads."""
+    fs, where = _path(spark, path)
+    if not fs.exists(where):
+        return None
+    status = fs.getFileStatus(where)
+    return fs.getContentSummary(where).getLength(), status.getModificationTime()
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate tables."""
+    fs, where = _path(spark, path)
+    fs.delete(where, True)

@@ -29,6 +29,7 @@ from ordermart.sources.driver import DriverTables
 STATUS_MAP = {"F": "delivered", "O": "shipped"}  # anything else -> "canceled"
 DELIVERED = "delivered"
 CANCELED = "canceled"
+RETURNED = 'returned, "as is"\nsecond line'  # quotes, a comma and a newline for the CSV paths
 PAYMENT_NOT_DEFINED_LINE = 7
 PAYMENT_BY_FLAG = {"A": "credit_card", "N": "voucher"}  # anything else -> "boleto"
 NO_CATEGORY_TYPE = "PROMO"          # becomes a null product category
@@ -188,7 +189,7 @@ class Conformed:
             _unless(F.col("l_partkey") % 107 == 4, "l_orderkey").alias("order_id"),
             score.alias("review_score"),
             F.when((F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 1), F.lit("first")).alias("review_comment_title"),
-            F.when(F.col("l_returnflag") == "R", F.lit("returned")).alias("review_comment_message"),
+            F.when(F.col("l_returnflag") == "R", F.lit(RETURNED)).alias("review_comment_message"),
             F.col("l_shipdate").alias("review_creation_date"),
             (F.col("l_shipdate") + _days(F.lit(1))).alias("review_answer_timestamp"),
             F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_quantity").alias("src_order"),

@@ -2,13 +2,14 @@
 
 Raw CSV is read with an explicit schema and the dialect pandas accepts
 (quoted newlines, doubled quotes), then converted to Parquet once; every
-later stage reads typed, column-pruned Parquet. ``multiLine`` CSV cannot be
-split inside a file, which is why the conversion happens once at ingest.
+later stage reads typed, column-pruned Parquet. CSV with quoted newlines cannot
+be split inside a file, so only tables that have them are read that way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ CSV_READ_OPTIONS = {
     "escape": '"',
     "mode": "FAILFAST",
     "nullValue": "",
+    "enforceSchema": "false",  # a header that differs from the columns raises
 }
 CSV_WRITE_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "nullValue": ""}
 
@@ -39,6 +41,7 @@ def read_raw_csv(
     schema: StructType,
     na_strings=PANDAS_NA_STRINGS,
     order_column: str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """SRC-1: read a headered CSV with pandas' missing-value rules, then type it.
 
@@ -46,12 +49,16 @@ def read_raw_csv(
     read as a string, the NA tokens become null, the declared columns get
     their types with ANSI casts (a malformed value raises, as
     ``pd.to_datetime`` does) and undeclared columns pass through as strings.
-    String keys keep their leading zeros. ``order_column`` adds the row's
-    position in the file (a multi-line CSV file is read by one task, so
-    ``monotonically_increasing_id`` follows the file order); it is what the
-    keep-first cleaning steps order by.
+    String keys keep their leading zeros. ``multi_line=False`` lets Spark split
+    large files without quoted newlines.
+
+    ``order_column`` adds the row's place in the input, which the keep-first
+    cleaning steps order by: file name, block of the file, then the order in
+    which the one task that reads the block meets the rows. It holds whatever
+    way Spark packs files into tasks.
     """
-    df = spark.read.options(**CSV_READ_OPTIONS).option("inferSchema", "false").csv(path)
+    options = CSV_READ_OPTIONS | {"multiLine": str(multi_line).lower(), "inferSchema": "false"}
+    df = spark.read.options(**options).csv(path)
     missing = [f.name for f in schema.fields if f.name not in df.columns]
     if missing:
         raise ValueError(f"{path}: missing columns {missing}")
@@ -62,10 +69,10 @@ def read_raw_csv(
         c = F.col(f"`{name}`")
         c = F.when(c.isin(na), F.lit(None)).otherwise(c)
         cols.append(c.cast(declared[name]).alias(name) if name in declared else c.alias(name))
-    out = df.select(*cols)
     if order_column:
-        out = out.withColumn(order_column, F.monotonically_increasing_id())
-    return out
+        place = ("_metadata.file_path", "_metadata.file_block_start")
+        cols.append(F.struct(*(F.col(c) for c in place), F.monotonically_increasing_id().alias("row")).alias(order_column))
+    return df.select(*cols)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
@@ -129,49 +136,35 @@ def load_tables(
     targets = {name: f"{base}/{name}" for name in tables}
     if concurrency <= 1 or len(tables) == 1:
         return {name: write_table(df, targets[name], fmt) for name, df in tables.items()}
-    from concurrent.futures import ThreadPoolExecutor
-
     with ThreadPoolExecutor(max_workers=concurrency) as pool:
         futures = {name: pool.submit(write_table, df, targets[name], fmt) for name, df in tables.items()}
         return {name: f.result() for name, f in futures.items()}
 
 
-def load_tables_counted(
-    tables: Mapping[str, DataFrame], root: str | None = None, fmt: str = "parquet"
-) -> dict[str, tuple[str, int]]:
-    """ETL-10 with the reference's per-table report: name -> (path, rows written)."""
-    out = {}
-    base = None
-    for name, df in tables.items():
-        base = base or root or shared_dir(df.sparkSession)
-        path = f"{base.rstrip('/')}/{name}"
-        out[name] = (path, write_counted(df, path, fmt))
-    return out
-
-
 def read_raw_dir(spark: SparkSession, files: Mapping[str, str]) -> dict[str, DataFrame]:
     """SRC-1 x 9: read each raw table (name -> CSV path) with its declared schema.
 
     Tables whose cleaning keeps the first row in file order get the
     ``src_order`` position column.
     """
-    from ordermart.sources.schemas import FILE_ORDER_COLUMN, FILE_ORDER_TABLES, RAW_SCHEMAS
+    from ordermart.sources.schemas import FILE_ORDER_COLUMN, FILE_ORDER_TABLES, MULTI_LINE_TABLES, RAW_SCHEMAS
 
     return {
         name: read_raw_csv(
-            spark, path, RAW_SCHEMAS[name], order_column=FILE_ORDER_COLUMN if name in FILE_ORDER_TABLES else None
+            spark,
+            path,
+            RAW_SCHEMAS[name],
+            order_column=FILE_ORDER_COLUMN if name in FILE_ORDER_TABLES else None,
+            multi_line=name in MULTI_LINE_TABLES,
         )
         for name, path in files.items()
     }
 
 
-def load_report(spark: SparkSession, paths: Mapping[str, str], fmt: str = "parquet") -> DataFrame:
-    """SNK-4: (table_name, n_rows) for written tables, from the files themselves."""
-    frames = [
-        read_table(spark, p, fmt).agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n_rows"))
-        for n, p in paths.items()
-    ]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def load_report(spark: SparkSession, tables: Mapping[str, DataFrame], root: str | None = None) -> DataFrame:
+    """SNK-4: write every table and report (table_name, n_rows). The counts are
+    those of the write jobs, so nothing is read again."""
+    base = (root or shared_dir(spark)).rstrip("/")
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        counts = list(pool.map(lambda x: (x[0], write_counted(x[1], f"{base}/{x[0]}")), tables.items()))
+    return spark.createDataFrame(counts, "table_name string, n_rows long")

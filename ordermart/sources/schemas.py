@@ -76,3 +76,5 @@ RAW_SCHEMAS: dict[str, StructType] = {
 # CSV adds this column (see ``io.read_raw_csv(order_column=...)``).
 FILE_ORDER_COLUMN = "src_order"
 FILE_ORDER_TABLES = ("order_reviews", "geolocation")
+# Tables whose free text may hold quoted newlines.
+MULTI_LINE_TABLES = ("order_reviews",)

@@ -2,12 +2,13 @@
 
 import __spark_entry__ as E
 from ordermart.plans.export import EXPORTS, export_csv
+from ordermart.plans.mart import Mart
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_export_row_counts(spark, tmp_path):
-    report = {r.file_name: r.rows for r in export_csv(spark, SF, str(tmp_path)).collect()}
+    report = {r.file_name: r.rows for r in export_csv(Mart.shared(spark, SF), str(tmp_path)).collect()}
     assert set(report) == set(EXPORTS)
     qs = E.queries()
     for name in ("overview_kpi", "delay_by_dow", "same_vs_cross_state"):

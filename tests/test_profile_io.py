@@ -83,13 +83,13 @@ def test_csv_round_trip_dialect(spark, tmp_path):
 
 def test_write_counted_matches_rows(spark, tmp_path):
     # SNK-4: the row count comes from an Observation on the write itself.
-    from ordermart.sources.io import load_tables_counted, read_table, write_counted
+    from ordermart.sources.io import load_report, read_table, write_counted
 
     df = spark.range(1234).selectExpr("id", "id % 7 AS k")
     assert write_counted(df.where("k = 3"), str(tmp_path / "a")) == df.where("k = 3").count()
-    report = load_tables_counted({"x": df, "y": df.limit(5)}, str(tmp_path / "load"))
-    assert {k: v[1] for k, v in report.items()} == {"x": 1234, "y": 5}
-    assert read_table(spark, report["x"][0]).count() == 1234
+    report = {r.table_name: r.n_rows for r in load_report(spark, {"x": df, "y": df.limit(5)}, str(tmp_path / "load")).collect()}
+    assert report == {"x": 1234, "y": 5}
+    assert read_table(spark, str(tmp_path / "load" / "x")).count() == 1234
 
 
 def test_text_summary_all_null_column(spark):

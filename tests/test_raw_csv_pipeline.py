@@ -6,8 +6,11 @@ import textwrap
 import pytest
 
 from ordermart.operators import analytics as A
+from ordermart.operators import clean
 from ordermart.operators import quality as Q
-from ordermart.plans.mart import Mart
+from ordermart.operators.repair import repair_tables
+from ordermart.plans.export import export_csv
+from ordermart.plans.mart import LoadedMart, Mart
 from ordermart.sources.io import read_raw_dir
 
 FILES = {
@@ -104,3 +107,47 @@ def test_checks(mart):
     assert summary[("missing_translation", "products", "product_category_name")] == 1  # cat_a
     assert summary[("duplicate_keys", "order_reviews", "review_id")] == 0  # deduplicated
     assert summary[("summary", None, None)] == sum(v for k, v in summary.items() if k[0] != "summary")
+
+
+def test_file_order_over_several_files(spark, tmp_path):
+    # Spark packs larger files first; the small first file must still win.
+    header = "review_id,order_id,review_score,review_comment_title,review_comment_message,review_creation_date,review_answer_timestamp\n"
+    (tmp_path / "part-0.csv").write_text(header + "r1,first,1,,,,\n")
+    (tmp_path / "part-1.csv").write_text(header + "r1,second,2,,,,\n" + "".join(f"x{k},o,3,,pad,,\n" for k in range(3000)))
+    raw = read_raw_dir(spark, {"order_reviews": str(tmp_path)})["order_reviews"]
+    kept = clean.clean_order_reviews(raw).filter("review_id = 'r1'").collect()
+    assert [r.order_id for r in kept] == ["first"]
+
+
+def test_other_column_order_raises(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("seller_id,seller_state\ns1,SP\n")
+    (tmp_path / "b.csv").write_text("seller_state,seller_id\nSP,s2\n" * 1)
+    with pytest.raises(Exception, match="(?i)header"):
+        read_raw_dir(spark, {"sellers": str(tmp_path)})["sellers"].collect()
+
+
+def test_loaded_mart_keeps_its_raw_tables(mart):
+    one, two = LoadedMart.build(mart), LoadedMart.build(mart)
+    assert one.paths != two.paths
+    assert one.raw.order_reviews.count() == 3 and mart.raw.order_reviews.count() == 3
+    assert A.overview_kpi(one.orders).first().total_orders == 2
+    assert Q.conflicting_parents(one.raw.order_reviews, "review_id", "order_id").first().conflicting_ids == 1
+    one.unload()
+    assert A.overview_kpi(two.orders).first().total_orders == 2
+
+
+def test_export_of_user_files(mart, tmp_path):
+    report = {r.file_name: r.rows for r in export_csv(LoadedMart.build(mart), str(tmp_path)).collect()}
+    assert report["overview_kpi"] == 1 and len(report) == 9
+
+
+def test_given_translations_and_failing_keys(mart):
+    def names(tables):
+        return {r.product_category_name: r.product_category_name_english for r in tables["category_translation"].collect()}
+
+    assert names(repair_tables(mart.tables(), {"cat_a": "A"})) == {"cat_b": "B", "cat_a": "A"}
+    plain = repair_tables(mart.tables())
+    assert names(plain) == {"cat_b": "B", "cat_a": None}
+    Q.assert_keys(plain)
+    with pytest.raises(Q.KeyViolation, match="fk_order_items_order"):
+        Q.assert_keys(mart.tables())
