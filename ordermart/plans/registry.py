@@ -105,6 +105,23 @@ PROFILING: dict[str, Callable[[Mart], DataFrame]] = {
     "prf_conditional_counts": lambda m: P.conditional_counts(
         m.raw.orders, {c: F.col(c).isNull() for c in C.DELIVERED_REQUIRED}, "order_status"
     ),
+    # PRF-9 / PRF-10: how often each suspicious payment, price or product occurs.
+    "prf_payment_masks": lambda m: P.conditional_counts(
+        m.raw.order_payments,
+        {"zero_installments": F.col("payment_installments") == 0, "zero_value": F.col("payment_value") == 0},
+        "payment_type",
+    ),
+    "prf_condition_counts": lambda m: union_all(
+        [
+            P.conditional_count(getattr(m.raw, t), mask).select(F.lit(t).alias("table_name"), F.lit(name).alias("mask"), "n")
+            for t, name, mask in (
+                ("order_items", "zero_freight", F.col("freight_value") == 0),
+                ("order_items", "price_below_1000", F.col("price") < 1000),
+                ("products", "no_category", F.col("product_category_name").isNull()),
+                ("products", "no_weight", F.col("product_weight_g").isNull()),
+            )
+        ]
+    ),
     "prf_key_uniqueness": lambda m: union_all(
         [P.key_uniqueness(_probe_tables(m)[t], keys, name=t) for t, keys in KEY_PROBES]
     ),
@@ -138,6 +155,10 @@ QUALITY: dict[str, Callable[[Mart], DataFrame]] = {
     "dq_orphan_repair_null_aware": lambda m: union_all(
         [Q.repair_counts(m.tables()[t], "order_id", m.orders, "order_id", t) for t in R.REPAIRED_CHILDREN]
     ),
+    # SNK-5: rows before and after the two cleaning steps that merge rows.
+    "dq_dedupe_report": lambda m: union_all(
+        [Q.repair_report(getattr(m.raw, t), getattr(m, t), t) for t in ("order_reviews", "geolocation")]
+    ),
     "dq_lookup_missing": lambda m: Q.missing_codes(
         m.products, "product_category_name", m.category_translation, "product_category_name"
     ),
