@@ -187,3 +187,29 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     good = rows.filter("ok").join(full, "vec").select("vec_id", "n_links", "component_id")
     bad = rows.filter("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionAll(bad).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def oracle(table: str = "embeddings", cosine: float = 0.9) -> str:
+    """The same in DuckDB SQL by comparing all pairs; ids must be unique."""
+    return f"""
+WITH RECURSIVE part AS (
+    SELECT vec_id, len(embedding) AS n, unnest(range(1, len(embedding) + 1)) AS i,
+        CAST(embedding[unnest(range(1, len(embedding) + 1))] AS DOUBLE) AS x
+    FROM {table}
+),
+good AS (
+    SELECT vec_id, n, sqrt(sum(x * x)) AS length FROM part GROUP BY vec_id, n
+    HAVING count(x) = count(*) AND bool_and(isfinite(x)) AND sum(x * x) > 0
+),
+vec AS (SELECT vec_id, n, length, CAST(embedding AS DOUBLE[]) AS e FROM good JOIN {table} USING (vec_id)),
+link AS (
+    SELECT a.vec_id AS u, b.vec_id AS v FROM vec a JOIN vec b ON a.n = b.n AND a.vec_id <> b.vec_id
+    WHERE list_dot_product(a.e, b.e) / (a.length * b.length) >= {cosine}
+),
+reach(u, v) AS (SELECT u, v FROM link UNION SELECT r.u, l.v FROM reach r JOIN link l ON l.u = r.v),
+least AS (SELECT u, min(v) AS v FROM reach GROUP BY u),
+degree AS (SELECT u, count(*) AS n FROM link GROUP BY u)
+SELECT t.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, least(t.vec_id, coalesce(m.v, t.vec_id)) AS component_id,
+    t.vec_id <= coalesce(m.v, t.vec_id) AS kept
+FROM {table} t LEFT JOIN degree d ON d.u = t.vec_id LEFT JOIN least m ON m.u = t.vec_id
+"""

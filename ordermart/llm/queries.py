@@ -70,4 +70,8 @@ QUERIES: dict[str, Query] = {
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.oracle(), "op9_licences": licences.oracle()}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": line_dedup.oracle(),
+    "op4_metric_join": metric_join.oracle(),
+    "op9_licences": licences.oracle(),
+}
