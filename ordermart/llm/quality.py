@@ -97,6 +97,22 @@ def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     )
 
 
+#: Groups whose estimates go to every task; above it, rows are salted instead.
+BROADCAST = 50_000
+SALT = 64
+
+
+def _attach(rows: DataFrame, groups: DataFrame, on: list[str], x: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """Joins a written table with one row a group to its rows. A group may hold
+    a third of the rows, so they never meet by group: the small side is
+    broadcast after its size is checked, or repeated for salts of the rows."""
+    if groups.count() <= BROADCAST:
+        return rows.join(F.broadcast(groups), on, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*x), F.lit(SALT)))
+    each = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    return salted.join(each, [*on, "_salt"], how).drop("_salt")
+
+
 def _distance(x: tuple[str, ...]) -> Column:
     """Squared Mahalanobis distance to columns m0.. with the Cholesky factor in
     columns c00, c10, ...: the squared length of the forward-substituted
@@ -142,20 +158,20 @@ def robust_scatter(
     quantile = lambda c, q: F.percentile_approx(c, F.lit(q), F.lit(10_000))
     middle = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *(quantile(c, 0.5).alias(f"m{i}") for i, c in enumerate(x)))
     middle = written(middle.filter(F.col("n") >= min_group).drop("n"))
-    spread = rows.join(middle, by).groupBy(by).agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(len(x))), *(quantile(F.abs(F.col(c) - F.col(f"m{i}")), 0.5).alias(f"d{i}") for i, c in enumerate(x)))
+    spread = _attach(rows, middle, [by], x).groupBy(by).agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(len(x))), *(quantile(F.abs(F.col(c) - F.col(f"m{i}")), 0.5).alias(f"d{i}") for i, c in enumerate(x)))
     # Two starts: each statistic scaled by its own median deviation, and by its floor alone.
     spread = spread.select(by, *(f"m{i}" for i in range(len(x))), *(F.array(F.greatest(1.4826 * F.col(f"d{i}"), F.lit(floors[i])), F.lit(floors[i])).alias(f"d{i}") for i in range(len(x))))
     starts = spread.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     zero = {f"c{i}{j}": (F.get(f"d{i}", F.col("start")) if i == j else F.lit(0.0)) for i in range(len(x)) for j in range(i + 1)}
     now = written(starts.withColumns(zero).select(by, "start", *(f"m{i}" for i in range(len(x))), *zero))
     for _ in range(steps + 1):
-        far = rows.join(now, by).select(by, "start", *x, _distance(x).alias("dist"))
+        far = _attach(rows, now, [by], x).select(by, "start", *x, _distance(x).alias("dist"))
         limit = written(far.groupBy(by, "start").agg(quantile("dist", share).alias("limit")))
-        near = far.join(limit, [by, "start"]).filter(F.col("dist") <= F.col("limit"))
+        near = _attach(far, limit, [by, "start"], x).filter(F.col("dist") <= F.col("limit"))
         now = written(_estimate(near, [by, "start"], x, floors))
     best = now.groupBy(by).agg(F.min_by(F.struct(*[c for c in now.columns if c != by]), F.struct("log_det", "start")).alias("b")).select(by, "b.*").drop("start")
     best = written(best)
-    half = rows.join(best, by).groupBy(by).agg(quantile(_distance(x), 0.5).alias("half"))
+    half = _attach(rows, best, [by], x).groupBy(by).agg(quantile(_distance(x), 0.5).alias("half"))
     return best.join(half, by).withColumn("scale", F.greatest(F.col("half") / CHI2_MEDIAN, F.lit(1.0))).drop("half")
 
 
@@ -180,6 +196,6 @@ def judge(
     rows = statistics(df, id_col, text_col, group_cols).withColumn("g", F.to_json(F.struct(*names))).drop(*names)
     rows = written(rows)
     estimates = robust_scatter(rows.filter(~F.col("base_failed")).select("g", *STATS), "g", STATS, FLOORS, min_group=min_group)
-    judged = rows.join(estimates, "g", "left").withColumn("distance", _distance(STATS) / F.col("scale"))
+    judged = _attach(rows, written(estimates), ["g"], STATS, "left").withColumn("distance", _distance(STATS) / F.col("scale"))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
