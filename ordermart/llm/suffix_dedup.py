@@ -2,12 +2,13 @@
 
 The corpus is cut by content, so that equal strings meet without a global
 suffix array. Each 100-byte window has an anchor, the leftmost least hash among
-its 32-byte grams; equal windows have equal anchors. Neighbouring windows with
+its 16-byte grams; equal windows have equal anchors. Neighbouring windows with
 one anchor form a segment. A segment whose anchor occurs once can hold no
 repeat. Equal segments are one class: its first one stands for all, and the
 others' windows repeat it. What is left, different segments with an equal
 anchor, are the edges of repeats: they are gathered by anchor into buckets of
-bounded size, and in each bucket a Burrows-Wheeler transform of the segments is
+bounded size, narrowed to windows that share more than the anchor with another
+segment, and in each bucket a Burrows-Wheeler transform of the segments is
 expanded breadth-first: the intervals of all strings of length l, extended by
 one byte to the left, give those of length l + 1, so the common prefixes of
 neighbouring suffixes come out by increasing value and the expansion stops at
@@ -19,6 +20,7 @@ by window instead, by exact digests combined map-side.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -26,14 +28,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordermart.llm.common import slices, written
 
-GRAM = 32
-#: Bytes that a task hashes at once, and bytes of segments in a bucket.
-PIECE, BUCKET = 1 << 20, 1 << 21
+GRAM = 16
+#: Bytes that a task hashes at once, and bytes of segments in a bucket (whose
+#: arrays should stay in a processor's cache).
+PIECE, BUCKET = 1 << 20, 1 << 18
 #: Different segments of one anchor that a bucket takes.
 CROWD = 10_000
 #: Stands for "no doc_id": such rows come last.
@@ -43,9 +46,9 @@ _MIX = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A mixed hash of the 32 bytes from each position (the last 31: of what wraps)."""
+    """A mixed hash of the 16 bytes from each position (the last 15: of what wraps)."""
     h = _MIX[data]
-    for k in (1, 2, 4, 8, 16):
+    for k in (1, 2, 4, 8):
         h = h * np.uint64(0x9E3779B97F4A7C15 + 2 * k) + np.roll(h, -k)
         h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -239,6 +242,34 @@ def repeats(parts: list[bytes], counts: np.ndarray, size: int) -> list[np.ndarra
     return [again[a:b] - s for a, b, s in zip(at, at[1:], starts, strict=False)]
 
 
+def narrowed(parts: list[bytes], counts: np.ndarray, anchors: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First window and number of windows of each segment that can still equal
+    another's. Most segments with one anchor share little more than its gram by
+    chance. A window holds ``reach`` bytes beside the gram on one of its sides,
+    so windows whose side no other segment of the anchor has are left out."""
+    grams = size - GRAM + 1
+    reach = (size - GRAM) // 2
+    lengths = np.array([len(p) for p in parts], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    h = gram_hashes(np.frombuffer(b"".join(parts), np.uint8))
+    view = np.lib.stride_tricks.sliding_window_view(h, grams)
+    at = np.concatenate([view[starts[k : k + 4096]].argmin(axis=1) for k in range(0, len(parts), 4096)])
+    of = xxhash.xxh3_64_intdigest
+    # Windows from ``turn`` on have at least ``reach`` bytes to the gram's right, the others to its left.
+    turn = np.clip(at - reach + 1, 0, counts)
+    both = []
+    for there, a, b in ((turn > 0, at - reach, at + GRAM), (turn < counts, at, at + GRAM + reach)):
+        side = np.array([of(p[i:j]) if t else 0 for p, i, j, t in zip(parts, a.tolist(), b.tolist(), there.tolist(), strict=True)], np.uint64).view(np.int64)
+        order = np.lexsort((side, anchors, there))
+        equal = (side[order][1:] == side[order][:-1]) & (anchors[order][1:] == anchors[order][:-1]) & there[order][1:] & there[order][:-1]
+        shared = np.zeros(len(parts), bool)
+        shared[order] = np.append(equal, False) | np.append(False, equal)
+        both.append(shared)
+    left, right = both
+    first = np.where(left, 0, turn)
+    return first, np.where(left | right, np.where(right, counts, turn) - first, 0)
+
+
 def _runs(x: np.ndarray) -> list[tuple[int, int]]:
     """Start and length of the runs in sorted numbers."""
     if not len(x):
@@ -256,7 +287,7 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = scanned.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
     some = written(scanned.join(shared, "anchor"))
     del scanned, shared
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffles that are behind us
+    release(spark)
     here = some.filter("n < 0").select("doc", "place", (-F.col("n")).alias("n"))
     kept = some.filter("n > 0")
     classes = written(kept.groupBy("anchor", "digest").agg(F.min(F.struct("doc", "place", "n")).alias("first")))
@@ -279,14 +310,20 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["anchor", "doc", "place", "n", "variants", "data"])
 
     cut = docs.join(by_row, ["doc", "key"]).select("doc", "text", "edges").mapInArrow(take, "anchor long, doc long, place long, n long, variants long, data binary")
-    cut = written(cut.dropDuplicates(["doc", "place", "anchor"]))
+    cut = written(cut)  # a repeated row brings its segments again: compare and _crowded bear that
+    release(spark)
     small = cut.filter(F.col("variants") <= crowd)
     total = small.agg(F.sum(F.length("data") + 1)).first()[0] or 0
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc", "place"], ignore_index=True)
-        found = repeats(pdf["data"].tolist(), pdf["n"].to_numpy(np.int64), size)
-        rows = [(d, p + a, k) for d, p, x in zip(pdf["doc"], pdf["place"], found, strict=True) for a, k in _runs(x)]
+        pdf = pdf.drop_duplicates(["doc", "place", "anchor"]).sort_values(["doc", "place"], ignore_index=True)
+        first, counts = narrowed(pdf["data"].tolist(), pdf["n"].to_numpy(np.int64), pdf["anchor"].to_numpy(np.int64), size)
+        pdf = pdf.assign(first=first, n=counts)[counts > 0]
+        if pdf.empty:
+            return pd.DataFrame({"doc": [], "place": [], "n": []}).astype("int64")
+        parts = [d[a : a + n + size - 1] for d, a, n in zip(pdf["data"], pdf["first"], pdf["n"], strict=True)]
+        found = repeats(parts, pdf["n"].to_numpy(np.int64), size)
+        rows = [(d, p + f + a, k) for d, p, f, x in zip(pdf["doc"], pdf["place"], pdf["first"], found, strict=True) for a, k in _runs(x)]
         return pd.DataFrame(rows, columns=["doc", "place", "n"]).astype("int64")
 
     n_buckets = max(1, -(-total // bucket))
@@ -296,6 +333,13 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return here.unionAll(other).unionAll(edge).unionAll(_crowded(cut.filter(F.col("variants") > crowd), size))
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffles behind a written table: it does so once
+    nothing on the driver refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _crowded(cut: DataFrame, size: int) -> DataFrame:
     """The same for anchors with too many segments: each window's 128-bit
     digest, its first place by a combined minimum, and a join back."""
@@ -347,7 +391,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
 def _cut(df: DataFrame, id_col: str, text_col: str, size: int, bucket: int, crowd: int, digest: bool) -> DataFrame:
     marks = written(repeated_windows(df, id_col, text_col, size, bucket, crowd))
-    df.sparkSession.sparkContext._jvm.System.gc()
+    release(df.sparkSession)
     each = marks.select("doc", F.shiftright("place", 32).alias("key"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("start"), "n")
     by_row = each.groupBy("doc", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
     joined = _rows(df, id_col, text_col).join(by_row, ["doc", "key"], "left").select("doc", "text", "starts", "counts")
