@@ -14,9 +14,13 @@ back by group. A group that holds a third of the rows is combined map-side;
 its rows are never brought together.
 
 Defined cases: a null or empty text has no words, so the fixed limits fail it.
-Null languages and sources form groups of their own. A group with fewer than
-``min_group`` texts that pass the fixed limits has no estimate and its texts
-keep the fixed verdict. Repeated rows are judged each.
+Null languages and sources form groups of their own. The texts of a group with
+fewer than ``min_group`` texts that pass the fixed limits are judged by the
+estimate of their language, those of a language with fewer by one of all rows,
+in which each text's word length is taken relative to the median of its
+language (else every text of a rare language with long words were an outlier).
+So every text that passes the fixed limits has a distance. Repeated rows are
+judged each.
 """
 
 from __future__ import annotations
@@ -175,6 +179,38 @@ def robust_scatter(
     return best.join(half, by).withColumn("scale", F.greatest(F.col("half") / CHI2_MEDIAN, F.lit(1.0))).drop("half")
 
 
+def _plan(passing: DataFrame, keys: list[str], min_group: int) -> DataFrame:
+    """``keys`` and ``key`` of each group: the first of its keys, from fine to
+    coarse, that ``min_group`` rows have, or else the last one."""
+    sizes = written(passing.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    plan, enough = sizes, [F.when(F.col("n") >= min_group, F.col(keys[0]))]
+    for k in keys[1:-1]:
+        plan = _attach(plan, written(sizes.groupBy(k).agg(F.sum("n").alias(f"n_{k}"))), [k], (keys[0],))
+        enough.append(F.when(F.col(f"n_{k}") >= min_group, F.col(k)))
+    return written(plan.select(*keys, F.coalesce(*enough, F.col(keys[-1])).alias("key")))
+
+
+def _group_estimates(passing: DataFrame, keys: list[str], min_group: int) -> DataFrame:
+    """``keys[0]`` of each group with the estimate that judges it."""
+    plan = _plan(passing, keys, min_group)
+    needed = written(plan.select("key").distinct())
+    middle = None
+    if len(keys) > 1 and not needed.join(plan.select(F.col(keys[-1]).alias("key")), "key", "left_semi").isEmpty():
+        middle = written(passing.groupBy(keys[-2]).agg(F.percentile_approx("x0", F.lit(0.5), F.lit(10_000)).alias("middle")))
+    parts = []
+    for k in keys:
+        part = passing
+        if k == keys[-1] and middle is not None:
+            part = _attach(passing, middle, [keys[-2]], STATS).withColumn("x0", F.col("x0") - F.col("middle"))
+        parts.append(_attach(part.select(F.col(k).alias("key"), *STATS), needed, ["key"], STATS))
+    estimates = written(robust_scatter(written(reduce(DataFrame.unionAll, parts)), "key", STATS, FLOORS, min_group=1))
+    found = _attach(plan, estimates, ["key"], (keys[0],))
+    if middle is not None:
+        shift = F.when(F.col("key") == F.col(keys[-1]), F.col("middle")).otherwise(0.0)
+        found = _attach(found, middle, [keys[-2]], (keys[0],)).withColumn("m0", F.col("m0") + shift)
+    return written(found.select(keys[0], *(c for c in estimates.columns if c != "key")))
+
+
 def judge(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -187,15 +223,19 @@ def judge(
     base_failed, kept, distance``.
 
     ``base_failed``: fewer than 50 words, or over half of the words in repeated
-    windows of three. ``distance`` is the squared Mahalanobis distance within
-    the group (null without an estimate); ``kept`` is false for base failures
-    and for distances over ``cutoff`` (a chi-squared variable with four degrees
-    of freedom exceeds 40 once in 20 million).
+    windows of three. ``distance`` is the squared Mahalanobis distance within the group,
+    or within a coarser one if the group is small (the first column of
+    ``group_cols`` counts as the language); it is null only for base failures
+    whose group has no other texts. ``kept`` is false for base failures and for
+    distances over ``cutoff`` (a chi-squared variable with four degrees of
+    freedom exceeds 40 once in 20 million).
     """
     names = [f"g{k}" for k in range(len(group_cols))]
-    rows = statistics(df, id_col, text_col, group_cols).withColumn("g", F.to_json(F.struct(*names))).drop(*names)
+    each = range(len(names), -1, -1)
+    keys = [f"at{k}" for k in each]
+    rows = statistics(df, id_col, text_col, group_cols).withColumns({f"at{k}": F.to_json(F.struct(F.lit(k).alias("of"), *names[:k])) for k in each}).drop(*names)
     rows = written(rows)
-    estimates = robust_scatter(rows.filter(~F.col("base_failed")).select("g", *STATS), "g", STATS, FLOORS, min_group=min_group)
-    judged = _attach(rows, written(estimates), ["g"], STATS, "left").withColumn("distance", _distance(STATS) / F.col("scale"))
+    estimates = _group_estimates(rows.filter(~F.col("base_failed")).select(*keys, *STATS), keys, min_group)
+    judged = _attach(rows, estimates, keys[:1], STATS, "left").withColumn("distance", _distance(STATS) / F.col("scale"))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

@@ -75,5 +75,32 @@ def test_concentration_lowers_the_determinant(spark):
     assert abs(est.m0) < 0.4 and est.log_det < np.linalg.slogdet(np.cov(np.vstack([good, bad]).T))[1]
 
 
+def small_groups(rnd, vocabularies):
+    """200 sources of five rows, one in ten of all rows junk; and rare languages."""
+    def text(words, junk):
+        some = [rnd.choice(words) for _ in range(rnd.randint(80, 200))]
+        return " ".join(w + rnd.choice("#$%") if junk else w for w in some)
+
+    rows = [(k, text(vocabularies[0], k % 10 == 3), "en" if k % 2 else None, f"s{k // 5}", k % 10 == 3) for k in range(1000)]
+    # Languages of six texts with words of their own length, one of them junk.
+    rows += [(2000 + 10 * v + k, text(words, k == 5), f"rare{v}", "s", k == 5) for v, words in enumerate(vocabularies[1:]) for k in range(6)]
+    return rows
+
+
+@pytest.mark.parametrize("most", [Q.BROADCAST, 0])
+def test_small_groups_are_judged(spark, monkeypatch, most):
+    monkeypatch.setattr(Q, "BROADCAST", most)
+    rnd = random.Random(5)
+    words = lambda low, high: ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(low, high))) for _ in range(300)]
+    rows = small_groups(rnd, [words(1, 8), words(1, 5), words(12, 30)])
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, junk boolean")
+    by = {r.doc_id: r for r in Q.judge(df).collect()}
+    assert not any(r.base_failed for r in by.values())
+    assert all(r.distance is not None for r in by.values())
+    assert [k for k, *_, junk in rows if by[k].kept == junk] == []
+    few = {r.doc_id: r for r in Q.judge(df.filter("doc_id >= 2000")).collect()}  # twelve rows in all
+    assert len(few) == 12 and all(r.distance is not None for r in few.values())
+
+
 def test_empty(spark, docs):
     assert Q.judge(docs.limit(0)).count() == 0
