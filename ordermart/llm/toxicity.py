@@ -35,8 +35,8 @@ from ordermart.llm.common import WORD, documents, slices, written
 
 #: Labelled documents that are learned from at most: toxic, clean.
 SAMPLE = (4000, 8000)
-#: Features kept at most, windows a document gives at most, words in a window.
-FEATURES, WINDOWS, WIDTH = 4096, 2, 15
+#: Features kept at most, words in a window, windows that are fitted at once.
+FEATURES, WIDTH, BLOCK = 4096, 15, 20_000
 #: Lengths of the first letters that are features of a word.
 PREFIXES = (4, 5, 6, 7)
 #: Toxic documents without a stronger feature that a feature must have, unless
@@ -198,69 +198,96 @@ def marking_features(sample: DataFrame, ratio: float = RATIO, most: int = FEATUR
     return [f for k, f in enumerate(names) if strong[k] or k in explained]
 
 
-def windows(sample: DataFrame, names: list[str], most: int = WINDOWS, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Features (index, -1: none; windows x width x features of a word) and labels of windows:
-    around marked words, and at places set by the document's id."""
+def places(marked: list[int], extra: int, width: int = WIDTH, beside: int = BESIDE) -> list[int]:
+    """Starts of windows: ``extra``, and so many that each marked word has
+    ``beside`` words of the text to either side in its window."""
+    out: list[int] = []
+    for k in marked:
+        if not out or k + beside >= out[-1] + width:
+            out.append(max(0, k - width // 2))
+    return sorted({*out, extra})
+
+
+def windows(sample: DataFrame, names: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features (index, -1: none; windows x width x features of a word), labels
+    and numbers of the different windows: around all marked words, and one a
+    document at a place set by its id. Past the end of a text labels are -1."""
     index = {f: k for k, f in enumerate(names)}
     each = 1 + len(PREFIXES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs, ys = [], []
+            found: Counter = Counter()
             for key, text, toxic in zip(*batch.columns, strict=True):
                 words = [[index[f] for f in features(bare(w)) if f in index] for w in text.as_py().split()]
+                if not words:
+                    continue
                 marked = [k for k, f in enumerate(words) if f]
-                step = max(1, len(marked) // max(1, most - 1))
-                places = [max(0, k - width // 2) for k in marked[::step][: most - 1]] + [key.as_py() * 7919 % max(1, len(words) - width)]
-                for k in places:
+                for k in places(marked, key.as_py() * 7919 % max(1, len(words) - width), width):
                     some = words[k : k + width]
-                    if len(some) == width:
-                        xs.append([i for f in some for i in (f + [-1] * each)[:each]])
-                        ys.append([int(bool(f) and toxic.as_py() == 1) for f in some])
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.int32())), pa.array(ys, pa.list_(pa.int32()))], names=["x", "y"])
-
-    rows = sample.select("doc_id", "text", "toxic").mapInArrow(cut, "x array<int>, y array<int>").toArrow()
+                    past = width - len(some)
+                    x = [i for f in some for i in (f + [-1] * each)[:each]] + [-1] * (past * each)
+                    y = [int(bool(f) and toxic.as_py() == 1) for f in some] + [-1] * past
+                    found[tuple(x), tuple(y)] += 1
+            xs, ys = [list(x) for x, _ in found], [list(y) for _, y in found]
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.int32())), pa.array(ys, pa.list_(pa.int32())), pa.array(list(found.values()), pa.int64())], names=["x", "y", "n"])
+
+    cuts = sample.select("doc_id", "text", "toxic").mapInArrow(cut, "x array<int>, y array<int>, n long")
+    rows = cuts.groupBy("x", "y").agg(F.sum("n").alias("n")).toArrow()
     shape = (rows.num_rows, width)
-    values = [c.combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in rows.columns]
-    return values[0].reshape(*shape, each), values[1].reshape(shape)
-
-
-def fit(x: np.ndarray, y: np.ndarray, names: list[str], rounds: int = 200, ridge: float = 0.02) -> Chain:
+    values = [c.combine_chunks() for c in rows.columns]
+    x, y = (v.flatten().to_numpy(zero_copy_only=False) for v in values[:2])
+    return x.reshape(*shape, each), y.reshape(shape), values[2].to_numpy(zero_copy_only=False)
+
+
+def _slopes(at: np.ndarray, y: np.ndarray, times: np.ndarray, weights: np.ndarray, bias: float, steps: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """Slopes of the log-likelihood of windows by weights, bias and (less the
+    counted pairs) steps. Places past the end of a text have no part in it."""
+    n, width, each = at.shape
+    real = y >= 0
+    up = bias + weights[at].sum(axis=2)
+    emit = np.stack([np.zeros_like(up), up], axis=2)
+    step = np.exp(steps)
+    scores = np.exp(emit - emit.max(axis=2, keepdims=True))
+    ahead, behind = np.empty((n, width, 2)), np.ones((n, width, 2))
+    ahead[:, 0] = scores[:, 0] / scores[:, 0].sum(axis=1, keepdims=True)
+    for t in range(1, width):
+        a = (ahead[:, t - 1] @ step) * scores[:, t]
+        ahead[:, t] = a / a.sum(axis=1, keepdims=True)
+    for t in range(width - 2, -1, -1):
+        b = (behind[:, t + 1] * scores[:, t + 1]) @ step.T
+        behind[:, t] = np.where(real[:, t + 1, None], b / b.sum(axis=1, keepdims=True), 1.0)
+    both = ahead * behind
+    toxic = both[:, :, 1] / both.sum(axis=2)
+    joint = ahead[:, :-1, :, None] * step * (scores * behind)[:, 1:, None, :]
+    joint /= joint.sum(axis=(2, 3), keepdims=True)
+    wrong = np.where(real, y - toxic, 0.0) * times[:, None]
+    moves = (joint * (times[:, None] * real[:, 1:])[:, :, None, None]).sum(axis=(0, 1))
+    return np.bincount(at.ravel(), np.repeat(wrong.ravel(), each), len(weights)), wrong.sum(), moves
+
+
+def fit(x: np.ndarray, y: np.ndarray, names: list[str], rounds: int = 200, ridge: float = 0.02, times: np.ndarray | None = None) -> Chain:
     """Maximum conditional likelihood by scaled gradient steps, ``ridge`` on
-    all weights. Forward and backward run over all windows at once; equal
-    windows are one with a weight."""
+    all weights. ``times`` are the numbers of the windows (else each is one);
+    equal windows are one with a weight. Forward and backward run over blocks
+    of windows at once."""
     if not len(y) or not names:
         return Chain()
     width, each = x.shape[1:]
-    rows, times = np.unique(np.concatenate([x.reshape(len(x), -1), y], axis=1), axis=0, return_counts=True)
+    counts = np.ones(len(y)) if times is None else times
+    rows, same = np.unique(np.concatenate([x.reshape(len(x), -1), y], axis=1), axis=0, return_inverse=True)
+    times = np.bincount(same.ravel(), counts, len(rows))
     x, y = rows[:, : width * each].reshape(-1, width, each), rows[:, width * each :]
-    n = len(y)
     weights, bias, steps = np.zeros(len(names) + 1), -2.0, np.zeros((2, 2))
     speed = {"w": np.full(len(names) + 1, 1e-8), "b": 1e-8, "s": np.full((2, 2), 1e-8)}
     at = np.where(x < 0, len(names), x)
     pairs = np.array([[(((y[:, :-1] == a) & (y[:, 1:] == b)).sum(axis=1) * times).sum() for b in (0, 1)] for a in (0, 1)])
     for _ in range(rounds):
         weights[-1] = 0.0
-        up = bias + weights[at].sum(axis=2)
-        emit = np.stack([np.zeros_like(up), up], axis=2)
-        step = np.exp(steps)
-        scores = np.exp(emit - emit.max(axis=2, keepdims=True))
-        ahead, behind = np.empty((n, width, 2)), np.ones((n, width, 2))
-        ahead[:, 0] = scores[:, 0] / scores[:, 0].sum(axis=1, keepdims=True)
-        for t in range(1, width):
-            a = (ahead[:, t - 1] @ step) * scores[:, t]
-            ahead[:, t] = a / a.sum(axis=1, keepdims=True)
-        for t in range(width - 2, -1, -1):
-            b = (behind[:, t + 1] * scores[:, t + 1]) @ step.T
-            behind[:, t] = b / b.sum(axis=1, keepdims=True)
-        both = ahead * behind
-        toxic = both[:, :, 1] / both.sum(axis=2)
-        joint = ahead[:, :-1, :, None] * step * (scores * behind)[:, 1:, None, :]
-        joint /= joint.sum(axis=(2, 3), keepdims=True)
-        wrong = (y - toxic) * times[:, None]
-        slope_w = np.bincount(at.ravel(), np.repeat(wrong.ravel(), each), len(names) + 1) - ridge * weights
-        slope_b = wrong.sum() - ridge * bias
-        slope_s = pairs - (joint * times[:, None, None, None]).sum(axis=(0, 1)) - ridge * steps
+        parts = [_slopes(at[k : k + BLOCK], y[k : k + BLOCK], times[k : k + BLOCK], weights, bias, steps) for k in range(0, len(y), BLOCK)]
+        slope_w = sum(p[0] for p in parts) - ridge * weights
+        slope_b = sum(p[1] for p in parts) - ridge * bias
+        slope_s = pairs - sum(p[2] for p in parts) - ridge * steps
         slope_s[0, 0] = 0.0
         speed["w"] += slope_w**2
         speed["b"] += slope_b**2
@@ -275,7 +302,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
     """The chain fitted to the labelled rows that aren't held out."""
     some = labelled_sample(docs, labels, sample)
     names = marking_features(some)
-    return fit(*windows(some, names), names) if names else Chain()
+    if not names:
+        return Chain()
+    x, y, times = windows(some, names)
+    return fit(x, y, names, times=times)
 
 
 def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:

@@ -86,6 +86,40 @@ def test_held_out_accuracy(spark):
     assert {(r.doc_id, r.score) for r in again} == {(r.doc_id, r.score) for r in got}
 
 
+def test_all_marked_words_have_windows():
+    marked = [0, 3, 8, 9, 30, 44, 49]
+    found = T.places(marked, 12)
+    assert 12 in found
+    for k in marked:
+        assert any(a <= max(0, k - T.BESIDE) and k + T.BESIDE < a + T.WIDTH for a in found)
+
+
+def test_padding_has_no_part_in_the_fit():
+    rnd = np.random.default_rng(3)
+    y = (rnd.random((300, 6)) < 0.3).astype(int)
+    x = np.where(y[..., None] == 1, rnd.integers(0, 2, (300, 6, 1)), -1)
+    wide = [np.concatenate([a, np.full((300, 9, *a.shape[2:]), -1)], axis=1) for a in (x, y)]
+    short, padded = T.fit(x, y, ["=a", "=b"]), T.fit(*wide, ["=a", "=b"])
+    assert padded.weights == pytest.approx(short.weights)
+    assert (padded.bias, *padded.steps) == pytest.approx((short.bias, *short.steps))
+    twice = T.fit(np.concatenate([x, x]), np.concatenate([y, y]), ["=a", "=b"])
+    assert T.fit(x, y, ["=a", "=b"], times=np.full(300, 2)).weights == pytest.approx(twice.weights)
+
+
+def test_short_texts(spark):
+    rnd = random.Random(4)
+    clean = ["".join(rnd.choice("aeioutnrs") for _ in range(rnd.randint(2, 7))) for _ in range(400)]
+    docs, labels = [], []
+    for k in range(600):
+        words = [rnd.choice(clean) for _ in range(rnd.randint(3, 10) if k % 4 == 0 else rnd.randint(3, 60))]
+        if k % 4 == 0:
+            words[-1 if k % 8 else rnd.randrange(len(words))] = rnd.choice(["zbad", "zawful!"])
+        docs.append((k, " ".join(words)))
+        labels.append((k, int(k % 4 == 0)))
+    got = T.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert [r.doc_id for r in got if r.predicted != (r.doc_id % 4 == 0)] == []
+
+
 def test_nothing_to_learn(spark):
     d = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
