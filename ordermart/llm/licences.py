@@ -14,10 +14,19 @@ from pyspark.sql import functions as F
 from ordermart.llm.common import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that only states copyright, after any marks of a comment.
+#: The oracle's copyright lines: any that begin with the word or a sign.
 COPYRIGHT_LINE = r"^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$"
 RIGHTS_LINE = r"^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
+#: First words of a grant, perhaps over two lines.
+GRANT = r"\b(?:permission[^a-z0-9]+(?:is|to)|redistribution[^a-z0-9]+and[^a-z0-9]+use|this[^a-z0-9]+(?:software|project|work)[^a-z0-9]+is|(?:licensed|released)[^a-z0-9]+under)\b"
+TITLE = r"(?:the )?(?:mit|isc|zlib|bsd (?:zero|[0-9])[ -]clause) license(?: \(mit\))?|zero-clause bsd"
+#: Words after "copyright" or "(c)" at the start of a line that show it is prose (or an item of a list).
+PROSE = r"(?:notices?|holders?|owners?|licen[cs]es?|laws?|statements?|interests?|rights?|treat(?:y|ies)|protection|infringement|act|and|or|in|to|is)\b"
+ITEM = r"(?:you|your|any|all|each|every|if|in|to|for|no|not|such|it|that|this|must|may)\b"
+#: A copyright notice at the start of a line, after any marks of a comment and a
+#: licence's title (kept, as group 1): to the end of the line or the first words of a grant.
+COPYRIGHT_NOTICE = rf"^([^a-z0-9\n]*(?:(?:{TITLE})[^a-z0-9\n]+)?)(?:copyright(?![a-z]|[^a-z0-9\n]*{PROSE})|\(c\)(?![^a-z0-9\n]*{ITEM})|©)(?:(?!{GRANT})[^\n])*"
 
 #: Spellings that licence texts treat as equal.
 SPELLINGS = {
@@ -159,9 +168,10 @@ TEXTS = {
 
 def canonical_lines(text: Column) -> Column:
     """The canonical lines, as one text: words of letters and digits in lower
-    case, without copyright lines, each line between single blanks."""
+    case, without copyright notices, each line between single blanks. Lines of
+    prose that begin with the word "copyright" stay, however they are wrapped."""
     low = F.translate(text, UPPER, LOWER)
-    low = F.regexp_replace(F.regexp_replace(low, "(?md)" + COPYRIGHT_LINE, ""), "(?md)" + RIGHTS_LINE, "")
+    low = F.regexp_replace(F.regexp_replace(low, "(?md)" + COPYRIGHT_NOTICE, "$1"), "(?md)" + RIGHTS_LINE, "")
     # Two blanks between words: a spelling and its neighbours share none.
     low = F.concat(F.lit(" "), F.replace(F.regexp_replace(low, PUNCTUATION, "  "), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for old, new in SPELLINGS.items():
@@ -217,7 +227,8 @@ def scan(
 
 
 def oracle(table: str = "documents") -> str:
-    """The same in DuckDB SQL."""
+    """The same in DuckDB SQL, but that it drops the whole of every line that
+    begins with "copyright" or a sign."""
 
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"

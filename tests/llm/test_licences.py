@@ -1,3 +1,5 @@
+import textwrap
+
 import duckdb
 import pandas as pd
 
@@ -43,5 +45,30 @@ def test_equals_sql(spark):
     assert by[None, "Apache-2.0"][4] == 1
 
 
+def test_wrapping_and_notices_on_the_line(spark):
+    rows, notice = [], "Copyright (c) 2020, Some One"
+    for name, many in licences.TEXTS.items():
+        for k, text in enumerate(many):
+            forms = [textwrap.fill(text, w) for w in (20, 27, 33, 50, 61, 72, 100, 100_000)]
+            forms += [f"{notice}\n{x}" for x in forms]
+            title = text.split("\n")[0] if k else ""
+            body = text[len(title) :].strip()
+            for said in (notice, "© 2019 X", "Copyright Some One and others", notice + ". All rights reserved."):
+                forms.append(" ".join(f"{title} {said} {body}".split()))
+                forms.append(f"{title}\n\n{said}\n\n{body}")
+            rows += [(name, x) for x in forms]
+    df = spark.createDataFrame([(k, x) for k, (_, x) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.licence for r in licences.scan(df).collect()}
+    assert [(n, got[k], x[:60]) for k, (n, x) in enumerate(rows) if got[k] != n] == []
+
+
+def test_prose_stays(spark):
+    prose = ["copyright notice kept", "COPYRIGHT HOLDERS BE LIABLE", "copyrighted works", "(c) You must retain"]
+    gone = ["copyright", "(c)", "# Copyright 2020 X", "Copyright The Authors", "(c) Some One"]
+    df = spark.createDataFrame(list(enumerate(prose + gone)), "doc_id long, text string")
+    got = {r.doc_id: r.digest is not None for r in licences.scan(df).collect()}
+    assert [got[k] for k in range(len(got))] == [True] * len(prose) + [False] * len(gone)
+
+
 def test_empty(spark):
     assert licences.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
