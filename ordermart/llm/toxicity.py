@@ -51,6 +51,8 @@ REMEMBERED = 500_000
 
 WORDS = re.compile(WORD)
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+#: Blanks that lie within a word as WORD has it; its parts have the features.
+INNER = re.compile(r"(?![\x20\x09-\x0D])\s")
 
 
 def bare(word: str) -> str:
@@ -128,9 +130,15 @@ class Chain:
         n = len(at) if at is not None else len(WORDS.findall(text))
         if not n:
             return 0.0, []
-        hits = {k for k, m in enumerate(at) if m[0] in marked} if at else set()
+        hits: dict[int, float] = {}
+        if at:
+            inner = INNER.search(text) is not None
+            for k, m in enumerate(at):
+                first = next((w for w in m[0].split() if w in marked), None) if inner else m[0]
+                if first in marked:
+                    hits[k] = marked[first]
         visit = sorted({0, n - 1} | {j for k in hits for j in range(max(0, k - BESIDE), min(n, k + BESIDE + 1))})
-        potentials = [marked[at[k][0]] if k in hits else self.bias for k in visit]
+        potentials = [hits.get(k, self.bias) for k in visit]
         chances = self.marginals(potentials, [b - a - 1 for a, b in zip(visit, visit[1:], strict=False)])
         spans: list[tuple[int, int, float]] = []
         last = -2
@@ -215,11 +223,15 @@ def windows(sample: DataFrame, names: list[str], width: int = WIDTH) -> tuple[np
     index = {f: k for k, f in enumerate(names)}
     each = 1 + len(PREFIXES)
 
+    def own(word: str) -> list[int]:
+        """Of the word's first part between any blanks that has some, as in ``tag``."""
+        return next((some for w in word.split() if (some := [index[f] for f in features(bare(w)) if f in index])), [])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter = Counter()
             for key, text, toxic in zip(*batch.columns, strict=True):
-                words = [[index[f] for f in features(bare(w)) if f in index] for w in text.as_py().split()]
+                words = [own(w) for w in WORDS.findall(text.as_py())]
                 if not words:
                     continue
                 marked = [k for k, f in enumerate(words) if f]

@@ -45,6 +45,17 @@ def test_tag_equals_whole_chain():
     assert chain.tag("x " * 100_000 + "bad")[1][0][:2] == (200_000, 200_003)
 
 
+@pytest.mark.parametrize("blank", ["\u00a0", "\u3000", "\u2009", "\x1c", "\x85"])
+def test_blanks_within_words(blank):
+    chain = T.Chain({"=bad": 9.0}, -3.0, (-0.5, 0.2, 0.9))
+    plain = chain.tag("some words bad thing here")
+    text = f"some words{blank}x bad{blank}thing here"
+    score, spans = chain.tag(text)
+    assert score >= 0.9 and plain[0] >= 0.9
+    assert [text[a:b] for a, b, _ in spans] == [f"bad{blank}thing"]
+    assert chain.tag(f"thing{blank}BAD!")[0] == chain.tag("bad")[0]
+
+
 def test_gradient_fit_separates():
     rnd = np.random.default_rng(1)
     y = (rnd.random((400, 9)) < 0.2).astype(int)
