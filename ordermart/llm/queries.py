@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordermart.llm import bpe, licences, line_dedup, metric_join, mixing, pii, quality, simhash, suffix_dedup, toxicity
+from ordermart.llm import alignment, bpe, licences, line_dedup, metric_join, mixing, pii, quality, simhash, suffix_dedup, toxicity
 from ordermart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.scored(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix": op1_mix,
     "op2_toxicity": op2_toxicity,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_licences": op9_licences,
     "op10_quality": op10_quality,
+    "op12_alignment": op12_alignment,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
