@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordermart.llm import alignment, bpe, licences, line_dedup, metric_join, mixing, pii, quality, simhash, suffix_dedup, toxicity
+from ordermart.llm import alignment, bpe, licences, line_dedup, metric_join, mixing, packing, pii, quality, simhash, suffix_dedup, toxicity
 from ordermart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.scored(table(spark, sf_dir, "documents"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix": op1_mix,
     "op2_toxicity": op2_toxicity,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op9_licences": op9_licences,
     "op10_quality": op10_quality,
     "op12_alignment": op12_alignment,
+    "op13_packing": op13_packing,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
