@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordermart.llm.bpe import blank_split, default_path
-from ordermart.llm.common import documents
+from ordermart.llm.common import documents, slices
 
 #: Prices in tokens of padding: a cut at a sentence's end, a cut inside a
 #: sentence, and a sequence that is short because it is a power of two.
@@ -44,14 +44,18 @@ LONG, STEP = 256, 32
 BLOCK = 1 << 20
 #: Bytes of text a partition has on average, and partitions at most.
 SHARE, PARTITIONS = 16 << 20, 32768
-REMEMBERED = 400_000
+#: Stretches whose ids a worker remembers.
+REMEMBERED = 800_000
 
+MARKS = frozenset(".,!?;:")
 SENTENCE_END = re.compile(r"[.!?…。！？।]['\"”’»)\]]*$")
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library, a stretch without blanks
-    at a time (no token crosses a blank there); frequent ones are remembered."""
+    at a time (no token crosses a blank there). A stretch is a stem and maybe
+    a mark behind its letters; stems are numbered and the ids of all of them
+    lie in one array, so that a text's ids are one gather."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,27 +64,94 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, tuple[bytes, int, bool]] = {}
-        self.older = self.known
-
-    def encode(self, text: str, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids, the end id included, and the places behind a sentence's end."""
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = {k: v for k, v in self.known.items() if len(k) <= 64}, {}
-        known, words = self.known, blank_split(text)
-        new = [w for w in set(words) if w not in known]
-        if new:
-            unknown = [w for w in new if w not in self.older]
-            for w, code in zip(unknown, self.library.encode_batch(unknown, add_special_tokens=False), strict=True):
-                known[w] = (np.array(code.ids, "<u4").tobytes(), len(code.ids), SENTENCE_END.search(w) is not None)
-            for w in new:
-                if w not in known:
-                    known[w] = self.older[w]
-        codes = [known[w] for w in words]
-        ids = np.frombuffer(b"".join([c[0] for c in codes]) + end.to_bytes(4, "little"), "<u4")
-        places = np.cumsum(np.fromiter((c[1] for c in codes), np.int64, len(codes)))
-        ends = places[np.fromiter((c[2] for c in codes), bool, len(codes))]
-        return ids, ends[(ends > 0) & (ends < len(ids) - 1)]
+        vocab = self.library.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers, self.stems = Numbers(), Numbers()
+        self.stems[""] = 0
+        self.pool, self.used = np.empty(1 << 20, "<u4"), 0
+        self.begin, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)  # by stem
+        self.parts, self.ends = np.empty((0, 2), np.int64), np.empty(0, bool)  # by stretch
+
+    def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words and how many each has. Words of common letters
+        are one word each to the library too, so they are encoded as one text
+        and told apart by the tokens that end a word."""
+        plain = [_letters(w) and max(w) < "\u0530" for w in words]
+        joined = [w for w, p in zip(words, plain, strict=True) if p]
+        rest = [w for w, p in zip(words, plain, strict=True) if not p]
+        ids = np.array(self.library.encode_batch_fast([" ".join(joined)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(joined) or (len(ends) and ends[-1] != len(ids)):
+            plain, rest, ids, ends = [False] * len(words), words, ids[:0], ends[:0]
+        others = [c.ids for c in self.library.encode_batch_fast(rest, add_special_tokens=False)]
+        plain, sizes = np.array(plain, bool), np.zeros(len(words), np.int64)
+        sizes[plain], sizes[~plain] = np.diff(ends, prepend=0), [len(o) for o in others]
+        out, mine = np.empty(int(sizes.sum()), "<u4"), np.repeat(plain, sizes)
+        out[mine], out[~mine] = ids, [i for o in others for i in o]
+        return out, sizes
+
+    def learn(self) -> None:
+        """Give ids to all new stretches."""
+        new, self.numbers.new = self.numbers.new, []
+        parts = []
+        for text in new:
+            word, mark = (text[:-1], text[-1]) if text[-1] in MARKS and _letters(text[:-1]) else (text, "")
+            parts.append((self.stems[word.lower() if word.isascii() and "<" not in word else word], self.stems[mark]))
+        self.parts = np.concatenate([self.parts, np.array(parts, np.int64).reshape(-1, 2)])
+        self.ends = np.concatenate([self.ends, np.fromiter((SENTENCE_END.search(t) is not None for t in new), bool, len(new))])
+        words, self.stems.new = self.stems.new, []
+        if words:
+            ids, sizes = self.codes(words)
+            if self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool[: self.used], np.empty(max(len(ids), self.used), "<u4")])
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.begin = np.concatenate([self.begin, self.used + np.cumsum(sizes) - sizes])
+            self.size = np.concatenate([self.size, sizes])
+            self.used += len(ids)
+
+    def encode(self, texts: list[str], end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text its ids, the end id included, and the places behind a
+        sentence's end."""
+        if len(self.numbers) > REMEMBERED:
+            self.forget()
+        coded = []
+        for text in texts:
+            words = blank_split(text)
+            coded.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
+        if self.numbers.new:
+            self.learn()
+        for codes in coded:
+            stems = self.parts[codes].ravel()
+            sizes = self.size[stems]
+            places = np.cumsum(sizes)
+            n = int(places[-1]) if len(places) else 0
+            ids = np.empty(n + 1, "<u4")
+            ids[:n] = self.pool[np.repeat(self.begin[stems] - places + sizes, sizes) + np.arange(n)]
+            ids[n] = end
+            ends = places[1::2][self.ends[codes]]
+            yield ids, ends[(ends > 0) & (ends < n)]
+
+
+def _letters(text: str) -> bool:
+    """Letters alone, in lower case too (that of one has a combining dot)."""
+    return text.isalpha() and "İ" not in text
+
+
+class Numbers(dict):
+    """Numbers in order of first sight; ``new`` has those without ids yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, text: str) -> int:
+        self.new.append(text)
+        self[text] = n = len(self)
+        return n
 
 
 def best_cuts(places: np.ndarray, prices: np.ndarray, window: int, short: int = SHORT) -> tuple[list[int], int]:
@@ -237,8 +308,9 @@ def pack(
         packer = Packer(window, sentence, inside, short, long, step, block, TaskContext.get().partitionId() << 40)
         rows: list[tuple] = []
         for some in batches:
-            for doc_id, text in zip(some.column(0).to_pylist(), some.column(1), strict=True):
-                rows += packer.add(doc_id, *encoder.encode(text.as_py(), end_id))
+            for part in slices(some):
+                for doc_id, (ids, ends) in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist(), end_id), strict=True):
+                    rows += packer.add(doc_id, ids, ends)
                 if len(rows) >= 50_000:
                     yield batch(rows)
                     rows = []

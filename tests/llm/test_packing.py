@@ -50,6 +50,18 @@ def test_cuts_are_the_cheapest():
         assert (np.diff(places[[0, *cuts]]) <= window).all()
 
 
+def test_encoder_equals_the_library(library):
+    rnd = random.Random(7)
+    e = packing.Encoder(default_path())
+    bits = [*BITS, "ABC", "abc", "'s", "'LL", "É", "é", "Σ", "İ", "жук", "Ᲊ", "ก", "א", "ẞ", "<|endoftext|>", "<|ENDOFTEXT|>", "...", ",", ";", ";", " ", " ", "", " "]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 12))) for _ in range(4000)]
+    for at in range(0, len(texts), 40):
+        some = texts[at : at + 40]
+        for text, (ids, ends) in zip(some, e.encode(some, 2), strict=True):
+            assert ids.tolist() == ids_of(library, text).tolist(), repr(text)
+            assert all(0 < x < len(ids) - 1 for x in ends)
+
+
 def check(rows, docs, library, window):
     """Every id in one piece, pieces gapless, at most ``window`` a sequence."""
     wanted = Counter()
@@ -109,7 +121,7 @@ def test_long_documents_stream_through_blocks(spark, library):
 
 
 def test_cuts_prefer_sentence_and_document_ends(spark, library):
-    docs = [(i, "One two three four five six. " * 9) for i in range(60)]
+    docs = [(i, "One two three four five six. " * 10) for i in range(60)]
     rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), window=128).collect()
     check(rows, docs, library, 128)
     ends = {1, *np.flatnonzero(ids_of(library, docs[0][1]) == library.token_to_id(".</w>")).tolist()}
