@@ -49,6 +49,7 @@ REMEMBERED = 800_000
 
 MARKS = frozenset(".,!?;:")
 SENTENCE_END = re.compile(r"[.!?…。！？।]['\"”’»)\]]*$")
+CAN_END = frozenset(".!?…。！？।'\"”’»)]")
 
 
 class Encoder:
@@ -102,7 +103,7 @@ class Encoder:
             word, mark = (text[:-1], text[-1]) if text[-1] in MARKS and _letters(text[:-1]) else (text, "")
             parts.append((self.stems[word.lower() if word.isascii() and "<" not in word else word], self.stems[mark]))
         self.parts = np.concatenate([self.parts, np.array(parts, np.int64).reshape(-1, 2)])
-        self.ends = np.concatenate([self.ends, np.fromiter((SENTENCE_END.search(t) is not None for t in new), bool, len(new))])
+        self.ends = np.concatenate([self.ends, np.fromiter((t[-1] in CAN_END and SENTENCE_END.search(t) is not None for t in new), bool, len(new))])
         words, self.stems.new = self.stems.new, []
         if words:
             ids, sizes = self.codes(words)
@@ -161,12 +162,16 @@ def best_cuts(places: np.ndarray, prices: np.ndarray, window: int, short: int =
     ``prices`` are those of a cut at each place (the last one's is not paid).
     """
     n = len(places) - 1
-    size, powers = 1, {}
+    size, ends, starts = 1, [], []
     while size < window:  # places that lie a power of two behind a place
         at = np.searchsorted(places, places - size)
-        for j in np.flatnonzero(places[at] == places - size).tolist():
-            powers.setdefault(j, []).append(int(at[j]))
+        some = np.flatnonzero(places[at] == places - size)
+        ends.append(some)
+        starts.append(at[some])
         size *= 2
+    ends = np.concatenate([*ends, [n + 1]])
+    order = np.argsort(ends, kind="stable")
+    ends, starts, k = ends[order].tolist(), np.concatenate([*starts, [0]])[order].tolist(), 0
     p, price = places.tolist(), prices.tolist()
     cost, before = [0] * (n + 1), [0] * (n + 1)
     queue: deque[tuple[int, int]] = deque()  # (cost + place, index), increasing in both
@@ -180,9 +185,10 @@ def best_cuts(places: np.ndarray, prices: np.ndarray, window: int, short: int =
             queue.popleft()
         low, choice = queue[0]
         low += window - here
-        for i in powers.get(j, ()):
-            if cost[i] + short < low:
-                low, choice = cost[i] + short, i
+        while ends[k] == j:
+            if cost[starts[k]] + short < low:
+                low, choice = cost[starts[k]] + short, starts[k]
+            k += 1
         cost[j] = low + price[j] if j < n else low
         before[j] = choice
     cuts, at = [], n
