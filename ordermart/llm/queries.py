@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordermart.llm import alignment, bpe, licences, line_dedup, metric_join, mixing, packing, pii, quality, simhash, suffix_dedup, toxicity
+from ordermart.llm import alignment, bpe, hard_negatives, licences, line_dedup, metric_join, mixing, packing, pii, quality, simhash, suffix_dedup, toxicity
 from ordermart.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.prepared(table(spark, sf_dir, "embeddings"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.scored(table(spark, sf_dir, "documents"))
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_licences": op9_licences,
     "op10_quality": op10_quality,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_alignment": op12_alignment,
     "op13_packing": op13_packing,
 }
@@ -84,4 +90,5 @@ ORACLES: dict[str, str] = {
     "op3_line_dedup": line_dedup.oracle(),
     "op4_metric_join": metric_join.oracle(),
     "op9_licences": licences.oracle(),
+    "op11_hard_negatives": hard_negatives.oracle(),
 }
