@@ -288,9 +288,9 @@ def oracle(table: str = "embeddings") -> str:
     return f"""
 WITH valid AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-    list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+    [floor(256 * x::DOUBLE) for x in embedding] AS v
   FROM {table}
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
 ), scores AS (
   SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike,
     list_inner_product(a.v, b.v)::BIGINT AS score
