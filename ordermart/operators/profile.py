@@ -189,43 +189,92 @@ def numeric_summary_long(long: DataFrame, by: Sequence[str], exact: bool = True,
 
 #: Values that one aggregate may hold for a quantile; more are bracketed again.
 BRACKET = 50_000
+#: Compression of the approximate quantiles that choose brackets, and how far
+#: from a quantile its first bracket reaches.
+SKETCH, REACH = 10_000, 3e-4
 
 
-def _quantiles_at(df: DataFrame, cols: Sequence[str], qs: Sequence[float], most: int = BRACKET) -> dict[tuple[str, float], Column]:
+def _inside(x: Column, low: float | None, high: float | None) -> Column:
+    """``x`` strictly between two values (None: no bound), else null."""
+    if low is None and high is None:
+        return x
+    return F.when((F.lit(True) if low is None else x > F.lit(low)) & (F.lit(True) if high is None else x < F.lit(high)), x)
+
+
+def _select_ranks(df: DataFrame, cols: Sequence[str], qs: Sequence[float], most: int) -> dict[tuple[str, float], Column]:
     """An aggregate for each column and quantile that gives it exactly.
 
-    The count of a column gives the ranks of a quantile's neighbours. Two
-    mergeable approximate quantiles bracket them; one pass counts what is below
-    and inside, and that repeats inside the bracket until it holds few values,
-    or one value only. No pass sorts, shuffles or writes rows: each is one
-    aggregate of the wide table, and the driver sees a few numbers a column.
+    Three-way selection. A rank's value is looked for among the values strictly
+    inside an interval. Two values v <= w near the rank, from mergeable
+    approximate quantiles of what is inside, part it in five: below v, equal to
+    v, between, equal to w, above w. One pass counts them all. A rank in one of
+    the two equal parts is found, however often that value occurs; in another
+    part it goes on there. v and w are values of the column and no longer
+    inside, so every round removes at least one distinct value, mostly all but
+    some thousandths of the rows. An interval of at most ``most`` rows is
+    ranked by the aggregate itself.
+
+    Each pass is one aggregate of the wide table for all columns; nothing is
+    sorted, shuffled or written by row, and the driver sees a few numbers a
+    column. All tables go the same way: the first pass counts and brackets.
     """
     x = {c: F.col(c).cast("double") for c in cols}
-    n = df.agg(*[F.count(x[c]).alias(c) for c in cols]).first().asDict()
-    found: dict[tuple[str, float], Column] = {}
-    todo = {(c, q): (None, None, 0, n[c]) for c in cols for q in qs}
-    while todo:
-        wide = {}
-        for (c, q), (low, high, below, size) in todo.items():
-            inside = x[c] if low is None else F.when(x[c].between(low, high), x[c])
-            at = (n[c] - 1) * q
-            first, last = int(at) - below, int(at) + (at > int(at)) - below
-            if size == 0 or low is not None and low == high:
-                found[c, q] = F.lit(low).cast("double")
-            elif size <= most:
-                ranked = F.sort_array(F.collect_list(inside))
-                a, b = F.get(ranked, F.lit(first)), F.get(ranked, F.lit(last))
-                found[c, q] = a + (b - a) * F.lit(at - int(at))
+    near = [[max(0.0, q - REACH), min(1.0, q + REACH)] for q in qs]
+    marks = F.array(*[F.lit(m) for pair in near for m in pair])
+    start = df.agg(*[F.struct(F.count(x[c]), F.percentile_approx(x[c], marks, SKETCH)).alias(f"c{k}") for k, c in enumerate(cols)]).first()
+    n = {c: start[k][0] for k, c in enumerate(cols)}
+    ranks = {(c, q): sorted({int((n[c] - 1) * q), -int(-(n[c] - 1) * q // 1)}) for c in cols for q in qs if n[c]}
+    # Of each wanted rank: the open interval, the rows below it and inside it.
+    todo = {(c, r): (None, None, 0, n[c]) for (c, _), some in ranks.items() for r in some}
+    brackets = {(c, r): start[cols.index(c)][1][2 * k : 2 * k + 2] for c in cols for k, q in enumerate(qs) for r in ranks.get((c, q), ())}
+    value: dict[tuple[str, int], Column] = {}
+    while True:
+        for (c, r), (low, high, below, size) in list(todo.items()):
+            if size <= most:
+                value[c, r] = F.get(F.sort_array(F.collect_list(_inside(x[c], low, high))), F.lit(r - below))
+                del todo[c, r]
+        if not todo:
+            break
+        missing = {key: state for key, state in todo.items() if key not in brackets}
+        if missing:
+            wanted = {}
+            for (c, r), (low, high, below, size) in missing.items():
+                room = 2 * size / SKETCH + 2
+                ends = [max(0.0, (r - below - room) / size), min(1.0, (r - below + room) / size)]
+                wanted[c, r] = F.percentile_approx(_inside(x[c], low, high), ends, SKETCH)
+            got = df.agg(*[e.alias(f"b{k}") for k, e in enumerate(wanted.values())]).first()
+            brackets |= dict(zip(wanted, got, strict=True))
+        parts = []
+        for (c, r), (low, high, _, _) in todo.items():
+            inside, (v, w) = _inside(x[c], low, high), map(F.lit, brackets[c, r])
+            between = (inside > v) & (inside < w)
+            parts.append(F.array(F.count_if(inside < v), F.count_if(inside == v), F.count_if(between), F.count_if((inside == w) & (inside > v))))
+        counted = df.agg(*[p.alias(f"n{k}") for k, p in enumerate(parts)]).first()
+        after = {}
+        for ((c, r), (low, high, below, size)), (less, first, between, second) in zip(todo.items(), counted, strict=True):
+            v, w = brackets.pop((c, r))
+            place = r - below
+            if place < less:
+                after[c, r] = (low, v, below, less)
+            elif place < less + first:
+                value[c, r] = F.lit(v)
+            elif place < less + first + between:
+                after[c, r] = (v, w, below + less + first, between)
+            elif place < less + first + between + second:
+                value[c, r] = F.lit(w)
             else:
-                room = 2 * size / 10_000 + 2
-                ends = [max(0.0, (first - room) / size), min(1.0, (last + room) / size)]
-                wide[c, q] = F.percentile_approx(inside, ends, 10_000)
-        if not wide:
-            return found
-        ends = df.agg(*[e.alias(f"b{k}") for k, e in enumerate(wide.values())]).first()
-        counts = [(F.count_if(x[c] < lo), F.count_if(x[c].between(lo, hi))) for (c, _), (lo, hi) in zip(wide, ends, strict=True)]
-        sizes = df.agg(*[e.alias(f"n{k}") for k, e in enumerate(e for pair in counts for e in pair)]).first()
-        todo = {key: (lo, hi, sizes[2 * k], sizes[2 * k + 1]) for k, (key, (lo, hi)) in enumerate(zip(wide, ends, strict=True))}
+                done = less + first + between + second
+                after[c, r] = (w, high, below + done, size - done)
+        todo = after
+    found = {}
+    for c in cols:
+        for q in qs:
+            if not n[c]:
+                found[c, q] = F.lit(None).cast("double")
+                continue
+            at = (n[c] - 1) * q
+            a, b = value[c, ranks[c, q][0]], value[c, ranks[c, q][-1]]
+            found[c, q] = a + (b - a) * F.lit(at - int(at))
     return found
 
 
@@ -235,16 +284,17 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, name: str | None = None, exact: bool = True,
-                    nd: int = 6) -> DataFrame:
+                    nd: int = 6, most: int | None = None) -> DataFrame:
     """PRF-5: a row for each of the columns (default: every numeric one).
 
     count, mean, std (sample), min, quartiles, max, rounded to ``nd``: one
     aggregate over the wide table, after the few that bracket the quartiles.
+    ``most`` bounds the values that it ranks for one quartile.
     """
     cols = numeric_columns(df) if cols is None else list(cols)
     x = {c: F.col(c).cast("double") for c in cols}
     if exact:
-        quart = _quantiles_at(df, cols, QUARTILES)
+        quart = _select_ranks(df, cols, QUARTILES, BRACKET if most is None else most)
     else:
         quart = {(c, q): F.percentile_approx(x[c], q, 10_000) for c in cols for q in QUARTILES}
     rows = [

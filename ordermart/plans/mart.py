@@ -121,6 +121,7 @@ class Mart:
 
 _LOADED: dict[tuple[str, str], "LoadedMart"] = {}
 _LOAD_LOCK = threading.Lock()
+_RAW_LOCK = threading.Lock()
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
@@ -132,6 +133,8 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
 class LoadedMart(Mart):
     """A ``Mart`` whose cleaned tables are Parquet copies in the shared folder."""
 
+    _raw_loaded = False
+
     def __init__(self, source: Mart, paths: dict[str, str], schemas: dict | None = None):
         # The raw tables it was built from, with attributes of its own.
         super().__init__(source.spark, source.sf_dir, raw=copy.copy(source.raw))
@@ -164,6 +167,19 @@ class LoadedMart(Mart):
         mart.raw.__dict__["orders"] = mart.__dict__.pop("raw_orders")
         return mart
 
+    def load_raw(self) -> "LoadedMart":
+        """Write the raw tables too, once: reports over them then scan files
+        instead of deriving (or parsing) each raw table for every pass."""
+        with _RAW_LOCK:
+            if not self._raw_loaded:
+                names = [n for n in self.tables() if n != "orders"]  # raw orders are loaded already
+                raw = {f"raw_{n}": getattr(self.raw, n) for n in names}
+                paths = io.load_tables(raw, self.paths["orders"].rsplit("/", 1)[0])
+                for n in names:
+                    self.raw.__dict__[n] = io.read_table(self.spark, paths[f"raw_{n}"], schema=raw[f"raw_{n}"].schema)
+                self._raw_loaded = True
+        return self
+
     def unload(self) -> None:
         """Remove the copies; the mart can't be read after that."""
         discard(self.spark, self.paths["orders"].rsplit("/", 1)[0])

@@ -89,7 +89,7 @@ def _stages(m: Mart) -> list[tuple[str, str, DataFrame]]:
 def _profile(m: Mart, one: Callable[[DataFrame, str], DataFrame], wanted: Callable[[DataFrame], list] = lambda df: [1]) -> DataFrame:
     """One report over all tables of both stages. Some build with a few jobs of
     their own, so several tables are worked on at once."""
-    tables = [x for x in _stages(m) if wanted(x[2])]
+    tables = [x for x in _stages(m.load_raw()) if wanted(x[2])]
     with ThreadPoolExecutor(max_workers=4) as pool:
         parts = list(pool.map(lambda x: one(x[2], x[1]).select(F.lit(x[0]).alias("stage"), "*"), tables))
     return union_all(parts)
