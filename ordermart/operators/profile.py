@@ -189,9 +189,11 @@ def numeric_summary_long(long: DataFrame, by: Sequence[str], exact: bool = True,
 
 #: Values that one aggregate may hold for a quantile; more are bracketed again.
 BRACKET = 50_000
-#: Compression of the approximate quantiles that choose brackets, and how far
-#: from a quantile its first bracket reaches.
-SKETCH, REACH = 10_000, 3e-4
+#: Compression of the approximate quantiles that choose the brackets.
+SKETCH = 10_000
+#: One row in so many goes into the first of them, and how far from a quantile
+#: its bracket can reach. They decide how fast the selection ends, not its result.
+EVERY, REACHES = 16, (0.0003, 0.001, 0.004, 0.016, 0.064)
 
 
 def _inside(x: Column, low: float | None, high: float | None) -> Column:
@@ -201,38 +203,78 @@ def _inside(x: Column, low: float | None, high: float | None) -> Column:
     return F.when((F.lit(True) if low is None else x > F.lit(low)) & (F.lit(True) if high is None else x < F.lit(high)), x)
 
 
-def _select_ranks(df: DataFrame, cols: Sequence[str], qs: Sequence[float], most: int) -> dict[tuple[str, float], Column]:
-    """An aggregate for each column and quantile that gives it exactly.
+def _region_counts(df: DataFrame, x: Mapping[str, Column], cuts: Mapping[str, Sequence[float]]) -> dict[str, dict[int, int]]:
+    """Rows by column and region: with sorted cuts c0 < c1 < ..., region 2k lies
+    below ck (and above the cut before it), region 2k + 1 is ck itself.
+
+    A union of one-column projections and one combining aggregate."""
+    parts = []
+    for k, (c, some) in enumerate(cuts.items()):
+        region = F.lit(0)
+        for cut in some:
+            region = region + F.when(x[c] > F.lit(cut), 2).when(x[c] == F.lit(cut), 1).otherwise(0)
+        parts.append(df.where(x[c].isNotNull()).select(F.lit(k).alias("c"), region.alias("region")))
+    names, counts = list(cuts), {c: {} for c in cuts}
+    for r in union_all(parts).groupBy("c", "region").agg(F.count(F.lit(1)).alias("n")).collect():  # a few a cut
+        counts[names[r.c]][r.region] = r.n
+    return counts
+
+
+def _values_at(df: DataFrame, x: Mapping[str, Column], wanted: Mapping[tuple[str, int], tuple]) -> dict[tuple[str, int], float]:
+    """The value of each (column, rank), given its open interval (low, high)
+    and the rows below it. Each interval holds few rows."""
+    places: dict[tuple, list[int]] = {}
+    for (c, r), (low, high, below, _) in wanted.items():
+        places.setdefault((c, low, high, below), []).append(r)
+    keys, numbers = list(places), {}
+    for k, (c, low, high, _) in enumerate(keys):  # a column's intervals don't overlap
+        numbers[c] = F.when(_inside(x[c], low, high).isNotNull(), k).otherwise(numbers.get(c, F.lit(None)))
+    parts = [df.select(number.alias("k"), x[c].alias("v")).where("k is not null") for c, number in numbers.items()]
+    ranked = union_all(parts).groupBy("k").agg(F.sort_array(F.collect_list("v")).alias("v"))
+    at = F.lit(None)
+    for k, some in enumerate(places.values()):
+        at = F.when(F.col("k") == k, F.array(*[F.get("v", F.lit(r - keys[k][3])) for r in some])).otherwise(at)
+    return {(keys[row.k][0], r): v for row in ranked.select("k", at.alias("at")).collect() for r, v in zip(places[keys[row.k]], row["at"], strict=True)}
+
+
+def _select_ranks(df: DataFrame, cols: Sequence[str], qs: Sequence[float], most: int) -> dict[tuple[str, float], float | None]:
+    """The exact quantiles of each column.
 
     Three-way selection. A rank's value is looked for among the values strictly
-    inside an interval. Two values v <= w near the rank, from mergeable
-    approximate quantiles of what is inside, part it in five: below v, equal to
-    v, between, equal to w, above w. One pass counts them all. A rank in one of
-    the two equal parts is found, however often that value occurs; in another
-    part it goes on there. v and w are values of the column and no longer
-    inside, so every round removes at least one distinct value, mostly all but
-    some thousandths of the rows. An interval of at most ``most`` rows is
-    ranked by the aggregate itself.
-
-    Each pass is one aggregate of the wide table for all columns; nothing is
-    sorted, shuffled or written by row, and the driver sees a few numbers a
-    column. All tables go the same way: the first pass counts and brackets.
+    inside an interval. Two values near the rank, from mergeable approximate
+    quantiles, cut the interval, and one pass counts the rows between the cuts
+    and those equal to each. A rank that falls on a cut is found, however often
+    that value occurs; otherwise it goes on between two cuts. Cuts are values
+    of the column and no longer inside, so every round removes at least one
+    distinct value, mostly all but some thousandths of the rows. Intervals of at
+    most ``most`` rows are ranked by one aggregate at the end.
+
+    The passes take all columns together; no row is sorted or written, what is
+    shuffled is a few counts a task, and the driver sees a few numbers a column.
+    The first pass counts all rows and brackets by one in ``EVERY``.
     """
     x = {c: F.col(c).cast("double") for c in cols}
-    near = [[max(0.0, q - REACH), min(1.0, q + REACH)] for q in qs]
-    marks = F.array(*[F.lit(m) for pair in near for m in pair])
-    start = df.agg(*[F.struct(F.count(x[c]), F.percentile_approx(x[c], marks, SKETCH)).alias(f"c{k}") for k, c in enumerate(cols)]).first()
+    reach = sorted({s * r for r in REACHES for s in (-1, 1)})
+    marks = F.array(*[F.lit(min(1.0, max(0.0, q + r))) for q in qs for r in reach])
+    thin = df.select(*[x[c].alias(f"c{k}") for k, c in enumerate(cols)], (F.rand(17) * EVERY < 1).alias("some"))
+    start = thin.agg(*[F.struct(F.count(f"c{k}"), F.percentile_approx(F.when(F.col("some"), F.col(f"c{k}")), marks, SKETCH)) for k in range(len(cols))]).first()
     n = {c: start[k][0] for k, c in enumerate(cols)}
     ranks = {(c, q): sorted({int((n[c] - 1) * q), -int(-(n[c] - 1) * q // 1)}) for c in cols for q in qs if n[c]}
     # Of each wanted rank: the open interval, the rows below it and inside it.
-    todo = {(c, r): (None, None, 0, n[c]) for (c, _), some in ranks.items() for r in some}
-    brackets = {(c, r): start[cols.index(c)][1][2 * k : 2 * k + 2] for c in cols for k, q in enumerate(qs) for r in ranks.get((c, q), ())}
-    value: dict[tuple[str, int], Column] = {}
+    todo = {(c, r): (None, None, 0, n[c]) for (c, _), wanted in ranks.items() for r in wanted}
+    brackets: dict[tuple[str, int], Sequence[float]] = {}
+    for k, c in enumerate(cols):
+        for j, q in enumerate(qs):
+            if start[k][1] is not None and n[c]:
+                near = start[k][1][j * len(reach) : (j + 1) * len(reach)]
+                away = next((i for i, r in enumerate(REACHES) if r * r * n[c] > 4 * EVERY), len(REACHES) - 1)  # four deviations
+                for r in ranks[c, q]:
+                    brackets[c, r] = (near[len(REACHES) - 1 - away], near[len(REACHES) + away])
+    value: dict[tuple[str, int], float] = {}
+    small = {}
     while True:
-        for (c, r), (low, high, below, size) in list(todo.items()):
-            if size <= most:
-                value[c, r] = F.get(F.sort_array(F.collect_list(_inside(x[c], low, high))), F.lit(r - below))
-                del todo[c, r]
+        small |= {key: state for key, state in todo.items() if state[3] <= most}
+        todo = {key: state for key, state in todo.items() if key not in small}
         if not todo:
             break
         missing = {key: state for key, state in todo.items() if key not in brackets}
@@ -244,37 +286,35 @@ def _select_ranks(df: DataFrame, cols: Sequence[str], qs: Sequence[float], most:
                 wanted[c, r] = F.percentile_approx(_inside(x[c], low, high), ends, SKETCH)
             got = df.agg(*[e.alias(f"b{k}") for k, e in enumerate(wanted.values())]).first()
             brackets |= dict(zip(wanted, got, strict=True))
-        parts = []
-        for (c, r), (low, high, _, _) in todo.items():
-            inside, (v, w) = _inside(x[c], low, high), map(F.lit, brackets[c, r])
-            between = (inside > v) & (inside < w)
-            parts.append(F.array(F.count_if(inside < v), F.count_if(inside == v), F.count_if(between), F.count_if((inside == w) & (inside > v))))
-        counted = df.agg(*[p.alias(f"n{k}") for k, p in enumerate(parts)]).first()
+        cuts: dict[str, set[float]] = {}
+        for key, (low, high, _, _) in todo.items():
+            cuts.setdefault(key[0], set()).update(v for v in (low, high, *brackets.pop(key)) if v is not None)
+        # One NaN, the largest value; zeros of both signs are one value in a set.
+        ordered = {c: [*sorted(v for v in some if v == v), *[v for v in some if v != v][:1]] for c, some in cuts.items()}
+        counts = _region_counts(df, x, ordered)
         after = {}
-        for ((c, r), (low, high, below, size)), (less, first, between, second) in zip(todo.items(), counted, strict=True):
-            v, w = brackets.pop((c, r))
-            place = r - below
-            if place < less:
-                after[c, r] = (low, v, below, less)
-            elif place < less + first:
-                value[c, r] = F.lit(v)
-            elif place < less + first + between:
-                after[c, r] = (v, w, below + less + first, between)
-            elif place < less + first + between + second:
-                value[c, r] = F.lit(w)
+        for c, r in todo:
+            below, region = 0, 0
+            while r >= below + counts[c].get(region, 0):
+                below += counts[c].get(region, 0)
+                region += 1
+            at, equal = divmod(region, 2)
+            if equal:
+                value[c, r] = ordered[c][at]
             else:
-                done = less + first + between + second
-                after[c, r] = (w, high, below + done, size - done)
+                after[c, r] = (ordered[c][at - 1] if at else None, ordered[c][at] if at < len(ordered[c]) else None, below, counts[c][region])
         todo = after
+    if small:
+        value |= _values_at(df, x, small)
     found = {}
     for c in cols:
         for q in qs:
             if not n[c]:
-                found[c, q] = F.lit(None).cast("double")
+                found[c, q] = None
                 continue
             at = (n[c] - 1) * q
             a, b = value[c, ranks[c, q][0]], value[c, ranks[c, q][-1]]
-            found[c, q] = a + (b - a) * F.lit(at - int(at))
+            found[c, q] = a if a == b else a + (b - a) * (at - int(at))
     return found
 
 
@@ -295,6 +335,7 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, name: str
     x = {c: F.col(c).cast("double") for c in cols}
     if exact:
         quart = _select_ranks(df, cols, QUARTILES, BRACKET if most is None else most)
+        quart = {key: F.lit(v).cast("double") for key, v in quart.items()}
     else:
         quart = {(c, q): F.percentile_approx(x[c], q, 10_000) for c in cols for q in QUARTILES}
     rows = [

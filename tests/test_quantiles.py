@@ -35,7 +35,7 @@ def frame(spark, columns):
     return spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns)).repartition(3)
 
 
-@pytest.mark.parametrize(("n", "most"), [(4001, 1), (4000, 10), (4002, 500), (3999, None), (3, 1), (1, 1), (2, 1)])
+@pytest.mark.parametrize(("n", "most"), [(1201, 1), (1200, 10), (1202, 100), (1199, None), (3, 1), (1, 1)])
 def test_quartiles_equal_numpy(spark, n, most):
     columns = shapes(n)
     got = {r.column_name: r for r in P.numeric_summary(frame(spark, columns), nd=9, most=most).collect()}
@@ -54,9 +54,8 @@ def test_quartiles_equal_numpy(spark, n, most):
 def test_values_of_every_size_are_selected(spark):
     columns = {"tail": shapes(3000)["tail"]}
     df = frame(spark, columns)
-    picked = P._select_ranks(df, ["tail"], (0.0, 0.25, 0.5, 0.99, 1.0), 5)
-    got = df.agg(*[e.alias(f"q{k}") for k, e in enumerate(picked.values())]).first()
-    assert tuple(got) == pytest.approx(tuple(np.percentile(columns["tail"], [0, 25, 50, 99, 100])))
+    got = P._select_ranks(df, ["tail"], (0.0, 0.25, 0.5, 0.99, 1.0), 5)
+    assert tuple(got.values()) == pytest.approx(tuple(np.percentile(columns["tail"], [0, 25, 50, 99, 100])))
 
 
 def test_many_rows_of_few_values_end(spark):
@@ -70,5 +69,4 @@ def test_infinite_and_undefined_numbers(spark):
     values = [float("nan"), float("inf"), -float("inf"), 1.0, 1.0, -0.0, 0.0, 2.0, None]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     for most in (1, 100):
-        (r,) = df.agg(P._select_ranks(df, ["x"], (0.5,), most)["x", 0.5].alias("m")).collect()
-        assert r.m == 1.0  # eight numbers; NaN is the largest
+        assert P._select_ranks(df, ["x"], (0.5,), most)["x", 0.5] == 1.0  # eight numbers; NaN is the largest
