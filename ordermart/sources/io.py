@@ -2,8 +2,8 @@
 
 Raw CSV is read with an explicit schema and the dialect pandas accepts
 (quoted newlines, doubled quotes), then converted to Parquet once; every
-later stage reads typed, column-pruned Parquet. CSV with quoted newlines cannot
-be split inside a file, so only tables that have them are read that way.
+later stage reads typed, column-pruned Parquet. Spark's reader gives a file with
+quoted newlines to one task; ``split=True`` reads such files by blocks.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ordermart.session import shared_dir
+from ordermart.sources.infer import infer_schema
+from ordermart.sources.records import read_split
 
 CSV_READ_OPTIONS = {
     "header": "true",
@@ -38,10 +40,11 @@ PANDAS_NA_STRINGS = (
 def read_raw_csv(
     spark: SparkSession,
     path: str,
-    schema: StructType,
+    schema: StructType | None = None,
     na_strings=PANDAS_NA_STRINGS,
     order_column: str | None = None,
     multi_line: bool = True,
+    split: bool = False,
 ) -> DataFrame:
     """SRC-1: read a headered CSV with pandas' missing-value rules, then type it.
 
@@ -49,8 +52,13 @@ def read_raw_csv(
     read as a string, the NA tokens become null, the declared columns get
     their types with ANSI casts (a malformed value raises, as
     ``pd.to_datetime`` does) and undeclared columns pass through as strings.
-    String keys keep their leading zeros. ``multi_line=False`` lets Spark split
-    large files without quoted newlines.
+    String keys keep their leading zeros. Without ``schema`` each column gets
+    the narrowest type that its values have, as pandas does (``infer``; one
+    more scan).
+
+    ``multi_line=False`` lets Spark split large files without quoted newlines;
+    ``split=True`` splits files that have them (``records``): it reads the text
+    twice and writes the records once, but a large file is many tasks.
 
     ``order_column`` adds the row's place in the input, which the keep-first
     cleaning steps order by: file name, block of the file, then the order in
@@ -58,7 +66,14 @@ def read_raw_csv(
     way Spark packs files into tasks.
     """
     options = CSV_READ_OPTIONS | {"multiLine": str(multi_line).lower(), "inferSchema": "false"}
-    df = spark.read.options(**options).csv(path)
+    if split:
+        df = read_split(spark, path, options | {"multiLine": "true"}, order_column)
+    else:
+        df = spark.read.options(**options).csv(path)
+    if schema is None:
+        text = [c for c in df.columns if c != order_column or not split]
+        gaps = df.select(*[F.when(~F.col(f"`{c}`").isin(list(na_strings)), F.col(f"`{c}`")).alias(c) for c in text])
+        schema = infer_schema(gaps)
     missing = [f.name for f in schema.fields if f.name not in df.columns]
     if missing:
         raise ValueError(f"{path}: missing columns {missing}")
@@ -67,9 +82,12 @@ def read_raw_csv(
     cols = []
     for name in df.columns:
         c = F.col(f"`{name}`")
+        if split and name == order_column:
+            cols.append(c)
+            continue
         c = F.when(c.isin(na), F.lit(None)).otherwise(c)
         cols.append(c.cast(declared[name]).alias(name) if name in declared else c.alias(name))
-    if order_column:
+    if order_column and not split:
         place = ("_metadata.file_path", "_metadata.file_block_start")
         cols.append(F.struct(*(F.col(c) for c in place), F.monotonically_increasing_id().alias("row")).alias(order_column))
     return df.select(*cols)
