@@ -26,6 +26,7 @@ from ordermart.operators.profile import union_all
 from ordermart.plans.mart import Mart
 from ordermart.session import shared_dir
 from ordermart.sources import io
+from ordermart.sources.schemas import MULTI_LINE_TABLES
 from ordermart.sources.views import run_sql
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -203,7 +204,9 @@ def _load_report(m: Mart) -> DataFrame:
     return io.load_report(m.spark, m.tables())
 
 
-def _raw_csv(df: DataFrame, multi_line: bool, order_by: str | None = None, text: tuple[str, ...] = ()) -> DataFrame:
+def _raw_csv(
+    df: DataFrame, multi_line: bool, order_by: str | None = None, text: tuple[str, ...] = (), split: bool = False, infer: bool = False
+) -> DataFrame:
     """A raw table written as several CSV files in file order and read back the
     way a user's files are: by header, with NA strings, file order kept."""
     path = shared_dir(df.sparkSession)
@@ -211,7 +214,23 @@ def _raw_csv(df: DataFrame, multi_line: bool, order_by: str | None = None, text:
     laid = df.repartitionByRange(5, order_by).sortWithinPartitions(order_by) if order_by else df.repartition(5)
     io.write_table(laid.select(*plain.columns), path, "csv")
     schema = StructType([StructField(f.name, StringType() if f.name in text else f.dataType) for f in plain.schema])
-    return io.read_raw_csv(df.sparkSession, path, schema, order_column=order_by, multi_line=multi_line)
+    schema = None if infer else schema
+    return io.read_raw_csv(df.sparkSession, path, schema, order_column=order_by, multi_line=multi_line, split=split)
+
+
+def _inferred(m: Mart) -> DataFrame:
+    """SRC-1: all nine raw tables read back without a schema: the type found
+    for each column, its rows and its gaps."""
+
+    def one(name: str) -> DataFrame:
+        df = _raw_csv(getattr(m.raw, name).drop("src_order"), name in MULTI_LINE_TABLES, infer=True)
+        types = F.create_map(*[F.lit(v) for pair in df.dtypes for v in pair])
+        rows = df.agg(*[F.struct(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(c).isNull()).alias("n_null")).alias(c) for c in df.columns])
+        tidy = rows.unpivot([], df.columns, "column_name", "n")
+        return tidy.select(F.lit(name).alias("table_name"), "column_name", types[F.col("column_name")].alias("data_type"), "n.n_rows", "n.n_null")
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        return union_all(list(pool.map(one, m.tables())))
 
 
 def _export_report(m: Mart) -> DataFrame:
@@ -233,6 +252,9 @@ SOURCES_SINKS: dict[str, Callable[[Mart], DataFrame]] = {
     "io_load_report": _load_report,
     # SRC-1 then ETL-4 and ETL-9: the first row by file order, over several files.
     "io_raw_reviews": lambda m: C.clean_order_reviews(_raw_csv(m.raw.order_reviews, True, "src_order")),
+    # The same with the files split by blocks, quoted newlines and all.
+    "io_raw_reviews_split": lambda m: C.clean_order_reviews(_raw_csv(m.raw.order_reviews, True, "src_order", split=True)),
+    "io_raw_inferred": _inferred,
     "io_raw_geolocation": lambda m: C.clean_geolocation(_raw_csv(m.raw.geolocation, False, "src_order"), decimals=6),
     # PRJ-7 / SCL-9: dates come as strings and the cleaning types them.
     "io_raw_orders": lambda m: C.clean_orders(_raw_csv(m.raw.orders, False, text=C.ORDER_DATE_COLUMNS)),
