@@ -14,12 +14,26 @@ recomputes from the written copy.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordermart.operators import quality as Q
-from ordermart.sources import io
+from ordermart.session import shared_dir
+from ordermart.sources import io, versions
+
+def delete_by_file(spark: SparkSession, path: str, child_col: str, parent: DataFrame, parent_col: str) -> list[str]:
+    """DQ-3 / SNK-6 on a stored table: the null-aware NOT IN delete by
+    copy-on-write. Only files that hold doomed rows are read whole and written
+    anew; their names are returned."""
+
+    def touched(table: DataFrame, file: str) -> DataFrame:
+        keys = table.groupBy(child_col, file).agg(F.count(F.lit(1)).alias("_n"))
+        return Q.flag_not_in(keys, child_col, parent, parent_col, "_keep").where(~F.col("_keep"))
+
+    return versions.rewrite(spark, path, touched, lambda rows: Q.delete_not_in(rows, child_col, parent, parent_col))
+
 
 REPAIRED_CHILDREN = ("order_items", "order_reviews", "order_payments")
 
@@ -28,13 +42,30 @@ def repair_tables(
     tables: Mapping[str, DataFrame],
     translations: Mapping[str, str] | None = None,
     persist: bool = True,
+    paths: Mapping[str, str] | None = None,
 ) -> dict[str, DataFrame]:
     """``translations``: names for codes that the lookup lacks. A missing code
-    without one is appended with a null name; none is made up."""
+    without one is appended with a null name; none is made up.
+
+    ``paths``: where the tables are stored (``LoadedMart.paths``). The children
+    are then repaired file by file, in clones that share all other files; the
+    stored tables themselves stay as they are."""
     out = dict(tables)
     orders = tables["orders"]
-    for child in REPAIRED_CHILDREN:
-        out[child] = Q.delete_not_in(tables[child], "order_id", orders, "order_id")
+    spark = orders.sparkSession
+    if paths and persist:
+        root = shared_dir(spark)
+
+        def repaired(child: str) -> DataFrame:
+            versions.clone(spark, paths[child], f"{root}/{child}")
+            delete_by_file(spark, f"{root}/{child}", "order_id", orders, "order_id")
+            return versions.read(spark, f"{root}/{child}")
+
+        with ThreadPoolExecutor(max_workers=len(REPAIRED_CHILDREN)) as pool:
+            out |= dict(zip(REPAIRED_CHILDREN, pool.map(repaired, REPAIRED_CHILDREN), strict=True))
+    else:
+        for child in REPAIRED_CHILDREN:
+            out[child] = Q.delete_not_in(tables[child], "order_id", orders, "order_id")
     lookup = tables["category_translation"]
     missing = Q.missing_codes(tables["products"], "product_category_name", lookup, "product_category_name")
     code = F.col("product_category_name")
@@ -45,15 +76,18 @@ def repair_tables(
     out["category_translation"] = Q.append_missing(lookup, rows, "product_category_name")
     if persist:
         # independent writes: submitted together, then read back (lineage cut)
-        changed = {name: out[name] for name in (*REPAIRED_CHILDREN, "category_translation")}
-        paths = io.load_tables(changed)
-        for name, path in paths.items():
+        names = ("category_translation",) if paths else (*REPAIRED_CHILDREN, "category_translation")
+        changed = {name: out[name] for name in names}
+        for name, path in io.load_tables(changed).items():
             out[name] = io.read_table(out[name].sparkSession, path, schema=changed[name].schema)
     return out
 
 
 def cross_repair(
-    tables: Mapping[str, DataFrame], translations: Mapping[str, str] | None = None, persist: bool = True
+    tables: Mapping[str, DataFrame],
+    translations: Mapping[str, str] | None = None,
+    persist: bool = True,
+    paths: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Repair, then the constraint listing with violations after repair."""
-    return Q.constraint_list(repair_tables(tables, translations, persist))
+    return Q.constraint_list(repair_tables(tables, translations, persist, paths))

@@ -192,7 +192,27 @@ CLEANING: dict[str, Callable[[Mart], DataFrame]] = {
     "etl_geolocation": lambda m: m.geolocation.withColumns({c: dp(c, 6) for c in ("geolocation_lat", "geolocation_lng")}),
 }
 # ETL-11 runs on the loaded tables, like the reference's constraint script.
-QUALITY["etl_cross_repair"] = lambda m: R.cross_repair(m.tables(), TRANSLATIONS)
+QUALITY["etl_cross_repair"] = lambda m: R.cross_repair(m.tables(), TRANSLATIONS, paths=m.paths)
+
+
+def _repair_by_file(m: Mart) -> DataFrame:
+    """SNK-6: what is left of each stored child after the delete by file."""
+    kept = R.repair_tables(m.tables(), TRANSLATIONS, paths=m.paths)
+    return union_all(
+        [
+            kept[t].agg(
+                F.lit(t).alias("table_name"),
+                F.count(F.lit(1)).alias("n_rows"),
+                F.count("order_id").alias("n_with_order"),
+                F.count_distinct("order_id").alias("n_orders"),
+                F.coalesce(F.sum("order_id"), F.lit(0)).alias("order_id_sum"),
+            )
+            for t in R.REPAIRED_CHILDREN
+        ]
+    )
+
+
+QUALITY["etl_delete_by_file"] = _repair_by_file
 
 
 def _csv_round_trip(m: Mart) -> DataFrame:

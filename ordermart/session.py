@@ -101,7 +101,8 @@ def shared_dir(spark: SparkSession, name: str | None = None) -> str:
     return os.path.join(root, leaf) if "://" not in root else f"{root.rstrip('/')}/{leaf}"
 
 
-def _path(spark: SparkSession, path: str):
+def storage(spark: SparkSession, path: str):
+    """The file system that holds a path, and the path as it knows it."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
@@ -109,7 +110,7 @@ def _path(spark: SparkSession, path: str):
 
 def file_state(spark: SparkSession, path: str) -> tuple[int, int] | None:
     """Length and time of a file or folder, on any storage Spark reads."""
-    fs, where = _path(spark, path)
+    fs, where = storage(spark, path)
     if not fs.exists(where):
         return None
     status = fs.getFileStatus(where)
@@ -118,5 +119,5 @@ def file_state(spark: SparkSession, path: str) -> tuple[int, int] | None:
 
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a folder of intermediate tables."""
-    fs, where = _path(spark, path)
+    fs, where = storage(spark, path)
     fs.delete(where, True)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ordermart.session import shared_dir
+from ordermart.sources import versions
 from ordermart.sources.infer import infer_schema
 from ordermart.sources.records import read_split
 
@@ -103,6 +104,17 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     return path
 
 
+def replace_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
+    """SNK-2: make ``df`` the table at ``path`` as one step (``versions``): until
+    the new rows are whole, and if their write fails, readers see the old ones.
+    A CSV folder, which other programs read, is written in place."""
+    if fmt == "parquet":
+        versions.replace(df, path)
+    else:
+        write_table(df, path, fmt)
+    return path
+
+
 def write_counted(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> int:
     """SNK-1 + SNK-4 in one pass: write and return the rows written.
 
@@ -110,16 +122,22 @@ def write_counted(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "o
     itself, so the data is not scanned a second time to report it.
     """
     obs = Observation("rows_written")
-    write_table(df.observe(obs, F.count(F.lit(1)).alias("rows")), path, fmt, mode)
+    counted = df.observe(obs, F.count(F.lit(1)).alias("rows"))
+    if mode == "overwrite":
+        replace_table(counted, path, fmt)
+    else:
+        write_table(counted, path, fmt, mode)
     return int(obs.get["rows"])
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | None = None) -> DataFrame:
-    """SRC-2: read a cleaned table back."""
+    """SRC-2: read a cleaned table back, its present version if it has any."""
     if fmt == "csv":
         if schema is None:
             raise ValueError("CSV tables are read with an explicit schema")
         return spark.read.options(**CSV_READ_OPTIONS).schema(schema).csv(path)
+    if fmt == "parquet" and (table := versions.read(spark, path)) is not None:
+        return table
     r = spark.read.format(fmt)
     if schema is not None:
         r = r.schema(schema)
@@ -141,7 +159,8 @@ def materialize(df: DataFrame, name: str | None = None, fmt: str = "parquet") ->
 def load_tables(
     tables: Mapping[str, DataFrame], root: str | None = None, fmt: str = "parquet", concurrency: int = 4
 ) -> dict[str, str]:
-    """ETL-10 / SNK-2: replace each table at ``<root>/<name>``; returns paths.
+    """ETL-10 / SNK-2: replace each table at ``<root>/<name>``, each as one step;
+    returns paths for ``read_table``.
 
     The writes are independent jobs, so up to ``concurrency`` of them are
     submitted at once (Spark schedules concurrent jobs from several threads);
@@ -153,9 +172,9 @@ def load_tables(
     base = (root or shared_dir(first.sparkSession)).rstrip("/")
     targets = {name: f"{base}/{name}" for name in tables}
     if concurrency <= 1 or len(tables) == 1:
-        return {name: write_table(df, targets[name], fmt) for name, df in tables.items()}
+        return {name: replace_table(df, targets[name], fmt) for name, df in tables.items()}
     with ThreadPoolExecutor(max_workers=concurrency) as pool:
-        futures = {name: pool.submit(write_table, df, targets[name], fmt) for name, df in tables.items()}
+        futures = {name: pool.submit(replace_table, df, targets[name], fmt) for name, df in tables.items()}
         return {name: f.result() for name, f in futures.items()}
 
 
