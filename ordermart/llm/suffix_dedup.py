@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordermart.llm.common import slices, written
@@ -93,15 +93,34 @@ def segments(data: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarr
     return begin, np.minimum(stop, last) - begin, np.stack([h[at].view(np.int64), at])
 
 
-def _key(text: Column) -> Column:
-    """24 bits that tell rows with one id but different texts apart."""
-    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFF))
-
-
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc, text, key``: ``key`` tells rows with one id but different texts
+    apart. Where ids differ it is 0. Otherwise the distinct texts of such ids,
+    known by two hashes of 64 bits, are numbered in the order of id and hashes:
+    by ranges, so that no id is one task, however many rows have it or none.
+    There may be 2^31 of these texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(UNNAMED))
-    return df.select(doc.alias("doc"), text.alias("text")).withColumn("key", _key(F.col("text")))
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(UNNAMED)).alias("doc"), text.alias("text"))
+    names = ["doc", "h", "g"]
+    known = docs.withColumns({"h": F.xxhash64("text"), "g": F.xxhash64(F.lit(1), "text")})
+    distinct = known.select(names).distinct()
+    shared = distinct.groupBy("doc").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("doc")
+    alike = written(distinct.join(shared, "doc", "left_semi"))
+    n = alike.count()
+    if not n:
+        return docs.withColumn("key", F.lit(0).cast("long"))
+    if n >= 1 << 31:
+        raise ValueError("over 2^31 texts without an id of their own")
+    parts = min(1 << 12, n // 100_000 + 1)
+    ordered = alike.repartitionByRange(parts, *names).sortWithinPartitions(*names)
+    ordered = written(ordered.withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    sizes = sorted(ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # one a range
+    before = np.cumsum([0, *(r.n for r in sizes)]).tolist()
+    offsets = df.sparkSession.createDataFrame([(r.part, k) for r, k in zip(sizes, before, strict=False)], "part long, before long")
+    numbers = ordered.withColumn("part", part).join(F.broadcast(offsets), "part")  # 4,096 rows at most
+    numbers = numbers.select(*names, (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("key"))
+    return written(known.join(numbers, names, "left").select("doc", "text", F.coalesce("key", F.lit(0)).alias("key")))
 
 
 def _scan(size: int):
@@ -281,8 +300,11 @@ def _runs(x: np.ndarray) -> list[tuple[int, int]]:
 def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 100, bucket: int = BUCKET, crowd: int = CROWD) -> DataFrame:
     """``doc, place, n``: windows ``place .. place + n - 1`` (of the row with
     that key) repeat one that starts earlier."""
-    spark = df.sparkSession
-    docs = _rows(df, id_col, text_col)
+    return _windows(_rows(df, id_col, text_col), size, bucket, crowd)
+
+
+def _windows(docs: DataFrame, size: int, bucket: int, crowd: int) -> DataFrame:
+    spark = docs.sparkSession
     scanned = docs.mapInArrow(_scan(size), "anchor long, digest long, doc long, place long, n long")
     shared = scanned.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
     some = written(scanned.join(shared, "anchor"))
@@ -378,8 +400,8 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     smaller doc_id, or earlier in the same document) covers it; all is judged
     on the input. Null texts are empty; texts under ``size`` bytes keep all.
     Rows without doc_id come last. Rows equal in id and text are one document;
-    rows with one id and different texts are documents in an order set by the
-    texts.
+    rows with one id, or none, and different texts are documents in the order of
+    a hash of the texts.
     """
     return _cut(df, id_col, text_col, size, bucket, crowd, False)
 
@@ -390,11 +412,12 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
 
 def _cut(df: DataFrame, id_col: str, text_col: str, size: int, bucket: int, crowd: int, digest: bool) -> DataFrame:
-    marks = written(repeated_windows(df, id_col, text_col, size, bucket, crowd))
+    docs = _rows(df, id_col, text_col)
+    marks = written(_windows(docs, size, bucket, crowd))
     release(df.sparkSession)
     each = marks.select("doc", F.shiftright("place", 32).alias("key"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("start"), "n")
     by_row = each.groupBy("doc", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
-    joined = _rows(df, id_col, text_col).join(by_row, ["doc", "key"], "left").select("doc", "text", "starts", "counts")
+    joined = docs.join(by_row, ["doc", "key"], "left").select("doc", "text", "starts", "counts")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from ordermart.llm import suffix_dedup as S
 
@@ -43,6 +44,49 @@ def corpus(seed, n=60):
     return rows
 
 
+def hashed(text):
+    """Spark's hash of a text, signed."""
+    return np.uint64(xxhash.xxh64_intdigest(text.encode(), 42)).astype(np.int64)
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    rnd = random.Random(9)
+    shared = ["".join(rnd.choice("abcdef ") for _ in range(40)) for _ in range(6)]
+    texts = list({"".join(rnd.choice("ghijk ") for _ in range(rnd.randint(0, 30))) + rnd.choice(shared) + str(k) for k in range(6000)})
+    rows = [((None, 5, k)[k % 3 if k % 100 else 2], t) for k, t in enumerate(texts)]
+    rows += rows[:50] + [(None, None), (None, ""), (7, None)]
+    got = S.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), size=30).collect()
+    order = sorted({(d, t or "") for d, t in rows}, key=lambda r: (r[0] is None, r[0] or 0, hashed(r[1])))
+    seen, expected = set(), {}
+    for doc, text in order:
+        data = text.encode()
+        gone = np.zeros(len(data), bool)
+        for s in range(len(data) - 29):
+            if data[s : s + 30] in seen:
+                gone[s : s + 30] = True
+            seen.add(data[s : s + 30])
+        expected[doc, text] = (len(data), int(gone.sum()), hashlib.sha256(bytes(np.frombuffer(data, np.uint8)[~gone])).hexdigest())
+    want = sorted((str(d), *expected[d, t or ""]) for d, t in rows)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == want
+
+
+def test_equal_keys_of_24_bits_no_longer_merge(spark):
+    # Two texts whose hashes agree in their last 24 bits, each with 280 bytes of the other's.
+    common, seen = "common words of both texts " * 12, {}
+    for k in range(40_000):
+        text = f"{k} {common}{k}"
+        low = int(hashed(text)) & 0xFFFFFF
+        if low in seen:
+            break
+        seen[low] = text
+    pair = [seen[low], text]
+    removed = []
+    for ids in ([1, 2], [None, None], [3, 3]):
+        got = S.digests(spark.createDataFrame(list(zip(ids, pair, strict=True)), "doc_id long, text string")).collect()
+        removed.append(sum(r.n_removed for r in got))
+    assert removed[0] > 280 and abs(removed[1] - removed[0]) <= 8 and abs(removed[2] - removed[0]) <= 8
+
+
 @pytest.mark.parametrize(("seed", "size", "bucket", "crowd"), [(1, 100, 1 << 21, 10_000), (2, 100, 4000, 10_000), (3, 100, 4000, 3), (4, 40, 3000, 10_000)])
 def test_equals_brute_force(spark, seed, size, bucket, crowd):
     rows = corpus(seed)
