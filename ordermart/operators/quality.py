@@ -212,11 +212,31 @@ def reconcile(
     """DQ-8: orders whose payment total and item total differ by more than ``tol``.
 
     Both sides are aggregated first (map-side combine), then joined on the
-    aggregate key: orders present on only one side are not mismatches.
+    aggregate key: orders present on only one side are not mismatches. Totals
+    are exact decimals, so that one exactly ``tol`` apart is no mismatch in
+    whatever order its rows are added.
     """
-    pay = payments.groupBy(key).agg(F.sum("payment_value").alias("total_payment"))
-    itm = items.groupBy(key).agg(F.sum(F.col("price") + F.col("freight_value")).alias("total_items"))
-    return pay.join(itm, key).where(F.abs(F.col("total_payment") - F.col("total_items")) > tol)
+    pay = payments.groupBy(key).agg(*_exact_total("total_payment", "payment_value"))
+    itm = items.groupBy(key).agg(*_exact_total("total_items", "price", "freight_value"))
+    apart = F.abs(F.col("total_payment") - F.col("total_items")) > F.lit(str(tol)).cast(MONEY)
+    both = pay.join(itm, key).where(F.col("total_payment_odd") | F.col("total_items_odd") | apart)
+    return both.select(key, *[F.when(~F.col(f"{c}_odd"), F.col(c)).otherwise(F.lit(float("nan"))).cast("double").alias(c) for c in ("total_payment", "total_items")])
+
+
+#: Amounts as exact decimals: sums then don't depend on the order of addition.
+MONEY = "decimal(38,10)"
+
+
+def _exact_total(name: str, *cols: str) -> list[Column]:
+    """The sum of amounts by the decimals that the numbers are printed as, and
+    whether one of them is not finite (such a total differs from any other).
+    A row with a null amount adds nothing, as SQL's sum of a sum."""
+    whole, odd = F.lit(0).cast(MONEY), F.lit(False)
+    for c in cols:
+        value = F.col(c).cast("double")
+        strange = F.isnan(value) | (F.abs(value) == float("inf"))
+        whole, odd = whole + F.when(~strange, value).try_cast(MONEY), odd | F.coalesce(strange, F.lit(False))
+    return [F.sum(whole.cast(MONEY)).alias(name), F.bool_or(odd).alias(f"{name}_odd")]
 
 
 def reconcile_count(payments: DataFrame, items: DataFrame, tol: float = 1.0) -> DataFrame:
