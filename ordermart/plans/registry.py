@@ -274,13 +274,13 @@ SOURCES_SINKS: dict[str, Callable[[Mart], DataFrame]] = {
     "io_raw_reviews": lambda m: C.clean_order_reviews(_raw_csv(m.raw.order_reviews, True, "src_order")),
     # The same with the files split by blocks, quoted newlines and all.
     "io_raw_reviews_split": lambda m: C.clean_order_reviews(_raw_csv(m.raw.order_reviews, True, "src_order", split=True)),
-    "io_raw_inferred": _inferred,
     "io_raw_geolocation": lambda m: C.clean_geolocation(_raw_csv(m.raw.geolocation, False, "src_order"), decimals=6),
     # PRJ-7 / SCL-9: dates come as strings and the cleaning types them.
     "io_raw_orders": lambda m: C.clean_orders(_raw_csv(m.raw.orders, False, text=C.ORDER_DATE_COLUMNS)),
 }
 ON_LOADED: dict[str, Callable[[Mart], DataFrame]] = {
     "io_export_report": _export_report,
+    "io_raw_inferred": lambda m: _inferred(m.load_raw()),
     "io_sql_text": lambda m: run_sql(m.spark, m.tables(), SQL_TEXT),
 }
 
