@@ -41,8 +41,15 @@ def _unit(column: pa.Array) -> np.ndarray:
 def _valid(vec: str):
     """Not null, no null or non-finite component, not zero (or without length)."""
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    squares = F.aggregate(vec, F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0)) * F.coalesce(x.cast("double"), F.lit(0.0)))
-    return F.coalesce(finite & (squares > 0) & (squares < float("inf")), F.lit(False))
+    return F.coalesce(finite & F.exists(vec, lambda x: x != 0), F.lit(False))
+
+
+def _measurable(vec: str):
+    """The vector, or where its squares would leave the range of doubles, the
+    same direction with a largest component of 1."""
+    squares = F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x)
+    largest = F.array_max(F.transform(vec, F.abs))
+    return F.when(squares.between(1e-250, 1e250), F.col(vec)).otherwise(F.transform(vec, lambda x: x / largest))
 
 
 def classes(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
@@ -50,6 +57,7 @@ def classes(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFr
     ``vec, rep`` (smallest id), ``copies``."""
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
     rows = rows.withColumn("ok", _valid("vec"))
+    rows = rows.withColumn("vec", F.when(F.col("ok"), _measurable("vec")))
     return rows, rows.filter("ok").groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
 
 

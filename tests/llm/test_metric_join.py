@@ -45,6 +45,13 @@ def test_equals_all_pairs(spark, pivots, tile):
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
 
 
+def test_vectors_whose_squares_leave_the_range(spark):
+    rows = [(1, [1e300, 2e300]), (2, [1e-300, 2e-300]), (3, [1.0, 2.1]), (4, [-1e300, 1e300]), (5, [5e-324, 0.0]), (6, [1e200, 0.0]), (7, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in metric_join.near_duplicates(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert metric_join.near_duplicates(df).count() == 0
