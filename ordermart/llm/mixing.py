@@ -30,6 +30,8 @@ from ordermart.llm.common import WORD, slices, written
 
 #: Words a block has, and words a shard should have.
 BLOCK, SHARD = 64, 1 << 21
+#: Equal rows that are laid as one at most, and characters handed on at once.
+COPIES, HANDED = 1000, 1 << 22
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -97,13 +99,8 @@ def plan(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    weights: tuple[float, ...] = WEIGHTS,
-    total_share: float = 1.5,
-    most: float = 2.0,
-    block: int = BLOCK,
-    shard: int = SHARD,
-    seed: int = 42,
     keep: str | None = None,
+    **options,
 ) -> DataFrame:
     """The mix of all documents: ``doc_id, source, size, source_size, target,
     taken, first, shard_quota, shard_blocks, shift`` (one row a row of ``df``).
@@ -112,14 +109,43 @@ def plan(
     counted: at most ``most`` times its size for a whole ``most``. The last
     four say which: word ``first + j`` of the shard is the document's word j,
     and ``passes`` gives the times a block is taken. A null text has no words;
-    a null source is a source; repeated rows each take part. The same input
-    gives the same mix in any partitioning (rows alike in id, source and size
-    are interchangeable). The column ``keep`` comes last.
+    texts without words lie in no shard (zeros); a null source is a source;
+    repeated rows each take part. The same input gives the same mix in any
+    partitioning (rows alike in id, source and text are interchangeable). The
+    column ``keep`` comes last. Options are those of ``laid``.
     """
-    text = F.col(text_col)
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col).cast("long")).alias("mixed"), *([F.col(keep)] if keep else []))
-    rows = written(rows)
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    rows = laid(df, id_col, text_col, source_col, keep=keep, **options)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    rows = rows.withColumn("first", F.col("first") + F.col("copy") * F.col("size"))
+    block = options.get("block", BLOCK)
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken(block).alias("taken"), "first", "shard_quota", "shard_blocks", "shift", *([keep] if keep else []))
+
+
+def laid(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = WEIGHTS,
+    total_share: float = 1.5,
+    most: float = 2.0,
+    block: int = BLOCK,
+    shard: int = SHARD,
+    seed: int = 42,
+    keep: str | None = None,
+) -> DataFrame:
+    """As ``plan``, but with up to ``COPIES`` equal rows (id, source, text) as
+    one: ``copies`` documents, one after another from word ``first`` on.
+
+    Equal rows are counted in the map tasks, and their bundles lie in shards by
+    hash of id, text and bundle: neither null ids nor repeated rows fill one
+    shard beyond its words.
+    """
+    text, id_ = F.col(text_col), F.col(id_col).cast("long")
+    kept = [keep] if keep else []
+    rows = df.select(id_.alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(F.lit(seed), id_, F.xxhash64(text)).alias("mixed"), *kept)
+    rows = written(rows.groupBy("doc_id", "source", "size", "mixed", *kept).agg(F.count(F.lit(1)).alias("n")))
+    sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goals = targets(sizes, weights, total_share, most).withColumns({"all": F.lit(0), "shards": F.ceil(F.col("source_size") / shard).cast("long")})
     goals = goals.withColumn("seats", F.round(F.sum("target").over(Window.partitionBy("all")) / block).cast("long"))
     goals = written(apportion(goals, ["all"], "target", "seats", ["source"]).drop("all", "seats"))
@@ -128,19 +154,25 @@ def plan(
         g = goals.select(F.col("source").alias("g_source"), *wanted)
         return x.join(g, F.col("source").eqNullSafe(F.col("g_source")), "left").drop("g_source")
 
-    dealt = with_goals(rows, "shards").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.greatest(F.col("shards"), F.lit(1)))).drop("shards")
+    each = F.least(F.lit(COPIES), F.greatest(F.lit(1), F.floor(shard / F.greatest(F.col("size"), F.lit(1))))).cast("long")
+    bundles = rows.withColumn("each", each).withColumn("bundle", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.col("each")))))
+    bundles = bundles.withColumns({"copies": F.least(F.col("each"), F.col("n") - F.col("bundle") * F.col("each")), "mixed": F.xxhash64("mixed", "bundle")}).drop("n", "each")
+    blank = with_goals(bundles.filter("size = 0"), "source_size", "target")
+    dealt = with_goals(bundles.filter("size > 0"), "shards").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "mixed"), F.greatest(F.col("shards"), F.lit(1)))).drop("shards")
     dealt = written(dealt)
-    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
+    shards = dealt.groupBy("source", "shard").agg(F.sum(F.col("size") * F.col("copies")).alias("shard_size"))
     shards = with_goals(shards, "source_size", "target", "quota").withColumnRenamed("quota", "seats")
     shards = apportion(shards, ["source"], "shard_size", "seats", ["source", "shard"])
     blocks = F.ceil(F.col("shard_size") / block).cast("long")
     shards = shards.withColumns({"shard_blocks": blocks, "shard_quota": F.least(F.col("quota"), F.lit(int(most)) * blocks)})
     shards = shards.withColumn("shift", F.pmod(F.xxhash64(F.lit(seed + 2), F.coalesce(F.col("source"), F.lit("")), "shard"), F.greatest(F.col("shard_blocks"), F.lit(1))))
     shards = written(shards.select(F.col("source").alias("s_source"), F.col("shard").alias("s_shard"), "source_size", "target", "shard_blocks", "shard_quota", "shift"))
-    laid = Window.partitionBy("source", "shard").orderBy("mixed", "doc_id", "size", *([keep] if keep else [])).rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("first", F.coalesce(F.sum("size").over(laid), F.lit(0)))
+    before = Window.partitionBy("source", "shard").orderBy("mixed", "doc_id", "size", "bundle", *kept).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("first", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(before), F.lit(0)))
     placed = placed.join(shards, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("shard") == F.col("s_shard")), "left")
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken(block).alias("taken"), "first", "shard_quota", "shard_blocks", "shift", *([keep] if keep else []))
+    columns = ["doc_id", "source", "size", "copies", "source_size", "target", "first", "shard_quota", "shard_blocks", "shift", *kept]
+    zeros = {c: F.lit(0).cast("long") for c in ("first", "shard_quota", "shard_blocks", "shift")}
+    return placed.select(columns).unionByName(blank.withColumns(zeros).select(columns))
 
 
 def passes(b: Column) -> Column:
@@ -191,8 +223,9 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     whole texts. Documents of which nothing is taken go; so do those without a
     word. Rows equal in id and text are one row here, with their shares added.
     A column ``n_chars`` follows the text."""
-    shares = plan(df.withColumn("_of", F.xxhash64(text_col)), id_col, text_col, source_col, block=block, keep="_of", **options)
-    shares = shares.filter("taken > 0").groupBy("doc_id", "_of").agg(F.collect_list(F.struct("first", "shard_quota", "shard_blocks", "shift")).alias("_shares"))
+    shares = laid(df.withColumn("_of", F.xxhash64(text_col)), id_col, text_col, source_col, block=block, keep="_of", **options)
+    # An entry for up to COPIES equal rows.
+    shares = shares.filter("shard_quota > 0").groupBy("doc_id", "_of").agg(F.collect_list(F.struct("first", "copies", "size", "shard_quota", "shard_blocks", "shift")).alias("_shares"))
     shares = shares.select(F.col("doc_id").alias("_id"), F.col("_of").alias("_key"), "_shares")
     own = df.withColumn("_of", F.xxhash64(text_col))
     own = own.join(shares, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_key"))).dropDuplicates(["_id", "_key"])
@@ -201,20 +234,29 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     at, n = names.index(text_col), len(names)
     chars = names.index("n_chars") if "n_chars" in names else None
 
+    def handed(part: pa.RecordBatch, rows: list[int], texts: list[str]) -> pa.RecordBatch:
+        some = part.take(pa.array(rows, pa.int64()))
+        columns = [some.column(k) for k in range(n)]
+        columns[at] = pa.array(texts, pa.string())
+        if chars is not None:
+            columns[chars] = pa.array([len(t) for t in texts], pa.int64())
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, at):
-                rows, texts = [], []
+                rows, texts, held = [], [], 0
                 for k in range(part.num_rows):
+                    text = part.column(at)[k].as_py()
                     for s in part.column(n)[k].as_py():
-                        some = _parts(part.column(at)[k].as_py(), s["first"], s["shard_quota"], s["shard_blocks"], s["shift"], block)
-                        texts += some
-                        rows += [k] * len(some)
-                taken_rows = part.take(pa.array(rows, pa.int64()))
-                columns = [taken_rows.column(k) for k in range(n)]
-                columns[at] = pa.array(texts, pa.string())
-                if chars is not None:
-                    columns[chars] = pa.array([len(t) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                        for copy in range(s["copies"]):
+                            some = _parts(text, s["first"] + copy * s["size"], s["shard_quota"], s["shard_blocks"], s["shift"], block)
+                            texts += some
+                            rows += [k] * len(some)
+                            held += sum(map(len, some))
+                            if held > HANDED:
+                                yield handed(part, rows, texts)
+                                rows, texts, held = [], [], 0
+                yield handed(part, rows, texts)
 
     return own.mapInArrow(work, df.withColumn("n_chars", F.col("n_chars").cast("long")).schema if chars is not None else df.schema)

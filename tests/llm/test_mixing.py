@@ -95,3 +95,40 @@ def test_block_choice_is_exact(spark):
     for n, q in [(10, 3), (7, 7), (13, 20), (100, 199)]:
         one = spark.range(n).select(F.col("id").alias("b"), F.lit(n).cast("long").alias("shard_blocks"), F.lit(q).cast("long").alias("shard_quota"), F.lit(n // 2).cast("long").alias("shift"))
         assert one.select(F.sum(mixing.passes(F.col("b")))).first()[0] == q
+
+
+def test_hot_keys_are_spread(spark):
+    """Null ids, empty texts and repeated rows, each a third of a source."""
+    rows = [(None, f"null id {k} " + "w " * 40, "a") for k in range(400)] + [(k, "", "a") for k in range(400)] + [(7777, "same row " + "w " * 40, "a")] * 400
+    rows += [(10_000 + k, "other " * 42, "b") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    some = mixing.laid(df, shard=500).filter("source = 'a' AND size > 0")
+    blocks = some.groupBy("shift", "shard_blocks").agg(F.sum(F.col("size") * F.col("copies")).alias("n")).collect()
+    assert len(blocks) > 20
+    assert max(r.n for r in blocks) < 8 * 500
+    assert some.agg(F.max("copies")).first()[0] <= 500 // 42
+    out = mixing.plan(df, shard=500).collect()
+    assert len(out) == len(rows)
+    assert all(r.taken == 0 and r.shard_blocks == 0 for r in out if not r.size)
+    assert all(0 <= r.taken <= 2 * r.size for r in out)
+    of = defaultdict(int)
+    for r in out:
+        of[r.source] += r.taken
+    for source, target in {(r.source, r.target) for r in out}:
+        assert abs(of[source] - target) <= mixing.BLOCK * (2 + len(blocks))
+    again = mixing.plan(df.repartition(5), shard=500).groupBy("doc_id", "size", "taken").count()
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, mixing.plan(df, shard=500).groupBy("doc_id", "size", "taken").count().collect()))
+
+
+def test_mixed_has_the_planned_words(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    monkeypatch.setattr(mixing, "HANDED", 300)
+    rows = [(1, "same text " * 9, "a", 3)] * 40 + [(k, f"text {k} " * 11, "ab"[k % 2], 3) for k in range(2, 60)] + [(None, "no id " * 5, "b", 3), (90, None, "a", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    planned, got = defaultdict(int), defaultdict(int)
+    for r in mixing.plan(df, shard=400).collect():
+        planned[r.doc_id] += r.taken
+    for r in mixing.mixed(df, shard=400).collect():
+        got[r.doc_id] += len(r.text.split())
+        assert r.n_chars == len(r.text)
+    assert got == {k: n for k, n in planned.items() if n}
