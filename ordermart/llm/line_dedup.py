@@ -7,9 +7,9 @@ decided by it; those near it get an exact distinct count, for which (line,
 site) pairs are reduced before they move. What reaches the threshold is
 boilerplate and is removed from the documents.
 
-A document most of which is such lines is no page with boilerplate but a copy
+A document without a line of its own is no page with boilerplate but a copy
 of one that is spread over sites; its lines stay, for near-duplicate removal
-to judge whole documents.
+to judge it whole. From every other document all boilerplate goes.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ LOG_REGISTERS = 8
 NEAR = 0.26
 #: Sites from which a line is boilerplate.
 SITES = 5
-#: Share of its characters beyond which a document's lines stay.
-MOST = 0.5
 BLANK_ENDS = " \t\x0b\x0c\r"
 
 
@@ -66,17 +64,15 @@ def line_dedup(
     text_col: str = "text",
     site_col: str = "source",
     sites: int = SITES,
-    most: float = MOST,
     near: float = NEAR,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``doc_id, text, n_lines, n_removed, removed_chars, mostly_shared`` of every row.
+    """``doc_id, text, n_lines, n_removed, removed_chars, all_shared`` of every row.
 
     ``text`` is the whole text without its boilerplate lines (the rest joined
     by newlines as before); ``n_lines`` counts lines that aren't blank. Blank
-    lines always stay. If more than ``most`` of the characters of such lines
-    are boilerplate, nothing is removed and ``mostly_shared`` is true. A null
-    text counts as empty: no lines. A null site is a site. Repeated rows are
+    lines always stay. If all other lines are boilerplate, nothing is removed
+    and ``all_shared`` is true. A null text counts as empty: no lines. A null site is a site. Repeated rows are
     treated alike, and count as one site. The columns ``carry`` come last.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -94,12 +90,11 @@ def line_dedup(
     joined = joined.withColumns(
         {
             "n_lines": F.size(F.filter("split", lambda x: F.btrim(x, F.lit(BLANK_ENDS)) != "")).cast("long"),
-            "chars": size(lambda x, k: F.btrim(x, F.lit(BLANK_ENDS)) != ""),
             "shared": F.when(F.size("at") > 0, size(lambda x, k: F.array_contains("at", k))).otherwise(F.lit(0).cast("long")),
         }
     )
-    much = F.col("shared") > most * F.col("chars")
-    cut = (F.size("at") > 0) & ~much
+    alone = (F.size("at") > 0) & (F.size("at") == F.col("n_lines"))
+    cut = (F.size("at") > 0) & ~alone
     rest = F.array_join(F.filter("split", lambda x, k: ~F.array_contains("at", k)), "\n")
     return joined.select(
         "doc_id",
@@ -107,12 +102,12 @@ def line_dedup(
         "n_lines",
         F.when(cut, F.size("at")).otherwise(0).cast("long").alias("n_removed"),
         F.when(cut, F.col("shared")).otherwise(0).cast("long").alias("removed_chars"),
-        much.alias("mostly_shared"),
+        alone.alias("all_shared"),
         *(F.col("more")[c].alias(c) for c in carry),
     )
 
 
-def oracle(table: str = "documents", sites: int = SITES, most: float = MOST) -> str:
+def oracle(table: str = "documents", sites: int = SITES) -> str:
     """The same in DuckDB SQL, by exact distinct counts."""
     blanks = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
     return f"""
@@ -128,15 +123,15 @@ wide AS (
 ),
 marked AS (SELECT b.*, w.key IS NOT NULL AS hit FROM bare b LEFT JOIN wide w USING (key)),
 sums AS (
-    SELECT r, count(*) FILTER (key <> '') AS n_lines, coalesce(sum(length(line)) FILTER (key <> ''), 0) AS chars,
+    SELECT r, count(*) FILTER (key <> '') AS n_lines,
         count(*) FILTER (hit) AS hits, coalesce(sum(length(line)) FILTER (hit), 0) AS shared,
         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT hit), '') AS rest
     FROM marked GROUP BY r
 )
-SELECT d.doc_id, CASE WHEN hits > 0 AND NOT shared > {most} * chars THEN rest ELSE d.text END AS text,
+SELECT d.doc_id, CASE WHEN hits > 0 AND hits < n_lines THEN rest ELSE d.text END AS text,
     CAST(n_lines AS BIGINT) AS n_lines,
-    CAST(CASE WHEN shared > {most} * chars THEN 0 ELSE hits END AS BIGINT) AS n_removed,
-    CAST(CASE WHEN shared > {most} * chars THEN 0 ELSE shared END AS BIGINT) AS removed_chars,
-    shared > {most} * chars AS mostly_shared
+    CAST(CASE WHEN hits < n_lines THEN hits ELSE 0 END AS BIGINT) AS n_removed,
+    CAST(CASE WHEN hits < n_lines THEN shared ELSE 0 END AS BIGINT) AS removed_chars,
+    hits > 0 AND hits = n_lines AS all_shared
 FROM docs d JOIN sums USING (r)
 """

@@ -4,7 +4,7 @@ import pytest
 
 from ordermart.llm import line_dedup
 
-COLUMNS = ["doc_id", "text", "n_lines", "n_removed", "removed_chars", "mostly_shared"]
+COLUMNS = ["doc_id", "text", "n_lines", "n_removed", "removed_chars", "all_shared"]
 
 
 def corpus():
@@ -36,3 +36,11 @@ def test_equals_exact_counts(spark):
 def test_empty(spark, n):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert line_dedup.line_dedup(df).count() == n
+
+
+def test_only_documents_without_own_lines_keep_shared_ones(spark):
+    menu = "\n".join(f"a long shared line, number {k}, on every site" for k in range(20))
+    rows = [(k, f"{menu}\nown {k}", f"site{k}") for k in range(8)] + [(50, menu + "\n ", "site1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.text, r.n_removed, r.all_shared) for r in line_dedup.line_dedup(df).collect()}
+    assert got == {**{k: (f"own {k}", 20, False) for k in range(8)}, 50: (menu + "\n ", 0, True)}
