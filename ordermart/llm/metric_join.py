@@ -25,8 +25,11 @@ from pyspark.sql import functions as F
 from ordermart.llm.common import written
 from ordermart.llm.components import connected_components, local_labels
 
-#: Pivots at most (a bounded sample fits the partition; every vector is joined).
-PIVOTS = 64
+#: Pivots at least (if there are so many vectors) and at most; between, their
+#: number follows the root of the vectors' number. The driver holds the pivots.
+FEW, PIVOTS = 20, 4096
+#: Distances to pivots that are held at once.
+HELD = 1 << 22
 #: Vectors of a cell that meet in one task, from each side.
 TILE = 4096
 #: Added to every bound on distances: rounding must never lose a pair.
@@ -61,6 +64,11 @@ def classes(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFr
     return rows, rows.filter("ok").groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
 
 
+def n_pivots(n: int, most: int = PIVOTS) -> int:
+    """Pivots, and so cells, for ``n`` vectors."""
+    return max(1, min(n, most, max(FEW, math.isqrt(n) // 8)))
+
+
 def range_join(points: DataFrame, cosine: float = 0.9, pivots: int = PIVOTS, tile: int = TILE) -> DataFrame:
     """``rep, linked, star`` rows whose sums by ``rep`` are the number of linked
     copies of other vectors and whose ``rep - star`` edges connect what is
@@ -69,7 +77,7 @@ def range_join(points: DataFrame, cosine: float = 0.9, pivots: int = PIVOTS, til
     spark = points.sparkSession
     radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
     n = points.count()
-    k = max(1, min(pivots, n // tile))
+    k = n_pivots(n, pivots)
     sample = points.orderBy(F.xxhash64("rep"), "rep").limit(k).select("vec").collect()  # at most PIVOTS vectors
     if not sample:
         return spark.createDataFrame([], "rep long, linked long, star long")
@@ -78,16 +86,16 @@ def range_join(points: DataFrame, cosine: float = 0.9, pivots: int = PIVOTS, til
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            far = np.sqrt(np.maximum(0, 2 - 2 * (_unit(batch.column(0)) @ centres.T)))
-            home = far.argmin(axis=1)
-            near = far <= far.min(axis=1, keepdims=True) + 2 * radius + SLACK
-            near &= np.arange(len(centres)) <= home[:, None]  # replicas go to lower pivots
-            row, cell = np.nonzero(near)
-            some = batch.take(pa.array(row))
-            extra = [pa.array(cell.astype(np.int32)), pa.array(cell == home[row]), pa.array(far[row, cell])]
-            yield pa.RecordBatch.from_arrays([*some.columns, *extra], names=["vec", "rep", "copies", "cell", "home", "far"])
+            step = max(1, HELD // len(centres))
+            for part in (batch.slice(a, step) for a in range(0, batch.num_rows, step)):
+                far = np.sqrt(np.maximum(0, 2 - 2 * (_unit(part.column(0)) @ centres.T)))
+                home = far.argmin(axis=1)
+                near = far <= far.min(axis=1, keepdims=True) + 2 * radius + SLACK
+                near &= np.arange(len(centres)) <= home[:, None]  # replicas go to lower pivots
+                row, cell = np.nonzero(near)
+                some = part.take(pa.array(row))
+                extra = [pa.array(cell.astype(np.int32)), pa.array(cell == home[row]), pa.array(far[row, cell])]
+                yield pa.RecordBatch.from_arrays([*some.columns, *extra], names=["vec", "rep", "copies", "cell", "home", "far"])
 
     placed = points.select("vec", "rep", "copies").mapInArrow(place, "vec array<double>, rep long, copies long, cell int, home boolean, far double")
     placed = written(placed)

@@ -55,3 +55,14 @@ def test_vectors_whose_squares_leave_the_range(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert metric_join.near_duplicates(df).count() == 0
+
+
+def test_cells_at_every_size(spark):
+    assert [metric_join.n_pivots(n) for n in (1, 7, 500, 2000, 10**6, 10**9, 10**12)] == [1, 7, 20, 20, 125, 3952, 4096]
+    rnd = np.random.default_rng(4)
+    vectors = rnd.normal(size=(600, 8))
+    vectors[300:] = vectors[:300] + rnd.normal(size=(300, 8)) * 0.1
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    links = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    assert {r.vec_id: r.n_links for r in metric_join.near_duplicates(df).collect()} == dict(enumerate(links.tolist()))
