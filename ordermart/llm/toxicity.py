@@ -37,6 +37,8 @@ from ordermart.llm.common import WORD, documents, slices, written
 SAMPLE = (4000, 8000)
 #: Features kept at most, words in a window, windows that are fitted at once.
 FEATURES, WIDTH, BLOCK = 4096, 15, 20_000
+#: Different windows that are learned from at most, the most frequent ones.
+WINDOWS = 250_000
 #: Lengths of the first letters that are features of a word.
 PREFIXES = (4, 5, 6, 7)
 #: Toxic documents without a stronger feature that a feature must have, unless
@@ -158,13 +160,15 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> DataFrame:
     """``doc_id, text, toxic`` of the learned rows: whole texts, at most
-    ``sample`` ids of either class, none held out. Ids that are labelled both
-    ways count as toxic; null labels and ids are left out."""
+    ``sample`` ids of either class and one row an id (of unlike texts one, by
+    hash), none held out. Ids that are labelled both ways count as toxic; null
+    labels and ids are left out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     each = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, sample[0]), (0, sample[1]))]
     # The ids are bounded by ``sample``, so the texts needn't move to meet them.
-    return written(docs.join(F.broadcast(each[0].unionAll(each[1])), "doc_id"))
+    found = docs.join(F.broadcast(each[0].unionAll(each[1])), "doc_id")
+    return written(found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic")))
 
 
 def marking_features(sample: DataFrame, ratio: float = RATIO, most: int = FEATURES) -> list[str]:
@@ -245,7 +249,8 @@ def windows(sample: DataFrame, names: list[str], width: int = WIDTH) -> tuple[np
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.int32())), pa.array(ys, pa.list_(pa.int32())), pa.array(list(found.values()), pa.int64())], names=["x", "y", "n"])
 
     cuts = sample.select("doc_id", "text", "toxic").mapInArrow(cut, "x array<int>, y array<int>, n long")
-    rows = cuts.groupBy("x", "y").agg(F.sum("n").alias("n")).toArrow()
+    rows = cuts.groupBy("x", "y").agg(F.sum("n").alias("n"))
+    rows = rows.orderBy(F.desc("n"), F.xxhash64("x", "y")).limit(WINDOWS).toArrow()
     shape = (rows.num_rows, width)
     values = [c.combine_chunks() for c in rows.columns]
     x, y = (v.flatten().to_numpy(zero_copy_only=False) for v in values[:2])

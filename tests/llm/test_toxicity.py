@@ -136,3 +136,14 @@ def test_nothing_to_learn(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.predicted for r in T.toxicity(d, none).collect()] == [0, 0]
     assert T.toxicity(d.limit(0), none).count() == 0
+
+
+def test_repeated_ids_are_one_row_of_the_sample(spark):
+    rows = [(2, "a b", 1)] * 500 + [(2, f"other {k}", 1) for k in range(20)] + [(4, "c", 1)] * 3 + [(k, f"clean {k}", 1) for k in range(5, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    labels = spark.createDataFrame([(k, int(k < 5)) for k in range(60)] * 2, "doc_id long, toxic int")
+    got = T.labelled_sample(T.documents(docs), labels, (5, 8))
+    out = got.collect()
+    assert len({r.doc_id for r in out}) == len(out) <= 13
+    again = T.labelled_sample(T.documents(docs.repartition(9)), labels, (5, 8)).collect()
+    assert sorted(map(tuple, out)) == sorted(map(tuple, again))
