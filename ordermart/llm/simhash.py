@@ -47,16 +47,17 @@ def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
     return sum(1 << b for b in np.flatnonzero(2 * ones > n).tolist())
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """``doc_id, bits`` (the fingerprint as a signed long) of every row."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, bits`` (the fingerprint as a signed long) of every row, then
+    the columns ``carry`` (longs)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 found = np.array([fingerprint(t.as_py(), shingle, seed) for t in part.column(1)], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], names=["doc_id", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64)), *part.columns[2:]], names=["doc_id", "bits", *carry])
 
-    return documents(df, id_col, text_col).mapInArrow(work, "doc_id long, bits long")
+    return documents(df, id_col, text_col, *carry).mapInArrow(work, ", ".join(f"{c} long" for c in ("doc_id", "bits", *carry)))
 
 
 def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,11 +176,30 @@ def near_duplicates(
     return marked.join(ids, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` whose id names their group: one document of each.
-    Of rows that share an id one stays. Rows without id aren't compared and stay."""
-    named = df.filter(F.col(id_col).isNotNull())
-    found = near_duplicates(named, id_col, text_col, **options)
-    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = named.join(first, named[id_col] == first["_first"]).drop("_first").dropDuplicates([id_col])
-    return kept.unionByName(df.filter(F.col(id_col).isNull()))
+def representatives(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 4,
+    radius: int = 4,
+    seed: int = 42,
+    tile: int = TILE,
+) -> DataFrame:
+    """One row of ``df`` of each group of near duplicates.
+
+    It is the row of the smallest id; rows without id come after all others.
+    Unlike rows may share an id (or have none): of these, a hash of the whole
+    row decides, so the choice is the same in any partitioning. Every row is
+    compared by its own text. Rows alike in every column are one row. Columns
+    of a map type can't be hashed.
+    """
+    whole = [x for c in df.columns for x in (F.col(c), F.col(c).isNull())]
+    keyed = df.withColumns({"_a": F.xxhash64(*whole), "_b": F.xxhash64(F.lit(7), *whole)})
+    marked = written(fingerprints(keyed, id_col, text_col, shingle, seed, ("_a", "_b")))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_a", "_b")
+    classes = written(marked.groupBy("bits").agg(F.min(order).alias("row")))
+    groups = connected_components(links(classes, radius, tile)).select(F.col("node").alias("bits"), "component")
+    named = classes.join(groups, "bits", "left").select("row", F.coalesce("component", "bits").alias("component"))
+    first = written(named.groupBy("component").agg(F.min("row").alias("row")).select("row._a", "row._b"))
+    # Repeated rows are combined in the map tasks, before texts move.
+    return keyed.dropDuplicates(["_a", "_b"]).join(first, ["_a", "_b"], "left_semi").select(*df.columns)

@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import duckdb
 import pandas as pd
@@ -81,18 +81,18 @@ def test_line_stage(steps):
 
 def test_simhash_stage(steps):
     docs, after = steps[2]
-    prints = defaultdict(set)
-    for r in rows(docs):
-        if r[0] is not None:
-            prints[plain_fingerprint(r[1])].add(r[0])
-    values = sorted(prints)
+    prints = {r: plain_fingerprint(r[1]) for r in rows(docs)}
+    values = sorted(set(prints.values()))
     label = groups(values, [(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 4])
     first = {}
-    for f, ids in prints.items():
-        first[label[f]] = min(first.get(label[f], min(ids)), min(ids))
-    assert sorted(r[0] for r in rows(after) if r[0] is not None) == sorted(first.values())
-    assert sum(r[0] is None for r in rows(after)) == 1
-    assert set(rows(after)) <= set(rows(docs))
+    for r, f in prints.items():
+        first.setdefault(label[f], []).append(r[0])
+    kept = rows(after)
+    assert set(kept) <= set(prints)
+    assert sorted(label[prints[r]] for r in kept) == sorted(first)
+    for r in kept:
+        assert r[0] == min((k for k in first[label[prints[r]]] if k is not None), default=None)
+    assert sum(r[0] is None for r in kept) == 1
 
 
 def test_mixing_stage(steps):

@@ -98,3 +98,26 @@ def test_bounded_links_in_a_task(monkeypatch):
     u, v = simhash._stars(a, a, 4)
     assert len(set(v.tolist())) <= 2 and len(u) >= 59
     assert F is not None
+
+
+def test_representatives(spark):
+    """Unlike texts under one id, rows without id, repeated rows: by brute force."""
+    rnd = random.Random(8)
+    prose = lambda n: " ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"]) + str(rnd.randint(0, 99)) for _ in range(n))
+    base = [prose(60) for _ in range(12)]
+    rows = [(k, t, "x") for k, t in enumerate(base)]
+    rows += [(3, base[7], "y"), (3, prose(50), "x"), (3, prose(50), "x"), (None, base[2], "x"), (None, prose(40), "x"), (None, prose(40), None), (None, None, "x"), (None, "", "x"), (40, base[4] + " tail", "x")]
+    rows += [(5, base[5], "x")] * 30 + [(None, "the same words here and there", "x")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string, _x string").withColumnRenamed("_x", "row")
+    got = sorted(map(tuple, simhash.representatives(df).collect()), key=repr)
+    again = sorted(map(tuple, simhash.representatives(df.repartition(7)).collect()), key=repr)
+    assert got == again
+    prints = {r: plain_fingerprint(r[1]) for r in set(rows)}
+    values = sorted(set(prints.values()))
+    label = groups(values, [(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 4])
+    assert sorted(label[prints[r]] for r in got) == sorted(set(label.values()))
+    for r in got:
+        ids = [x[0] for x in prints if label[prints[x]] == label[prints[r]]]
+        assert r[0] == min((k for k in ids if k is not None), default=None)
+    assert len(got) == len(set(got))
+    assert simhash.representatives(df.limit(0)).count() == 0
