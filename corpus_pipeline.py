@@ -25,7 +25,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on many sites go from documents of which they are the lesser part."""
+    """Lines on many sites go from documents that have lines of their own."""
     found = line_dedup.line_dedup(docs, carry=("lang", "source"))
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
