@@ -27,6 +27,7 @@ from ordermart.plans.mart import Mart
 from ordermart.session import shared_dir
 from ordermart.sources import io
 from ordermart.sources.schemas import MULTI_LINE_TABLES
+from ordermart.sources.dialect import run_warehouse_sql
 from ordermart.sources.views import run_sql
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -260,6 +261,14 @@ def _export_report(m: Mart) -> DataFrame:
 
 
 # SRC-3: a user's own SQL over the loaded tables, by their names.
+WAREHOUSE_TEXT = """
+SELECT customer_state AS "state", EXTRACT(DOW FROM order_purchase_timestamp) AS day_number,
+       COUNT(*) FILTER (WHERE delivery_delay_days > 0) AS late,
+       ROUND(AVG(delivery_delay_days)::numeric, 2)::double precision AS mean_delay,
+       RANK() OVER (PARTITION BY customer_state ORDER BY SUM(delivery_delay_days) DESC)::int8 AS place
+FROM orders o JOIN customers c ON c.customer_id = o.customer_id
+GROUP BY 1, 2 ORDER BY 1, 2;
+"""
 SQL_TEXT = """
 SELECT c.customer_state, count(*) FILTER (WHERE o.order_status = 'delivered') AS delivered,
        count(DISTINCT o.customer_id) AS customers, max(o.order_purchase_timestamp)::date AS last_day
@@ -282,6 +291,7 @@ ON_LOADED: dict[str, Callable[[Mart], DataFrame]] = {
     "io_export_report": _export_report,
     "io_raw_inferred": lambda m: _inferred(m.load_raw()),
     "io_sql_text": lambda m: run_sql(m.spark, m.tables(), SQL_TEXT),
+    "io_warehouse_sql": lambda m: run_warehouse_sql(m.spark, m.tables(), WAREHOUSE_TEXT),
 }
 
 
