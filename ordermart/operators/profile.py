@@ -359,29 +359,82 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
 
 
-def text_summary(df: DataFrame, cols: Sequence[str] | None = None, name: str | None = None) -> DataFrame:
+#: Characters of a text that stand for it while values are counted; longer
+#: texts are told apart by a 128-bit digest.
+PREFIX = 32
+
+
+def text_summary(df: DataFrame, cols: Sequence[str] | None = None, name: str | None = None, prefix: int | None = None) -> DataFrame:
     """PRF-6: count, unique, top, freq per text column (default: every one; nulls ignored).
 
-    All columns together: a union of one-column projections (no row is
-    copied per column), each value counted with a combining aggregate, then
-    one small aggregate per column. Null values keep their own group so an
-    all-null column still gets a row. A tie for the most frequent value goes
-    to the smallest value.
+    As ``text_summaries`` of one table."""
+    out = text_summaries({name or "": df if cols is None else df.select(*cols)}, prefix)
+    return out.drop("table_name") if name is None else out
+
+
+def text_summaries(tables: Mapping[str, DataFrame], prefix: int | None = None) -> DataFrame:
+    """(table_name, column_name, count, unique, top, freq) for every text column
+    of several tables. A tie for the most frequent value goes to the smallest;
+    a column without a value has count and unique 0 and no top.
+
+    One shuffle counts all columns. No long text takes part: a value of up to
+    ``prefix`` characters stands for itself, a longer one for its beginning and
+    a 128-bit digest, so the key is short, a frequent value is one row a map
+    task, and unequal texts count as one only if their digests are equal. The
+    smallest of the most frequent keys is the top. Where that is a beginning, a
+    second scan reads the column's texts that begin so (a filter the scan can
+    use), keeps those with as many copies, and takes the least of them.
     """
-    cols = text_columns(df) if cols is None else list(cols)
-    long = union_all([df.select(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in cols])
-    vc = long.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
-    seen = F.col("v").isNotNull()
-    order = F.struct((-F.col("n")).alias("neg_n"), F.col("v"))
-    out = vc.groupBy("column_name").agg(
+    prefix = PREFIX if prefix is None else prefix
+    columns = [(t, c) for t, df in tables.items() for c in text_columns(df)]
+    parts = []
+    for t, c in columns:
+        v = F.col(f"`{c}`")
+        parts.append(tables[t].select(
+            F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), F.left(v, F.lit(prefix)).alias("start"), _beyond(v, prefix).alias("rest")
+        ))
+    vc = union_all(parts).groupBy("table_name", "column_name", "start", "rest").agg(F.count(F.lit(1)).alias("n"))
+    seen = F.col("start").isNotNull()
+    order = F.struct((-F.col("n")).alias("neg_n"), F.col("start"), F.col("rest").isNotNull().alias("long"))
+    best = vc.groupBy("table_name", "column_name").agg(
         F.coalesce(F.sum(F.when(seen, F.col("n"))), F.lit(0)).alias("count"),
         F.count_if(seen).alias("unique"),
-        F.min_by(F.col("v"), F.when(seen, order)).alias("top"),
-        F.max(F.when(seen, F.col("n"))).alias("freq"),
+        F.min(F.when(seen, order)).alias("top"),
     )
-    if name is not None:
-        out = out.select(F.lit(name).alias("table_name"), "*")
-    return out
+    # One row a column, short texts only.
+    found = {(r.table_name, r.column_name): r for r in best.collect()}
+    rows, frames = [], []
+    schema = "table_name string, column_name string, count bigint, unique bigint, top string, freq bigint"
+    for t, c in columns:
+        r = found.get((t, c))  # no row: an empty table
+        total, unique, top = (r["count"], r.unique, r.top) if r else (0, 0, None)
+        freq = -top.neg_n if top else None
+        if top and top.long:
+            said = _least_of(tables[t].select(F.col(f"`{c}`").alias("v")), top.start, freq, prefix)
+            frames.append(said.select(
+                F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), F.lit(total).cast("bigint").alias("count"),
+                F.lit(unique).cast("bigint").alias("unique"), "top", F.lit(freq).cast("bigint").alias("freq"),
+            ))
+        elif r:
+            rows.append((t, c, total, unique, top.start if top else None, freq))
+    spark = next(iter(tables.values())).sparkSession
+    return union_all([spark.createDataFrame(rows, schema), *frames])
+
+
+def _beyond(v: Column, prefix: int) -> Column:
+    """Digest of a text of more than ``prefix`` characters, else null."""
+    return F.when(F.length(v) > prefix, F.unhex(F.md5(v.cast("binary"))))
+
+
+def _least_of(texts: DataFrame, start: str, freq: int, prefix: int) -> DataFrame:
+    """(top): the least long text that begins with ``start`` and occurs ``freq`` times."""
+    v = F.col("v")
+    some = texts.where(v.startswith(start) & (F.length(v) > prefix))
+    if freq > 1:
+        some = some.withColumn("rest", _beyond(v, prefix))
+        often = some.groupBy("rest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == freq)
+        some = some.join(often, "rest", "left_semi")
+    return some.agg(F.min(v).alias("top"))
 
 
 # ------------------------------------------------------------ PRF-7/8

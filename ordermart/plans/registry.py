@@ -97,11 +97,19 @@ def _profile(m: Mart, one: Callable[[DataFrame, str], DataFrame], wanted: Callab
     return union_all(parts)
 
 
+def _text_summary(m: Mart) -> DataFrame:
+    """All text columns of both stages, counted together."""
+    names = {f"{stage}.{n}": df for stage, n, df in _stages(m.load_raw()) if P.text_columns(df)}
+    out = P.text_summaries(names)
+    both = F.split("table_name", "[.]")
+    return out.select(both[0].alias("stage"), both[1].alias("table_name"), *out.columns[1:])
+
+
 PROFILING: dict[str, Callable[[Mart], DataFrame]] = {
     "prf_shape": lambda m: _profile(m, P.shape),
     "prf_null_counts": lambda m: _profile(m, P.null_counts),
     "prf_numeric_summary": lambda m: _profile(m, lambda df, n: P.numeric_summary(df, name=n), P.numeric_columns),
-    "prf_text_summary": lambda m: _profile(m, lambda df, n: P.text_summary(df, name=n), P.text_columns),
+    "prf_text_summary": lambda m: _text_summary(m),
     "prf_value_counts": lambda m: P.value_counts(m.raw.orders, "order_status"),
     "prf_value_pct": lambda m: P.value_counts(m.raw.order_payments, "payment_type", normalize=True),
     "prf_conditional_counts": lambda m: P.conditional_counts(

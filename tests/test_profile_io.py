@@ -118,3 +118,33 @@ def test_conditional_counts_semantics(spark):
     )
     got = sorted(tuple(r) for r in P.conditional_counts(df, {"x": F.col("x").isNull(), "y": F.col("y").isNull()}, "s").collect())
     assert got == [("x", "a", 1), ("x", "b", 1), ("y", "a", 1), ("y", "b", 1)]
+
+
+def test_text_summary_of_long_texts(spark):
+    """Against plain counts, with every length of prefix and texts around it."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(5)
+    stock = ["", "a", "ab", "abc", "abcd", "abcde", "abcdé", "abcdef" * 50, "abcdef" * 49 + "z", "ébc" * 9, "\U0001f600" * 5, "abcd\x00"]
+    rows = [(rng.choice([None, *stock]), rng.choice(stock[6:]), f"{'same start ' * 3}{k}", None) for k in range(300)]
+    rows += [(None, "abcdef" * 50, "x", None)] * 2
+    df = spark.createDataFrame(rows, "a string, `b.c` string, `count` string, d string")
+    for prefix in (1, 3, 4, 5, 32, 1000):
+        got = {r.column_name: (r["count"], r.unique, r.top, r.freq) for r in P.text_summary(df, prefix=prefix).collect()}
+        for i, c in enumerate(df.columns):
+            counts = Counter(r[i] for r in rows if r[i] is not None)
+            top = min(((-n, v.encode()) for v, n in counts.items()), default=(None, None))
+            want = (sum(counts.values()), len(counts), top[1] and top[1].decode(), top[0] and -top[0])
+            if top[1] == b"":
+                want = (*want[:2], "", want[3])
+            assert got[c] == want, (prefix, c)
+
+
+def test_text_summary_of_unique_long_texts_and_no_rows(spark):
+    df = spark.createDataFrame([("x" * 60 + str(k),) for k in range(50)], "s string")
+    r = P.text_summary(df, name="t").first()
+    assert (r.table_name, r["count"], r.unique, r.top, r.freq) == ("t", 50, 50, "x" * 60 + "0", 1)
+    assert P.text_summary(df.limit(0)).count() == 0
+    both = P.text_summaries({"t": df, "u": df.selectExpr("'y' as s", "1 as n")})
+    assert sorted((r.table_name, r.top, r.freq) for r in both.collect()) == [("t", "x" * 60 + "0", 1), ("u", "y", 50)]
