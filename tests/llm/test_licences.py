@@ -1,7 +1,9 @@
+import os
 import textwrap
 
 import duckdb
 import pandas as pd
+import pytest
 
 from ordermart.llm import licences
 
@@ -25,6 +27,12 @@ def rows():
         (1, mit),
         (None, "SPDX-License-Identifier: Apache-2.0"),
         (11, "word " * 60_000 + "\nReleased under the MIT License."),
+        (13, "Copyright (c) 2020 Some One " + mit.split("\n", 1)[1] + "\n(c) You must keep it\n(c) Some One\n© in any case"),
+        (14, "MIT License - Copyright A, B permission\nis granted\ncopyright notice kept\n  ## COPYRIGHT 2020 and others; licensed\nunder it"),
+        (15, "copyright\x01notice\x02 (c)\x01 you\ncopyright\x02 x\n\x01copyright law\n© permission to\ncopyrights x\n(c)permission is"),
+        (16, licences.TEXTS["ISC"][0].replace("copyright notice", "\ncopyright notice")),
+        (17, "## Unlicence\n" + licences.UNSIGNED_TEXTS["Unlicense"][0]),
+        (18, "\n".join("/* " + x for x in licences.UNSIGNED_TEXTS["BSL-1.0"][1].split("\n"))),
         (12, "a copyright b\nx\u0085(c) y\ncopyright\n(c)\nAll Rights Reserved.\nz"),
     ]
     return out
@@ -40,6 +48,8 @@ def test_equals_sql(spark):
     assert sorted(got, key=key) == sorted(expected, key=key)
     by = {(r[0], r[3]): r for r in got}
     assert [by[k, ""][2] for k in (1, 2, 3, 4, 5)] == ["MIT", "MIT", "BSD-3-Clause", None, "Zlib"]
+    assert sorted(k for k in by if k[0] and k[0] >= 13) == [(k, "") for k in range(13, 19)]
+    assert [by[k, ""][2] for k in (16, 17, 18)] == ["ISC", None, "BSL-1.0"]
     assert by[6, "CC-BY-NC-4.0,MIT"][4] == 3
     assert by[7, ""][1] is None and by[9, ""][1] is None
     assert by[None, "Apache-2.0"][4] == 1
@@ -72,3 +82,41 @@ def test_prose_stays(spark):
 
 def test_empty(spark):
     assert licences.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+PUBLISHED = "/usr/share/common-licenses"  # where Debian keeps the official texts
+
+
+@pytest.mark.skipif(not os.path.isdir(PUBLISHED), reason="no official texts here")
+def test_long_licences(spark):
+    """Official texts, rewrapped or filled in, are known; changed ones are not."""
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = []
+    for name, file in names.items():
+        path = f"{PUBLISHED}/{file}"
+        if not os.path.exists(path):
+            continue
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+        indented = "\n".join("   # " + x for x in text.split("\n"))
+        rows += [(name, x) for x in (text, text.upper(), text.replace("\n", "\r\n"), indented, text.replace("http:", "https:"))]
+        rows += [(name, "Copyright 2020 Some One\n\n" + text), (None, text + " more"), (None, text.replace("not", "", 1))]
+        if name == "Apache-2.0":
+            rows += [(name, text.replace("[yyyy] [name of copyright owner]", "2020 Some One")), (name, text.split("   APPENDIX:")[0])]
+    df = spark.createDataFrame([(k, x) for k, (_, x) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.licence for r in licences.scan(df).collect()}
+    assert [(n, got[k], k) for k, (n, _) in enumerate(rows) if got[k] != n] == []
+
+
+def test_wrapping_of_unsigned_texts(spark):
+    rows = [(n, textwrap.fill(t, w, break_long_words=False)) for n, many in licences.UNSIGNED_TEXTS.items() for t in many for w in (20, 33, 50, 72, 100_000)]
+    df = spark.createDataFrame([(k, x) for k, (_, x) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.licence for r in licences.scan(df).collect()}
+    assert [(n, got[k], x[:60]) for k, (n, x) in enumerate(rows) if got[k] != n] == []
+
+
+def test_tables_of_ones_own(spark):
+    own = licences.digested(spark.createDataFrame([("B", "Own terms."), ("A", "own  TERMS"), ("C", "..."), ("D", None)], "licence string, text string"))
+    assert [(r.licence) for r in own.collect()] == ["A"]
+    df = spark.createDataFrame([(1, "OWN\nterms!"), (2, licences.TEXTS["MIT"][0])], "doc_id long, text string")
+    assert {r.doc_id: r.licence for r in licences.scan(df, texts=own).collect()} == {1: "A", 2: None}
