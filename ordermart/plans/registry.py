@@ -233,14 +233,32 @@ def _load_report(m: Mart) -> DataFrame:
     return io.load_report(m.spark, m.tables())
 
 
+#: Bytes of text a raw CSV file has on average, files of a table at least, and
+#: at most (Spark numbers them by five digits, and their names are their order).
+FILE_BYTES, FILES, MOST_FILES = 32 << 20, 5, 100_000
+
+
+def _n_files(df: DataFrame) -> int:
+    """Files for a table, so that none of them grows with it; one narrow scan."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 1 for c in df.columns), F.lit(0))
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return int(min(MOST_FILES, max(FILES, total // FILE_BYTES + 1)))
+
+
 def _raw_csv(
     df: DataFrame, multi_line: bool, order_by: str | None = None, text: tuple[str, ...] = (), split: bool = False, infer: bool = False
 ) -> DataFrame:
     """A raw table written as several CSV files in file order and read back the
-    way a user's files are: by header, with NA strings, file order kept."""
+    way a user's files are: by header, with NA strings, file order kept. A file
+    is one task where quoted newlines are, so their number follows the size."""
     path = shared_dir(df.sparkSession)
     plain = df.drop(order_by) if order_by else df
-    laid = df.repartitionByRange(5, order_by).sortWithinPartitions(order_by) if order_by else df.repartition(5)
+    n = _n_files(plain) if order_by or multi_line else None
+    if order_by:
+        laid = df.repartitionByRange(n, order_by).sortWithinPartitions(order_by)
+    else:
+        # Files without quoted newlines are split where they are read.
+        laid = df.repartition(n) if multi_line else df.hint("rebalance")
     io.write_table(laid.select(*plain.columns), path, "csv")
     schema = StructType([StructField(f.name, StringType() if f.name in text else f.dataType) for f in plain.schema])
     schema = None if infer else schema
