@@ -6,16 +6,16 @@
 * ``Mart.from_raw(spark, tables)`` does the same for raw tables a user read
   (e.g. the nine CSV files through ``sources.io.read_raw_dir``).
 * ``Mart.shared(spark, sf_dir)`` is the loaded mart: the cleaned tables
-  written once per session and input to the shared folder, then read by
-  every check and question.
+  written once per session and input to the shared folder, each when it is
+  first read, then read by every check and question.
 """
 
 from __future__ import annotations
 
-import copy
 import hashlib
 import threading
 import uuid
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +29,11 @@ from ordermart.sources.driver import DriverTables, table_path
 # Driver tables the mapping reads (their fingerprint keys the loaded mart).
 MAPPED_SOURCES = ("nation", "customer", "supplier", "part", "orders", "lineitem")
 
+TABLES = (
+    "orders", "order_items", "order_payments", "order_reviews", "customers", "sellers", "products", "category_translation", "geolocation",
+)
+
+
 class RawTables:
     """User-supplied raw tables with the same attributes as ``Conformed``."""
 
@@ -106,15 +111,17 @@ class Mart:
         This is the reference's own flow: clean once, load, then run every
         check and question against the loaded tables. The nine cleaned tables
         (plus raw orders, whose mapping needs a lineitem aggregation) are
-        written under the shared checkpoint folder; later queries scan those
-        Parquet files instead of re-deriving them from the raw tables. The key
-        includes the input files' sizes and times, so changed inputs reload.
+        written under the shared checkpoint folder, each when a query first
+        reads it, so that none pays for tables it doesn't read; later queries
+        scan those Parquet files instead of re-deriving them from the raw
+        tables. The key includes the input files' sizes and times, so changed
+        inputs reload.
         """
         key = (spark.sparkContext.applicationId, _fingerprint(spark, sf_dir))
         with _LOAD_LOCK:
             loaded = _LOADED.get(key)
             if loaded is None:
-                loaded = LoadedMart.build(cls(spark, sf_dir))
+                loaded = LoadedMart(cls(spark, sf_dir))
                 _LOADED[key] = loaded
         return loaded
 
@@ -130,51 +137,99 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     return hashlib.sha1(repr((sf_dir, state)).encode()).hexdigest()[:16]
 
 
+class LoadedRaw:
+    """The raw tables a loaded mart was built from; raw orders, and what
+    ``load_raw`` wrote, are read from their copies."""
+
+    def __init__(self, source, orders: Callable[[], DataFrame]):
+        self._source, self._orders = source, orders
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return self._orders()
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return getattr(self._source, name)
+
+
 class LoadedMart(Mart):
-    """A ``Mart`` whose cleaned tables are Parquet copies in the shared folder."""
+    """A ``Mart`` whose cleaned tables are Parquet copies in the shared folder,
+    written when they are first read (``build``: all at once)."""
 
     _raw_loaded = False
 
-    def __init__(self, source: Mart, paths: dict[str, str], schemas: dict | None = None):
-        # The raw tables it was built from, with attributes of its own.
-        super().__init__(source.spark, source.sf_dir, raw=copy.copy(source.raw))
-        self.paths = paths
-        for name in paths:
-            # cached_property stores into the instance dict; prime it. A known
-            # schema skips the footer-inference job on read.
-            schema = (schemas or {}).get(name)
-            self.__dict__[name] = io.read_table(self.spark, paths[name], schema=schema)
+    def __init__(self, source: Mart):
+        # Raw tables with attributes of its own.
+        super().__init__(source.spark, source.sf_dir, raw=LoadedRaw(source.raw, self._raw_orders))
+        self.source, self.paths = source, {}
+        self.root = shared_dir(self.spark, f"mart-{uuid.uuid4().hex}")
+        self._lock = threading.RLock()
 
     @classmethod
     def build(cls, source: Mart) -> "LoadedMart":
-        spark = source.spark
-        root = shared_dir(spark, f"mart-{uuid.uuid4().hex}")
-        # Raw orders first: the cleaned orders are derived from that copy, so
-        # the lineitem aggregation of the mapping runs once.
-        raw_path = io.load_tables({"raw_orders": source.raw.orders}, root)["raw_orders"]
-        raw_orders = io.read_table(spark, raw_path, schema=source.raw.orders.schema)
-        tables = source.tables()
+        mart = cls(source)
+        mart.tables()
+        return mart
+
+    def _written(self, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        paths = io.load_tables(tables, self.root)
+        self.paths |= paths
+        # A known schema skips the footer-inference job on read.
+        return {name: io.read_table(self.spark, path, schema=tables[name].schema) for name, path in paths.items()}
+
+    def _raw_orders(self) -> DataFrame:
+        """Cleaned orders are derived from this copy, so the lineitem
+        aggregation of the mapping runs once."""
+        with self._lock:
+            if "raw_orders" not in self.__dict__:
+                self.__dict__["raw_orders"] = self._written({"raw_orders": self.source.raw.orders})["raw_orders"]
+            return self.__dict__["raw_orders"]
+
+    def _cleaned(self, name: str) -> DataFrame:
+        if name != "orders":
+            return getattr(self.source, name)
         # Rows sorted by status inside each file: row-group min/max stats then
         # let the pushed ``order_status = 'delivered'`` filter skip the rest.
-        tables["orders"] = clean.clean_orders(raw_orders).sortWithinPartitions(
-            "order_status", "order_purchase_timestamp"
-        )
-        paths = io.load_tables(tables, root)
-        paths["raw_orders"] = raw_path
-        schemas = {name: df.schema for name, df in tables.items()}
-        schemas["raw_orders"] = raw_orders.schema
-        mart = cls(source, paths, schemas)
-        mart.raw.__dict__["orders"] = mart.__dict__.pop("raw_orders")
-        return mart
+        return clean.clean_orders(self.raw.orders).sortWithinPartitions("order_status", "order_purchase_timestamp")
+
+    def _load(self, *names: str) -> None:
+        """Write those of the tables that aren't yet; independent, so together."""
+        with self._lock:
+            self._loaded |= self._written({n: self._cleaned(n) for n in names if n not in self._loaded})
+
+    @cached_property
+    def _loaded(self) -> dict[str, DataFrame]:
+        return {}
+
+    def _table(self, name: str) -> DataFrame:
+        if name not in self._loaded:
+            self._load(name)
+        return self._loaded[name]
+
+    orders = property(lambda self: self._table("orders"))
+    order_items = property(lambda self: self._table("order_items"))
+    order_payments = property(lambda self: self._table("order_payments"))
+    order_reviews = property(lambda self: self._table("order_reviews"))
+    customers = property(lambda self: self._table("customers"))
+    sellers = property(lambda self: self._table("sellers"))
+    products = property(lambda self: self._table("products"))
+    category_translation = property(lambda self: self._table("category_translation"))
+    geolocation = property(lambda self: self._table("geolocation"))
+
+    def tables(self) -> dict[str, DataFrame]:
+        self._load(*TABLES)
+        return super().tables()
 
     def load_raw(self) -> "LoadedMart":
         """Write the raw tables too, once: reports over them then scan files
         instead of deriving (or parsing) each raw table for every pass."""
         with _RAW_LOCK:
             if not self._raw_loaded:
-                names = [n for n in self.tables() if n != "orders"]  # raw orders are loaded already
+                names = [n for n in TABLES if n != "orders"]  # raw orders have a copy of their own
                 raw = {f"raw_{n}": getattr(self.raw, n) for n in names}
-                paths = io.load_tables(raw, self.paths["orders"].rsplit("/", 1)[0])
+                paths = io.load_tables(raw, self.root)
                 for n in names:
                     self.raw.__dict__[n] = io.read_table(self.spark, paths[f"raw_{n}"], schema=raw[f"raw_{n}"].schema)
                 self._raw_loaded = True
@@ -182,4 +237,4 @@ class LoadedMart(Mart):
 
     def unload(self) -> None:
         """Remove the copies; the mart can't be read after that."""
-        discard(self.spark, self.paths["orders"].rsplit("/", 1)[0])
+        discard(self.spark, self.root)
