@@ -82,8 +82,7 @@ def clean_order_reviews(
     raw: DataFrame, order_by: Sequence[str] = ("src_order",), drop: Sequence[str] = ("src_order",)
 ) -> DataFrame:
     """ETL-4: keep the first row per ``review_id`` (file order), type dates."""
-    df = keep_first(raw, ["review_id"], list(order_by))
-    df = df.drop(*[c for c in drop if c in df.columns])
+    df = keep_first(raw, ["review_id"], list(order_by), drop)
     return to_timestamps(df, REVIEW_DATE_COLUMNS)
 
 

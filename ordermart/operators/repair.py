@@ -23,16 +23,32 @@ from ordermart.operators import quality as Q
 from ordermart.session import shared_dir
 from ordermart.sources import io, versions
 
+#: Doomed keys that are broadcast; more of them meet the rows by a shuffle.
+BROADCAST_KEYS = 4_000_000
+
+
 def delete_by_file(spark: SparkSession, path: str, child_col: str, parent: DataFrame, parent_col: str) -> list[str]:
     """DQ-3 / SNK-6 on a stored table: the null-aware NOT IN delete by
     copy-on-write. Only files that hold doomed rows are read whole and written
-    anew; their names are returned."""
+    anew; their names are returned. One row a key and file meets the parent; the
+    rows then meet the doomed keys alone, which are few as a rule."""
+    doomed: list[DataFrame] = []
 
     def touched(table: DataFrame, file: str) -> DataFrame:
         keys = table.groupBy(child_col, file).agg(F.count(F.lit(1)).alias("_n"))
-        return Q.flag_not_in(keys, child_col, parent, parent_col, "_keep").where(~F.col("_keep"))
-
-    return versions.rewrite(spark, path, touched, lambda rows: Q.delete_not_in(rows, child_col, parent, parent_col))
+        flagged = Q.flag_not_in(keys, child_col, parent, parent_col, "_keep").where(~F.col("_keep"))
+        doomed.append(io.materialize(flagged.select(child_col, file)))
+        return doomed[0]
+
+    def survivors(rows: DataFrame) -> DataFrame:
+        gone = doomed[0].select(F.col(child_col).alias("_gone"))
+        n, nulls = gone.agg(F.count(F.lit(1)), F.count_if(F.col("_gone").isNull())).first()
+        gone = gone.distinct()
+        kept = rows.join(F.broadcast(gone) if n <= BROADCAST_KEYS else gone, rows[child_col] == F.col("_gone"), "left_anti")
+        # Null keys meet no key: they go where the check found them doomed.
+        return kept.where(F.col(child_col).isNotNull()) if nulls else kept
+
+    return versions.rewrite(spark, path, touched, survivors)
 
 
 REPAIRED_CHILDREN = ("order_items", "order_reviews", "order_payments")

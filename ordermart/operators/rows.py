@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def any_mask(*masks: Column) -> Column:
@@ -33,20 +34,25 @@ def drop_if_any(df: DataFrame, *masks: Column) -> DataFrame:
     return df.where(~any_mask(*masks))
 
 
-def keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column]) -> DataFrame:
+def keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column], drop: Sequence[str] = ()) -> DataFrame:
     """One row per key: the row that comes first by ``order_by``.
 
     Equivalent to pandas ``drop_duplicates(subset=keys, keep='first')`` when
     ``order_by`` is the file order. Null keys form one group, as in pandas.
     The ordering must be unique within a key for a deterministic result.
     The whole row travels as one struct, so the partial aggregate keeps a
-    single (row, ordering) pair per key and map task.
+    single (row, ordering) pair per key and map task. Columns named in ``drop``
+    are left out of it: an ordering that isn't kept travels once.
     """
     keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
-    order = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order_by])
+    kept = [c for c in df.columns if c in keys or c not in drop]
+    rest = [c for c in kept if c not in keys]
+    order = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    first = df.select(order[0]).schema[0]
+    alone = len(order) == 1 and isinstance(first.dataType, StructType) and not first.nullable
+    order = order[0] if alone else F.struct(*order)
     picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_first"))
-    return picked.select(*keys, "_first.*").select(*df.columns)
+    return picked.select(*keys, "_first.*").select(*kept)
 
 
 def first_non_null(value: str | Column, order_by: str | Column) -> Column:
