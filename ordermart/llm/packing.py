@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,8 @@ SHARE, PARTITIONS = 16 << 20, 32768
 REMEMBERED = 800_000
 
 MARKS = frozenset(".,!?;:")
+#: Blanks beyond the six of ASCII, and those of Python's alone.
+RARE_BLANK = "[\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 SENTENCE_END = re.compile(r"[.!?…。！？।]['\"”’»)\]]*$")
 CAN_END = frozenset(".!?…。！？।'\"”’»)]")
 
@@ -88,22 +91,27 @@ class Encoder:
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(joined) or (len(ends) and ends[-1] != len(ids)):
             plain, rest, ids, ends = [False] * len(words), words, ids[:0], ends[:0]
-        others = [c.ids for c in self.library.encode_batch_fast(rest, add_special_tokens=False)]
+        others = [np.array(c.ids, "<u4") for c in self.library.encode_batch_fast(rest, add_special_tokens=False)]
         plain, sizes = np.array(plain, bool), np.zeros(len(words), np.int64)
         sizes[plain], sizes[~plain] = np.diff(ends, prepend=0), [len(o) for o in others]
         out, mine = np.empty(int(sizes.sum()), "<u4"), np.repeat(plain, sizes)
-        out[mine], out[~mine] = ids, [i for o in others for i in o]
+        out[mine], out[~mine] = ids, np.concatenate([ids[:0], *others])
         return out, sizes
 
     def learn(self) -> None:
         """Give ids to all new stretches."""
         new, self.numbers.new = self.numbers.new, []
         parts = []
+        stems = self.stems
         for text in new:
-            word, mark = (text[:-1], text[-1]) if text[-1] in MARKS and _letters(text[:-1]) else (text, "")
-            parts.append((self.stems[word.lower() if word.isascii() and "<" not in word else word], self.stems[mark]))
+            word, mark = text, ""
+            if text[-1:] in MARKS and _letters(text[:-1]):
+                word, mark = text[:-1], text[-1]
+            if word.isascii() and "<" not in word:
+                word = word.lower()
+            parts += stems[word], stems[mark]
         self.parts = np.concatenate([self.parts, np.array(parts, np.int64).reshape(-1, 2)])
-        self.ends = np.concatenate([self.ends, np.fromiter((t[-1] in CAN_END and SENTENCE_END.search(t) is not None for t in new), bool, len(new))])
+        self.ends = np.concatenate([self.ends, np.fromiter((t[-1:] in CAN_END and SENTENCE_END.search(t) is not None for t in new), bool, len(new))])
         words, self.stems.new = self.stems.new, []
         if words:
             ids, sizes = self.codes(words)
@@ -114,15 +122,16 @@ class Encoder:
             self.size = np.concatenate([self.size, sizes])
             self.used += len(ids)
 
-    def encode(self, texts: list[str], end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def encode(self, texts: list[str] | pa.Array, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text its ids, the end id included, and the places behind a
-        sentence's end."""
+        sentence's end. Each stretch is looked up once for all texts given."""
         if len(self.numbers) > REMEMBERED:
             self.forget()
-        coded = []
-        for text in texts:
-            words = blank_split(text)
-            coded.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
+        lists = _stretches(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        found = lists.flatten().dictionary_encode()
+        numbers = np.fromiter(map(self.numbers.__getitem__, found.dictionary.to_pylist()), np.int64, len(found.dictionary))
+        edges = lists.offsets.to_numpy()
+        coded = np.split(numbers[found.indices.to_numpy()], edges[1:-1] - edges[0]) if len(lists) else []
         if self.numbers.new:
             self.learn()
         for codes in coded:
@@ -137,6 +146,14 @@ class Encoder:
             yield ids, ends[(ends > 0) & (ends < n)]
 
 
+def _stretches(texts: pa.Array) -> pa.Array:
+    """Lists of stretches without blanks; empty ones, which have no ids, may be
+    among them."""
+    if pc.any(pc.match_substring_regex(texts, RARE_BLANK)).as_py():
+        return pa.array([blank_split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    return pc.ascii_split_whitespace(texts)
+
+
 def _letters(text: str) -> bool:
     """Letters alone, in lower case too (that of one has a combining dot)."""
     return text.isalpha() and "İ" not in text
@@ -315,7 +332,7 @@ def pack(
         rows: list[tuple] = []
         for some in batches:
             for part in slices(some):
-                for doc_id, (ids, ends) in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist(), end_id), strict=True):
+                for doc_id, (ids, ends) in zip(part.column(0).to_pylist(), encoder.encode(part.column(1), end_id), strict=True):
                     rows += packer.add(doc_id, ids, ends)
                 if len(rows) >= 50_000:
                     yield batch(rows)

@@ -143,3 +143,26 @@ def test_order_is_kept_and_reruns_agree(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(df).count() == 0
+
+
+def test_stretches_are_looked_up_once_for_all_texts():
+    import pyarrow as pa
+
+    from ordermart.llm import packing
+    from ordermart.llm.bpe import blank_split, default_path
+
+    texts = ["one two one.", "", " \x0b two\tone. ", "a b c", "x\x1cy one", "Straße &&& one###"] * 50
+    for some in (texts, [t for t in texts if " " not in t and "\x1c" not in t]):
+        found = packing._stretches(pa.array(some, pa.string())).to_pylist()
+        assert [[x for x in words if x] for words in found] == [blank_split(t) for t in some]
+        encoder, seen = packing.Encoder(default_path()), []
+
+        class Counted(packing.Numbers):
+            def __getitem__(self, text):
+                seen.append(text)
+                return super().__getitem__(text)
+
+        encoder.numbers = Counted()
+        got = [ids.tolist() for ids, _ in encoder.encode(pa.array(some, pa.string()), 2)]
+        assert got == [[*encoder.library.encode(t, add_special_tokens=False).ids, 2] for t in some]
+        assert len(seen) == len(set(seen))
