@@ -48,7 +48,8 @@ SHARE, PARTITIONS = 16 << 20, 32768
 #: Stretches whose ids a worker remembers.
 REMEMBERED = 800_000
 
-MARKS = frozenset(".,!?;:")
+#: A run of these behind letters is a piece of its own.
+MARKS = ".,!?;:#*$%&~^=+-_/@()[]{}"
 #: Blanks beyond the six of ASCII, and those of Python's alone.
 RARE_BLANK = "[\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 SENTENCE_END = re.compile(r"[.!?…。！？।]['\"”’»)\]]*$")
@@ -58,7 +59,7 @@ CAN_END = frozenset(".!?…。！？।'\"”’»)]")
 class Encoder:
     """Ids of whole texts by the tokenizers library, a stretch without blanks
     at a time (no token crosses a blank there). A stretch is a stem and maybe
-    a mark behind its letters; stems are numbered and the ids of all of them
+    marks behind its letters; stems are numbered and the ids of all of them
     lie in one array, so that a text's ids are one gather."""
 
     def __init__(self, path: str):
@@ -104,9 +105,10 @@ class Encoder:
         parts = []
         stems = self.stems
         for text in new:
-            word, mark = text, ""
-            if text[-1:] in MARKS and _letters(text[:-1]):
-                word, mark = text[:-1], text[-1]
+            word = text.rstrip(MARKS)
+            mark = text[len(word) :]
+            if mark and not _letters(word):
+                word, mark = text, ""
             if word.isascii() and "<" not in word:
                 word = word.lower()
             parts += stems[word], stems[mark]
