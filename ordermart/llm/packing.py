@@ -45,6 +45,8 @@ LONG, STEP = 256, 32
 BLOCK = 1 << 20
 #: Bytes of text a partition has on average, and partitions at most.
 SHARE, PARTITIONS = 16 << 20, 32768
+#: Bytes of text that are encoded at once.
+SLICE = 4 << 20
 #: Stretches whose ids a worker remembers.
 REMEMBERED = 800_000
 
@@ -59,8 +61,8 @@ CAN_END = frozenset(".!?…。！？।'\"”’»)]")
 class Encoder:
     """Ids of whole texts by the tokenizers library, a stretch without blanks
     at a time (no token crosses a blank there). A stretch is a stem and maybe
-    marks behind its letters; stems are numbered and the ids of all of them
-    lie in one array, so that a text's ids are one gather."""
+    marks behind its letters, and only new stems go to the library; the ids of
+    all stretches lie in one array, so that those of many texts are one gather."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,14 +74,15 @@ class Encoder:
         vocab = self.library.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.stems = Numbers()
         self.forget()
 
     def forget(self) -> None:
-        self.numbers, self.stems = Numbers(), Numbers()
-        self.stems[""] = 0
-        self.pool, self.used = np.empty(1 << 20, "<u4"), 0
-        self.begin, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)  # by stem
-        self.parts, self.ends = np.empty((0, 2), np.int64), np.empty(0, bool)  # by stretch
+        """All stretches; stems, which many stretches share, if they are many too."""
+        self.numbers, self.by_stretch = Numbers(), Pool()
+        self.ends = np.empty(0, bool)  # of stretches that end a sentence
+        if not self.stems or len(self.stems) > REMEMBERED:
+            self.stems, self.by_stem = Numbers(), Pool()
 
     def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words and how many each has. Words of common letters
@@ -102,8 +105,7 @@ class Encoder:
     def learn(self) -> None:
         """Give ids to all new stretches."""
         new, self.numbers.new = self.numbers.new, []
-        parts = []
-        stems = self.stems
+        words, marks = [], []
         for text in new:
             word = text.rstrip(MARKS)
             mark = text[len(word) :]
@@ -111,18 +113,14 @@ class Encoder:
                 word, mark = text, ""
             if word.isascii() and "<" not in word:
                 word = word.lower()
-            parts += stems[word], stems[mark]
-        self.parts = np.concatenate([self.parts, np.array(parts, np.int64).reshape(-1, 2)])
+            words.append(word)
+            marks.append(mark)
+        parts = np.fromiter(map(self.stems.__getitem__, words + marks), np.int64, 2 * len(new)).reshape(2, -1).T
+        unseen, self.stems.new = self.stems.new, []
+        if unseen:
+            self.by_stem.add(*self.codes(unseen))
+        self.by_stretch.add(self.by_stem.ids(parts.ravel()), self.by_stem.size[parts].sum(axis=1))
         self.ends = np.concatenate([self.ends, np.fromiter((t[-1:] in CAN_END and SENTENCE_END.search(t) is not None for t in new), bool, len(new))])
-        words, self.stems.new = self.stems.new, []
-        if words:
-            ids, sizes = self.codes(words)
-            if self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool[: self.used], np.empty(max(len(ids), self.used), "<u4")])
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.begin = np.concatenate([self.begin, self.used + np.cumsum(sizes) - sizes])
-            self.size = np.concatenate([self.size, sizes])
-            self.used += len(ids)
 
     def encode(self, texts: list[str] | pa.Array, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text its ids, the end id included, and the places behind a
@@ -130,22 +128,46 @@ class Encoder:
         if len(self.numbers) > REMEMBERED:
             self.forget()
         lists = _stretches(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        if not len(lists):
+            return
         found = lists.flatten().dictionary_encode()
-        numbers = np.fromiter(map(self.numbers.__getitem__, found.dictionary.to_pylist()), np.int64, len(found.dictionary))
-        edges = lists.offsets.to_numpy()
-        coded = np.split(numbers[found.indices.to_numpy()], edges[1:-1] - edges[0]) if len(lists) else []
+        # to_numpy makes the strings several times faster than to_pylist.
+        stretches = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self.numbers.__getitem__, stretches), np.int64, len(stretches))
         if self.numbers.new:
             self.learn()
-        for codes in coded:
-            stems = self.parts[codes].ravel()
-            sizes = self.size[stems]
-            places = np.cumsum(sizes)
-            n = int(places[-1]) if len(places) else 0
-            ids = np.empty(n + 1, "<u4")
-            ids[:n] = self.pool[np.repeat(self.begin[stems] - places + sizes, sizes) + np.arange(n)]
-            ids[n] = end
-            ends = places[1::2][self.ends[codes]]
-            yield ids, ends[(ends > 0) & (ends < n)]
+        codes = numbers[found.indices.to_numpy()]
+        ids = self.by_stretch.ids(codes)
+        places = np.concatenate([[0], np.cumsum(self.by_stretch.size[codes])])
+        edges = lists.offsets.to_numpy()
+        edges = places[edges - edges[0]]
+        ends = places[1:][self.ends[codes]]
+        bounds = np.searchsorted(ends, edges)
+        for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+            some = ends[bounds[k] : bounds[k + 1] + 1] - a
+            yield np.append(ids[a:b], np.array(end, "<u4")), some[(some > 0) & (some < b - a)]
+
+
+class Pool:
+    """Ids of numbered strings, one behind the other."""
+
+    def __init__(self):
+        self.all, self.used = np.empty(1 << 20, "<u4"), 0
+        self.begin, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.all):
+            self.all = np.concatenate([self.all[: self.used], np.empty(max(len(ids), self.used), "<u4")])
+        self.all[self.used : self.used + len(ids)] = ids
+        self.begin = np.concatenate([self.begin, self.used + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.used += len(ids)
+
+    def ids(self, numbers: np.ndarray) -> np.ndarray:
+        """Those of the numbered strings, joined."""
+        sizes = self.size[numbers]
+        ends = np.cumsum(sizes)
+        return self.all[np.repeat(self.begin[numbers] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def _stretches(texts: pa.Array) -> pa.Array:
@@ -333,7 +355,7 @@ def pack(
         packer = Packer(window, sentence, inside, short, long, step, block, TaskContext.get().partitionId() << 40)
         rows: list[tuple] = []
         for some in batches:
-            for part in slices(some):
+            for part in slices(some, size=SLICE):
                 for doc_id, (ids, ends) in zip(part.column(0).to_pylist(), encoder.encode(part.column(1), end_id), strict=True):
                     rows += packer.add(doc_id, ids, ends)
                 if len(rows) >= 50_000:

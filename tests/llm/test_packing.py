@@ -166,3 +166,20 @@ def test_stretches_are_looked_up_once_for_all_texts():
         got = [ids.tolist() for ids, _ in encoder.encode(pa.array(some, pa.string()), 2)]
         assert got == [[*encoder.library.encode(t, add_special_tokens=False).ids, 2] for t in some]
         assert len(seen) == len(set(seen))
+
+
+def test_stems_outlive_forgotten_stretches(monkeypatch):
+    from ordermart.llm import packing
+    from ordermart.llm.bpe import default_path
+
+    monkeypatch.setattr(packing, "REMEMBERED", 10)
+    encoder, sent = packing.Encoder(default_path()), []
+    codes = encoder.codes
+    monkeypatch.setattr(encoder, "codes", lambda words: sent.extend(words) or codes(words))
+    text = " ".join(w + m for w in ("one", "Two", "three") for m in (".", ",", "!", "?", ";"))  # 15 stretches, 8 stems
+    for _ in range(3):
+        ids, ends = next(encoder.encode([text], 2))
+        assert ids.tolist() == [*encoder.library.encode(text, add_special_tokens=False).ids, 2]
+        assert len(ends) == 9  # behind each . ! and ?
+    assert len(sent) == len(set(sent)) == 8
+    assert list(encoder.encode([], 2)) == []
