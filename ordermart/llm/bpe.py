@@ -30,7 +30,8 @@ from ordermart.llm.common import documents, slices
 INFINITE = 1 << 60
 #: Words whose codes a worker remembers, in two generations: when the young one
 #: is full it replaces the old one, so frequent words stay and memory is bounded.
-REMEMBERED = 400_000
+#: A worker keeps them after its task, so later work in it pays for them too.
+REMEMBERED = 150_000
 
 
 class Vocabulary:

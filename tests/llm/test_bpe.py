@@ -48,3 +48,20 @@ def test_operator_edges(spark, vocabulary):
     digest = {(r.doc_id or 0, r.ids_sha256) for r in bpe.digests(df).collect()}
     assert digest == {(i, hashlib.sha256(ids.encode()).hexdigest()) for i, _, ids, _ in expected}
     assert bpe.encode(df.limit(0)).count() == 0
+
+
+def test_remembered_words_take_little_memory():
+    import tracemalloc
+
+    from ordermart.llm import bpe
+
+    v = bpe.Vocabulary(bpe.default_path())
+    tracemalloc.start()
+    try:
+        for k in range(0, 650_000, 1000):
+            v.known.update({f"word{j}.": (3, f"{j} {j + 1} 269", f"wo rd{j}</w> .</w>") for j in range(k, k + 1000)})
+            v.encode("one")
+        assert len(v.known) + len(v.older) <= 2 * bpe.REMEMBERED + 2000
+        assert tracemalloc.get_traced_memory()[0] < 150e6
+    finally:
+        tracemalloc.stop()
