@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from ordermart.llm.bpe import blank_split, default_path
 from ordermart.llm.common import documents, slices
+from ordermart.llm.remembered import Numbers, Pool, forget
 
 #: Prices in tokens of padding: a cut at a sentence's end, a cut inside a
 #: sentence, and a sequence that is short because it is a power of two.
@@ -47,8 +48,11 @@ BLOCK = 1 << 20
 SHARE, PARTITIONS = 16 << 20, 32768
 #: Bytes of text that are encoded at once.
 SLICE = 4 << 20
-#: Stretches whose ids a worker remembers.
-REMEMBERED = 800_000
+#: Stretches whose ids a worker remembers, and stems: when there are more, the
+#: half used most often stays. A worker keeps them after its task.
+REMEMBERED = 300_000
+#: Stems that the library encodes at once.
+BATCH = 4096
 
 #: A run of these behind letters is a piece of its own.
 MARKS = ".,!?;:#*$%&~^=+-_/@()[]{}"
@@ -74,15 +78,16 @@ class Encoder:
         vocab = self.library.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.stems = Numbers()
-        self.forget()
-
-    def forget(self) -> None:
-        """All stretches; stems, which many stretches share, if they are many too."""
         self.numbers, self.by_stretch = Numbers(), Pool()
         self.ends = np.empty(0, bool)  # of stretches that end a sentence
-        if not self.stems or len(self.stems) > REMEMBERED:
-            self.stems, self.by_stem = Numbers(), Pool()
+        self.stems, self.by_stem = Numbers(), Pool()
+
+    def forget(self) -> None:
+        """Stretches and stems used seldom, of each kind if it has too many."""
+        kept = forget(self.numbers, [self.by_stretch], REMEMBERED)
+        if kept is not None:
+            self.ends = self.ends[kept]
+        forget(self.stems, [self.by_stem], REMEMBERED)
 
     def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words and how many each has. Words of common letters
@@ -117,16 +122,16 @@ class Encoder:
             marks.append(mark)
         parts = np.fromiter(map(self.stems.__getitem__, words + marks), np.int64, 2 * len(new)).reshape(2, -1).T
         unseen, self.stems.new = self.stems.new, []
-        if unseen:
-            self.by_stem.add(*self.codes(unseen))
+        for at in range(0, len(unseen), BATCH):  # the library's own results are large
+            self.by_stem.add(*self.codes(unseen[at : at + BATCH]))
+        self.stems.used(parts.ravel())
         self.by_stretch.add(self.by_stem.ids(parts.ravel()), self.by_stem.size[parts].sum(axis=1))
         self.ends = np.concatenate([self.ends, np.fromiter((t[-1:] in CAN_END and SENTENCE_END.search(t) is not None for t in new), bool, len(new))])
 
     def encode(self, texts: list[str] | pa.Array, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text its ids, the end id included, and the places behind a
         sentence's end. Each stretch is looked up once for all texts given."""
-        if len(self.numbers) > REMEMBERED:
-            self.forget()
+        self.forget()
         lists = _stretches(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
         if not len(lists):
             return
@@ -136,7 +141,9 @@ class Encoder:
         numbers = np.fromiter(map(self.numbers.__getitem__, stretches), np.int64, len(stretches))
         if self.numbers.new:
             self.learn()
-        codes = numbers[found.indices.to_numpy()]
+        places = found.indices.to_numpy()
+        self.numbers.used(numbers, np.bincount(places, minlength=len(numbers)))
+        codes = numbers[places]
         ids = self.by_stretch.ids(codes)
         places = np.concatenate([[0], np.cumsum(self.by_stretch.size[codes])])
         edges = lists.offsets.to_numpy()
@@ -148,28 +155,6 @@ class Encoder:
             yield np.append(ids[a:b], np.array(end, "<u4")), some[(some > 0) & (some < b - a)]
 
 
-class Pool:
-    """Ids of numbered strings, one behind the other."""
-
-    def __init__(self):
-        self.all, self.used = np.empty(1 << 20, "<u4"), 0
-        self.begin, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        if self.used + len(ids) > len(self.all):
-            self.all = np.concatenate([self.all[: self.used], np.empty(max(len(ids), self.used), "<u4")])
-        self.all[self.used : self.used + len(ids)] = ids
-        self.begin = np.concatenate([self.begin, self.used + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
-        self.used += len(ids)
-
-    def ids(self, numbers: np.ndarray) -> np.ndarray:
-        """Those of the numbered strings, joined."""
-        sizes = self.size[numbers]
-        ends = np.cumsum(sizes)
-        return self.all[np.repeat(self.begin[numbers] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-
-
 def _stretches(texts: pa.Array) -> pa.Array:
     """Lists of stretches without blanks; empty ones, which have no ids, may be
     among them."""
@@ -183,19 +168,6 @@ def _letters(text: str) -> bool:
     return text.isalpha() and "İ" not in text
 
 
-class Numbers(dict):
-    """Numbers in order of first sight; ``new`` has those without ids yet."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, text: str) -> int:
-        self.new.append(text)
-        self[text] = n = len(self)
-        return n
-
-
 def best_cuts(places: np.ndarray, prices: np.ndarray, window: int, short: int = SHORT) -> tuple[list[int], int]:
     """Indices of the cheapest cuts, the last place included, and their cost.
 
