@@ -19,6 +19,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,15 @@ from pyspark.sql import functions as F
 
 from ordermart.llm.bpe import byte_letters
 from ordermart.llm.common import documents, slices, written
+from ordermart.llm.remembered import Numbers, Pool, forget
 
 #: A blank between two other characters: a token never crosses one.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Stretches whose tokens a worker remembers, in two generations.
-REMEMBERED = 300_000
+#: Stretches whose tokens a worker remembers: when there are more, the half used
+#: most often stays. A worker keeps them after its task.
+REMEMBERED = 200_000
+#: Stretches that the libraries encode at once.
+BATCH = 4096
 #: Most id pairs whose counts are broadcast: about 40 MB.
 FREQUENT = 1_000_000
 
@@ -60,41 +65,42 @@ class Tokenizers:
         n, m = len(self.a_bytes), len(self.b_bytes)
         self.a_names = np.array([f"{i}," for i in range(n)] + [f"{i}|" for i in range(n)], object)
         self.b_names = np.array([f"{i}," for i in range(m)] + [f"{i};" for i in range(m)], object)
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-        self.older = self.known
-
-    def learn(self, wanted: set[str]) -> None:
-        """Make the tokens of all wanted stretches known; ``None`` for one
-        whose tokens don't spell it out."""
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = {k: v for k, v in self.known.items() if len(k) <= 64}, {}
-        known, older = self.known, self.older
-        new = []
-        for text in wanted:
-            if text not in known:
-                if text in older:
-                    known[text] = older[text]
-                else:
-                    new.append(text)
-        if not new:
-            return
-        spaced = [" " + t for t in new]
-        coded = zip(new, spaced, self.a.encode_batch(spaced, add_special_tokens=False), self.b.encode(new, num_threads=1), strict=True)
-        for text, full, a, b in coded:
-            whole = full.encode()
-            a = a.ids
-            fits = b"".join([self.a_bytes[i] for i in a]) == whole and b"".join([self.b_bytes[i] for i in b]) == whole
-            known[text] = (np.array(a, np.uint32).tobytes(), np.array(b, np.uint32).tobytes()) if fits else None
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Ids of both sides as bytes (32 bits each), for each text."""
+        self.numbers, self.by_a, self.by_b = Numbers(), Pool(), Pool()
+        self.fits = np.empty(0, bool)  # of stretches whose tokens spell them out
+
+    def learn(self) -> None:
+        """Give tokens to all new stretches; none to one whose tokens don't
+        spell it out."""
+        new, self.numbers.new = self.numbers.new, []
+        for at in range(0, len(new), BATCH):  # the libraries' own results are large
+            some = new[at : at + BATCH]
+            spaced = [" " + t for t in some]
+            a_ids = [x.ids for x in self.a.encode_batch(spaced, add_special_tokens=False)]
+            b_ids = self.b.encode(some, num_threads=1)
+            fits = [b"".join([self.a_bytes[i] for i in a]) == (full := text.encode()) and b"".join([self.b_bytes[i] for i in b]) == full for text, a, b in zip(spaced, a_ids, b_ids, strict=True)]
+            for pool, ids in ((self.by_a, a_ids), (self.by_b, b_ids)):
+                sizes = np.fromiter(map(len, compress(ids, fits)), np.int64)
+                all_sizes = np.zeros(len(some), np.int64)
+                all_sizes[fits] = sizes
+                pool.add(np.fromiter(chain.from_iterable(compress(ids, fits)), "<u4", int(sizes.sum())), all_sizes)
+            self.fits = np.append(self.fits, fits)
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of both sides (32 bits each), for each text; ``None`` for one
+        without tokens."""
+        kept = forget(self.numbers, [self.by_a, self.by_b], REMEMBERED)
+        if kept is not None:
+            self.fits = self.fits[kept]
         parts = [CUT.split(t) if t else [] for t in texts]
-        self.learn({p for some in parts for p in some})
-        known, found = self.known, []
-        for some in parts:
-            codes = [known[p] for p in some]
-            found.append(None if not codes or None in codes else (b"".join([c[0] for c in codes]), b"".join([c[1] for c in codes])))
-        return found
+        edges = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
+        codes = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(parts)), np.int64, int(edges[-1]))
+        if self.numbers.new:
+            self.learn()
+        self.numbers.used(codes)
+        misfits = np.concatenate([[0], np.cumsum(~self.fits[codes])])[edges]
+        whole = (np.diff(edges) > 0) & (np.diff(misfits) == 0)
+        sides = [(pool.ids(codes), np.concatenate([[0], np.cumsum(pool.size[codes])])[edges].tolist()) for pool in (self.by_a, self.by_b)]
+        return [tuple(ids[at[k] : at[k + 1]] for ids, at in sides) if whole[k] else None for k in range(len(texts))]
 
 
 def divide(a: np.ndarray, b: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,10 +155,10 @@ def _aligned(v: Tokenizers, texts: list[str], digest: bool) -> list[pa.Array]:
     """Columns ``n_a, n_b, n_groups, groups, links`` for one slice of texts."""
     coded = v.encode(texts)
     rows = [i for i, c in enumerate(coded) if c is not None]
-    a, b = (np.frombuffer(b"".join([coded[i][side] for i in rows]), np.uint32).astype(np.int64) for side in (0, 1))
+    a, b = (np.concatenate([coded[i][side] for i in rows] or [[]]).astype(np.int64) for side in (0, 1))
     n_a, n_b, n_groups = (np.zeros(len(texts), np.int64) for _ in range(3))
-    n_a[rows] = [len(coded[i][0]) // 4 for i in rows]
-    n_b[rows] = [len(coded[i][1]) // 4 for i in rows]
+    n_a[rows] = [len(coded[i][0]) for i in rows]
+    n_b[rows] = [len(coded[i][1]) for i in rows]
     groups = [""] * len(texts)
     starts = np.zeros(len(texts) + 1, np.int32)
     pairs = times = np.zeros(0, np.int64)

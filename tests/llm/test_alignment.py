@@ -107,3 +107,26 @@ def test_groups_are_written_out(spark, both):
     groups = plain_groups(both, *plain(both, "Tokenizers disagree, frequently."))
     assert row.groups == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
     assert sum(x.times for x in row.links) == row.n_groups
+
+
+def test_alignment_remembers_a_bounded_number_and_the_frequent(monkeypatch):
+    monkeypatch.setattr(alignment, "REMEMBERED", 40)
+    monkeypatch.setattr(alignment, "BATCH", 16)
+    v, rnd, sent = alignment.Tokenizers(*alignment.default_paths()), random.Random(1), []
+
+    class Library:
+        def encode(self, some, **more):
+            assert len(some) <= 16
+            sent.extend(some)
+            return library.encode(some, **more)
+
+    library, v.b = v.b, Library()
+    for _ in range(30):
+        text = " ".join(["often seen", *("".join(rnd.choice("abcdefgh") for _ in range(6)) + rnd.choice(["", ".", "é"]) for _ in range(50)), "often"])
+        (a, b), nothing, seen = v.encode([text, "", "seen often"])
+        assert (a.tolist(), b.tolist()) == (v.a.encode(" " + text, add_special_tokens=False).ids, library.encode(text))
+        assert nothing is None
+        assert seen[1].tolist() == library.encode("seen often")
+        assert len(v.numbers) <= 40 + 52
+        assert len(v.fits) == len(v.numbers) == len(v.by_a.size) == len(v.by_b.size)
+    assert sent.count("often") == sent.count("seen") == 1
