@@ -94,9 +94,9 @@ def read_raw_csv(
     return df.select(*cols)
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", **options: str | int) -> str:
     """SNK-1/2: write a table (types kept in Parquet, header in CSV)."""
-    w = df.write.mode(mode)
+    w = df.write.mode(mode).options(**options)
     if fmt == "csv":
         w.options(**CSV_WRITE_OPTIONS).csv(path)
     else:
