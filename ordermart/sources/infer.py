@@ -6,10 +6,9 @@ numbers, as a column of numbers has no other missing value there; truth values
 with gaps stay text; a column without any value is floating. Dates stay text,
 which the cleaning steps type.
 
-What a value can be is a set of flags, and a column's flags are those that all
-its values share: a lattice whose meet is a combining ``bool_and``. So one
-aggregate over one scan types every column, and the driver sees a few flags a
-column.
+What a value can be is a set of bits, and a column's bits are those that all its
+values share: a lattice whose meet is a combining ``bit_and``. So one aggregate
+over one scan types every column, and the driver sees a few numbers a column.
 """
 
 from __future__ import annotations
@@ -20,47 +19,64 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, DecimalType, DoubleType, LongType, StringType, StructField, StructType
 
-#: What pandas reads as numbers and as truth values.
-WHOLE = r"^[ \t]*[+-]?[0-9]+[ \t]*$"
+#: What pandas reads as numbers and as truth values. A number
+#: without a point or an exponent is whole.
 NUMBER = r"^[ \t]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t]*$"
 INFINITE = r"^[ \t]*[+-]?(?i:inf|infinity)[ \t]*$"
 TRUTHS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
-def _flags(value: Column) -> Column:
-    """Of a text column with nulls for missing values: has any, has gaps, and
-    whether all values are whole (signed, or unsigned, of 64 bits), numbers,
-    truths."""
-    whole = value.rlike(WHOLE)
+#: What a value can be: whole (and signed, or unsigned, of 64 bits), a number, a truth.
+IS_WHOLE, IS_SIGNED, IS_UNSIGNED, IS_NUMBER, IS_TRUTH = (1 << k for k in range(5))
+
+
+def _kind(value: Column) -> Column:
+    """The bits of a text; null for a missing value. Patterns cost most, so a
+    text meets one only if its first letter and a few others allow a match."""
     exact = F.trim(F.translate(value, "\t", " ")).try_cast("decimal(38,0)")  # null beyond 38 digits
 
-    def within(low: int, high: int) -> Column:
+    def within(low: int, high: int, bit: int) -> Column:
         ends = (F.lit(str(v)).cast("decimal(38,0)") for v in (low, high))
-        return F.when(value.isNotNull(), whole & F.coalesce(exact.between(*ends), F.lit(False)))
-
-    signed, unsigned = within(-(1 << 63), (1 << 63) - 1), within(0, (1 << 64) - 1)
-    return F.struct(
-        F.count(value).alias("values"),
-        F.count_if(value.isNull()).alias("gaps"),
-        F.bool_and(whole).alias("whole"),
-        F.bool_and(signed).alias("signed"),
-        F.bool_and(unsigned).alias("unsigned"),
-        F.bool_and(value.rlike(NUMBER) | value.rlike(INFINITE)).alias("number"),
-        F.bool_and(value.isin(*TRUTHS)).alias("truth"),
+        return F.when(exact.between(*ends), bit).otherwise(0)
+
+    whole = F.lit(IS_WHOLE | IS_NUMBER)
+    large = whole.bitwiseOR(within(-(1 << 63), (1 << 63) - 1, IS_SIGNED)).bitwiseOR(within(0, (1 << 64) - 1, IS_UNSIGNED))
+    long = value.try_cast("bigint")
+    # Signs, points, blanks and digits come before the colon, which times have.
+    number = (value < ":") & ~value.contains(":") & value.rlike(NUMBER)
+    infinite = (value.contains("n") | value.contains("N")) & value.rlike(INFINITE)
+    return (
+        F.when(
+            number,
+            F.when(value.contains(".") | value.contains("e") | value.contains("E"), IS_NUMBER)
+            .when(long >= 0, whole.bitwiseOR(IS_SIGNED | IS_UNSIGNED))
+            .when(long < 0, whole.bitwiseOR(IS_SIGNED))
+            .otherwise(large),
+        )
+        .when(infinite, IS_NUMBER)
+        .when(value.isin(*TRUTHS), IS_TRUTH)
+        .when(value.isNotNull(), 0)
     )
 
 
-def _type(flags) -> DataType:
-    if not flags["values"]:
-        return DoubleType() if flags["gaps"] else StringType()
-    if flags["whole"]:
-        if flags["signed"]:
-            return DoubleType() if flags["gaps"] else LongType()
+def _found(value: Column) -> Column:
+    """Of a text column with nulls for missing values: how many values and gaps
+    it has, and the bits that all values share."""
+    return F.struct(F.count(value).alias("values"), F.count_if(value.isNull()).alias("gaps"), F.bit_and(_kind(value)).alias("bits"))
+
+
+def _type(found) -> DataType:
+    if not found["values"]:
+        return DoubleType() if found["gaps"] else StringType()
+    bits, gaps = found["bits"], found["gaps"]
+    if bits & IS_WHOLE:
+        if bits & IS_SIGNED:
+            return DoubleType() if gaps else LongType()
         # Beyond 64 signed bits: unsigned without gaps, else left as it is.
-        return DecimalType(20, 0) if flags["unsigned"] and not flags["gaps"] else StringType()
-    if flags["number"]:
+        return DecimalType(20, 0) if bits & IS_UNSIGNED and not gaps else StringType()
+    if bits & IS_NUMBER:
         return DoubleType()
-    return BooleanType() if flags["truth"] and not flags["gaps"] else StringType()
+    return BooleanType() if bits & IS_TRUTH and not gaps else StringType()
 
 
 def infer_schema(df: DataFrame, cols: Sequence[str] | None = None) -> StructType:
@@ -71,8 +87,8 @@ def infer_schema(df: DataFrame, cols: Sequence[str] | None = None) -> StructType
     """
     text = {f.name for f in df.schema.fields if isinstance(f.dataType, StringType)}
     some = [c for c in (df.columns if cols is None else cols) if c in text]
-    found = df.agg(*[_flags(F.col(f"`{c}`")).alias(f"c{k}") for k, c in enumerate(some)]).first() if some else []
-    types = {c: _type(flags) for c, flags in zip(some, found, strict=True)}
+    found = df.agg(*[_found(F.col(f"`{c}`")).alias(f"c{k}") for k, c in enumerate(some)]).first() if some else []
+    types = {c: _type(x) for c, x in zip(some, found, strict=True)}
     return StructType([StructField(f.name, types.get(f.name, f.dataType), True) for f in df.schema.fields])
 
 

@@ -8,7 +8,7 @@ from ordermart.plans import mart as marts
 from ordermart.plans import registry
 from ordermart.plans.mart import TABLES, Mart
 from ordermart.session import discard
-from ordermart.sources import io
+from ordermart.sources import infer, io
 
 SAID = 'said, "so"\nthere'
 
@@ -98,3 +98,15 @@ def test_the_query_writes_no_mart(spark, monkeypatch):
     monkeypatch.setattr(io, "load_tables", lambda tables, *args: loaded.extend(tables) or load(tables, *args))
     out = registry.queries()["io_raw_inferred"](spark, "/root/testdata/sf0.001")
     assert out.select("table_name").distinct().count() == 9 and not loaded
+
+
+def test_what_values_can_be(spark):
+    whole, both, number = infer.IS_WHOLE | infer.IS_NUMBER, infer.IS_SIGNED | infer.IS_UNSIGNED, infer.IS_NUMBER
+    want = {
+        "7": whole | both, " +007\t": whole | both, "-0": whole | both, "-7": whole | infer.IS_SIGNED, "7\n": whole | both,
+        "9223372036854775808": whole | infer.IS_UNSIGNED, "18446744073709551616": whole, "9" * 50: whole, "0" * 50: whole | both,
+        "7\u0085": whole, "7.": number, ".5e-3 ": number, "1E5": number, "-Inf": number, "\tinfinity": number, "ınf": 0,
+        "true": infer.IS_TRUTH, "tRue": 0, "1:2": 0, "1d": 0, "2001-03-17T17:00:00.000": 0, "nan": 0, "": 0, "٣": 0, None: None,
+    }
+    rows = spark.createDataFrame([(v,) for v in want], "v string").select("v", infer._kind(F.col("v")).alias("bits")).collect()
+    assert {r.v: r.bits for r in rows} == want
